@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,23 +28,26 @@ def docs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a local one is set only where none is named, as in tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one is set only where none is named, as in tests."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt_"))
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt_"))
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder, which survive a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cut the lineage of a small frame with files in the shared folder, which survive a lost executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bucket_of(key: Column, mod: int, seed: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(mod))
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder as Parquet and read it from there, column by column."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(col: Column, mod: int) -> Column:

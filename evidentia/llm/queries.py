@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import sentencepieces
+from evidentia.llm import sentencepieces, substring_dedup
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,16 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode(table(spark, sf_dir, "documents"), piece_model_path()))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
 }
 
