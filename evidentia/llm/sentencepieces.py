@@ -27,7 +27,10 @@ from evidentia.llm.common import docs_of, ship
 ship(__name__)
 
 SPACE = "▁"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
+SLICE = 500
+LONG = 64
+NEVER = float("inf")
 
 
 class CharMap:
@@ -93,31 +96,44 @@ class Model:
         spec = proto.normalizer_spec
         self.charmap = CharMap.compiled(spec.precompiled_charsmap)
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.ids, self.scores, self.byte_ids, self.surface = {}, {}, {}, {}
+        self.known, self.costs, self.byte_ids, self.surface = {}, {}, {}, {}
         for i, p in enumerate(proto.pieces):
             if p.type == 1:
-                self.ids[p.piece], self.scores[p.piece] = i, p.score
+                self.known[p.piece], self.costs[p.piece] = (i, len(p.piece.encode())), -p.score
                 self.surface[i] = p.piece.replace(SPACE, " ").encode()
             elif p.type == 6:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.surface[i] = bytes([int(p.piece[3:5], 16)])
         self.unk, self.bos, self.eos = proto.trainer_spec.unk_id, proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         self.surface[self.unk] = proto.trainer_spec.unk_surface.encode()
-        pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        pairs = {a + b for p in self.known for a, b in zip(p, p[1:], strict=False)}
         self.adjacent = frozenset(pairs)
         self.by_word = not any(x[0] != SPACE and x[1] == SPACE for x in pairs)
         self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.parts: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merge the adjacent pair of best score, leftmost first, until no pair is a piece."""
-        sym, n = list(text), len(text)
-        if n == 1:
-            return sym
+        sym, cost = list(text), self.costs.get
+        best = [cost(a + b, NEVER) for a, b in zip(sym, sym[1:], strict=False)]
+        if len(sym) > LONG:
+            return self.merge_long(sym, best)
+        while best and (least := min(best)) < NEVER:
+            i = best.index(least)
+            both = sym[i] + sym[i + 1]
+            sym[i : i + 2] = (both,)
+            del best[i]
+            if i < len(best):
+                best[i] = cost(both + sym[i + 1], NEVER)
+            if i:
+                best[i - 1] = cost(sym[i - 1] + both, NEVER)
+        return sym
+
+    def merge_long(self, sym: list, best: list[float]) -> list[str]:
+        """The same with a heap and linked neighbours, for words without a border over thousands of letters."""
+        n, cost = len(sym), self.costs.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores, heap = self.scores, []
-        for i in range(n - 1):
-            if (s := scores.get(sym[i] + sym[i + 1])) is not None:
-                heap.append((-s, i, i + 1, sym[i] + sym[i + 1]))
+        heap = [(c, i, i + 1, sym[i] + sym[i + 1]) for i, c in enumerate(best) if c < NEVER]
         heapq.heapify(heap)
         while heap:
             _, i, j, both = heapq.heappop(heap)
@@ -127,29 +143,48 @@ class Model:
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if (s := scores.get(both + sym[k])) is not None:
-                    heapq.heappush(heap, (-s, i, k, both + sym[k]))
-            if (h := left[i]) >= 0 and (s := scores.get(sym[h] + both)) is not None:
-                heapq.heappush(heap, (-s, h, i, sym[h] + both))
-        return [s for s in sym if s is not None]
+                if (c := cost(both + sym[k])) is not None:
+                    heapq.heappush(heap, (c, i, k, both + sym[k]))
+            if (h := left[i]) >= 0 and (c := cost(sym[h] + both)) is not None:
+                heapq.heappush(heap, (c, h, i, sym[h] + both))
+        return [x for x in sym if x is not None]
+
+    def part(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Ids and lengths in normalised bytes of a stretch of letters."""
+        ids, sizes = [], []
+        for piece in self.merge(text):
+            if (known := self.known.get(piece)) is not None:
+                ids.append(known[0])
+                sizes.append(known[1])
+            elif self.byte_ids:
+                raw = piece.encode()
+                ids += [self.byte_ids[b] for b in raw]
+                sizes += [1] * len(raw)
+            else:
+                ids.append(self.unk)
+                sizes.append(len(piece.encode()))
+        return tuple(ids), tuple(sizes)
 
     def chunk(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """Ids, lengths in normalised bytes (both packed as unsigned 32-bit integers) and decoded bytes of a chunk."""
-        ids, sizes, start = [], [], 0
-        for end in range(1, len(text) + 1):
-            if end == len(text) or text[end - 1 : end + 1] not in self.adjacent:
-                for piece in self.merge(text[start:end]):
-                    raw = piece.encode()
-                    if (i := self.ids.get(piece)) is not None:
-                        ids.append(i)
-                        sizes.append(len(raw))
-                    elif self.byte_ids:
-                        ids += [self.byte_ids[b] for b in raw]
-                        sizes += [1] * len(raw)
-                    else:
-                        ids.append(self.unk)
-                        sizes.append(len(raw))
-                start = end
+        """Ids, lengths in normalised bytes (both packed as unsigned 32-bit integers) and decoded bytes of a chunk.
+
+        It falls apart where two letters are never neighbours inside a piece; the parts have a memo too.
+        """
+        parts, adjacent = self.parts, self.adjacent
+        letters = text.lstrip(SPACE)
+        if letters.isalpha():
+            cuts = [text]
+        elif letters[:-1].isalpha() and text[-2:] not in adjacent:
+            cuts = [text[:-1], text[-1]]
+        else:
+            ends = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in adjacent], len(text)]
+            cuts = [text[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        ids, sizes = [], []
+        for cut in cuts:
+            if (got := parts.get(cut)) is None:
+                got = parts[cut] = self.part(cut)
+            ids += got[0]
+            sizes += got[1]
         return array("I", ids).tobytes(), array("I", sizes).tobytes(), b"".join(map(self.surface.__getitem__, ids))
 
     def chunks(self, text: str) -> list[str]:
@@ -206,6 +241,8 @@ class Model:
         memo, parts = self.memo, []
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
+        if len(self.parts) > MEMO_ENTRIES:
+            self.parts.clear()
         for c in self.chunks(norm) if norm else ():
             if (got := memo.get(c)) is None:
                 got = memo[c] = self.chunk(c)
@@ -238,16 +275,18 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(model_path)
         for batch in batches:
-            rows = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array([r[0] for r in rows], pa.binary()),
-                    pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string()),
-                ],
-                names=["doc_id", "ids_le", "spans_le", "decoded"],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = [model.encode(t or "") for t in part.column("text").to_pylist()]
+                yield pa.record_batch(
+                    [
+                        part.column("doc_id"),
+                        pa.array([r[0] for r in rows], pa.binary()),
+                        pa.array([r[1] for r in rows], pa.binary()),
+                        pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string()),
+                    ],
+                    names=["doc_id", "ids_le", "spans_le", "decoded"],
+                )
 
     return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids_le binary, spans_le binary, decoded string")
 
