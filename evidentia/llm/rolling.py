@@ -16,7 +16,7 @@ from evidentia.llm.common import ship
 ship(__name__)
 
 CHUNK_BYTES = 1 << 20
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 200_000
 
 
 class WordHash(dict):

@@ -150,12 +150,13 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     """Rows (doc_id, start, edges): runs of repeated edges by source coordinates; runs may overlap."""
     docs = docs_of(docs)
     repeated = docs.mapInArrow(_anchors(window, k), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    repeated = materialise(repeated)  # a plain table beside the segments, so that those of a hot anchor can be split
     found = docs.mapInArrow(_occurrences(window, k), "anchor long, content long, doc_id long, start int, edges int")
     found = materialise(found.join(repeated, "anchor"))
     variants = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "edges")).alias("at"))
     variants = materialise(variants)
     straight = found.join(variants.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "start", "edges")
-    branching = variants.groupBy("anchor").count().where("count > 1").select("anchor")
+    branching = materialise(variants.groupBy("anchor").count().where("count > 1").select("anchor"))
     looked = (
         variants.join(branching, "anchor")
         .groupBy(F.col("at.doc_id").alias("doc_id"))
@@ -163,7 +164,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     )
     texts = docs.join(looked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "segments")
     edges = materialise(texts.mapInArrow(_edges(window), "anchor long, edge long, doc_id long, start int, once boolean"))
-    twice = edges.groupBy("anchor", "edge").count().where("count > 1").select("anchor", "edge")
+    twice = materialise(edges.groupBy("anchor", "edge").count().where("count > 1").select("anchor", "edge"))
     single = edges.where("once").join(twice, ["anchor", "edge"]).select("doc_id", "start", F.lit(1).alias("edges"))
     return straight.unionByName(single)
 
