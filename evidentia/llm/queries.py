@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, language_id, near_dedup, quality, quality_rules, sentencepieces, substring_dedup, url_filter
+from evidentia.llm import decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, substring_dedup, url_filter
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
