@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, substring_dedup, url_filter
+from evidentia.llm import decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, url_filter
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.llm.common import docs_of, ship
 
@@ -269,26 +270,35 @@ class Model:
         return ids, spans.tobytes(), decoded
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids_le, spans_le (both packed little-endian unsigned 32-bit integers) and decoded, one row per row."""
-
+def _encode(model_path: str, text_col: str, keep_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(model_path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = [model.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id"),
-                        pa.array([r[0] for r in rows], pa.binary()),
-                        pa.array([r[1] for r in rows], pa.binary()),
-                        pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string()),
-                    ],
-                    names=["doc_id", "ids_le", "spans_le", "decoded"],
-                )
-
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids_le binary, spans_le binary, decoded string")
+                rows = [model.encode(t or "") for t in part.column(text_col).to_pylist()]
+                made = {
+                    "ids_le": pa.array([r[0] for r in rows], pa.binary()),
+                    "spans_le": pa.array([r[1] for r in rows], pa.binary()),
+                    "decoded": pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string()),
+                }
+                kept = {n: part.column(n) for n in part.schema.names if n not in made and (keep_text or n != text_col)}
+                yield pa.record_batch(list((kept | made).values()), names=list(kept | made))
+
+    return run
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids_le, spans_le (both packed little-endian unsigned 32-bit integers) and decoded, one row per row."""
+    rows = docs_of(docs, id_col, text_col)
+    return rows.mapInArrow(_encode(model_path, "text", keep_text=False), "doc_id long, ids_le binary, spans_le binary, decoded string")
+
+
+def encode_columns(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """The rows with all their columns, and ids_le, spans_le and decoded, which replace columns of that name."""
+    made = T.StructType().add("ids_le", "binary").add("spans_le", "binary").add("decoded", "string")
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in made.names] + made.fields)
+    return docs.mapInArrow(_encode(model_path, text_col), schema)
 
 
 def n_ids(ids_le: Column) -> Column:

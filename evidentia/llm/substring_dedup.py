@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.llm.common import docs_of, materialise, ship
 from evidentia.llm.rolling import Doc, WordHash, chunked, leftmost_min, mix, words
@@ -112,6 +113,19 @@ def _edges(window: int):
     return run
 
 
+def gone_words(n: int, spans: list[dict], window: int):
+    """For each of n words, whether a span covers it."""
+    delta = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(delta, [s["start"] for s in spans], 1)
+    np.add.at(delta, [s["start"] + s["edges"] + window - 1 for s in spans], -1)
+    return np.cumsum(delta)[:-1] > 0
+
+
+def left_of(text: str, spans: list[dict], window: int) -> str:
+    ws = words(text)
+    return b" ".join([w for w, g in zip(ws, gone_words(len(ws), spans, window).tolist(), strict=True) if not g]).decode()
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +138,7 @@ def _cut(window: int):
                     kept.append(b" ".join(ws))
                     spans_out.append([])
                     continue
-                delta = np.zeros(len(ws) + 1, dtype=np.int64)
-                np.add.at(delta, [s["start"] for s in spans], 1)
-                np.add.at(delta, [s["start"] + s["edges"] + window - 1 for s in spans], -1)
-                gone = np.cumsum(delta)[:-1] > 0
+                gone = gone_words(len(ws), spans, window)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g]))
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
@@ -176,5 +187,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     return both.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<first:int,last:int>>")
 
 
+def cut_columns(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """The rows with all their columns; text is what is left, and n_chars, where it is a column, its length.
+
+    A text that loses nothing stays as it is, and so does a null one.
+    """
+    spans = repeated_edges(docs, window, k).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+    both = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left").drop("of")
+    kept = T.StructType([*docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [left_of(t, s, window) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "spans"}
+            columns["text"] = pa.array(texts, pa.string())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    out = both.mapInArrow(run, kept)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def digests(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("removed_spans").cast("long").alias("n_spans"))
