@@ -60,6 +60,7 @@ class Doc:
         self.sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.n = int(self.starts[-1])
+        self.made: dict = {}
         self.powers = {1: np.fromiter((memo[w] for d in docs for w in d), dtype=np.uint64, count=self.n)}
 
     def of_power(self, p: int):
@@ -70,6 +71,8 @@ class Doc:
 
     def grams(self, size: int):
         """Hash of the words [i, i + size) for every i at which that many follow, over borders of documents too."""
+        if size in self.made:
+            return self.made[size]
         n = max(0, self.n - size + 1)
         out, at = None, 0
         for bit in range(size.bit_length() - 1, -1, -1):
@@ -77,6 +80,7 @@ class Doc:
                 part = self.of_power(1 << bit)[at : at + n]
                 out = part if out is None else mix(out, part)
                 at += 1 << bit
+        self.made[size] = out
         return out
 
     def inside(self, size: int):
