@@ -1,4 +1,10 @@
-"""Registry of named queries and the SQL they are checked against."""
+"""All named queries of the engine and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from evidentia.plans import metric_queries, mining_queries, relational_queries
+from evidentia.plans.registry import ORACLES, QUERIES
+
+MODULES = (metric_queries, relational_queries, mining_queries)
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
