@@ -3,9 +3,9 @@
 The model file is read as data (pieces, scores, normaliser). A text is normalised by taking, at each
 place, the longest prefix that the compiled character map knows; each output byte remembers the source
 bytes it came from. Byte-pair merges then run on the normalised text, and every piece is projected back
-to the span of source bytes it covers. Texts are spread over tasks by Spark; a task works chunk by chunk
-(a run of spaces and the word after it) with a bounded memo, which is exact because no piece of the
-vocabulary spans such a border; where one does, the whole text is one chunk.
+to the span of source bytes it covers. Texts are spread over tasks by Spark; a task works unit by unit (a
+run of letters, or of other characters, with the spaces before it) with a bounded memo, which is exact
+because no piece of the vocabulary spans such a border; where one does, units are words or whole texts.
 
 Defined results: a null text encodes as an empty one; an empty text is the begin and end id alone;
 repeated rows stay repeated; extra columns are ignored.
@@ -13,8 +13,8 @@ repeated rows stay repeated; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import heapq
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -34,6 +34,9 @@ MEMO_ENTRIES = 300_000
 SLICE = 500
 LONG = 64
 NEVER = float("inf")
+LETTER = re.compile(r"[^\W\d_]")
+BY_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+WHOLE = re.compile(r"(?s).+")
 
 
 class CharMap:
@@ -110,10 +113,16 @@ class Model:
         self.unk, self.bos, self.eos = proto.trainer_spec.unk_id, proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         self.surface[self.unk] = proto.trainer_spec.unk_surface.encode()
         pairs = {a + b for p in self.known for a, b in zip(p, p[1:], strict=False)}
-        self.adjacent = frozenset(pairs)
-        self.by_word = not any(x[0] != SPACE and x[1] == SPACE for x in pairs)
+        # units of text that no piece reaches across; word characters that some piece joins to others count as others
+        inner = [x for x in pairs if x[0] != SPACE]
+        by_word = not any(x[1] == SPACE for x in inner)
+        glue = {c for x in inner if bool(LETTER.match(x[0])) != bool(LETTER.match(x[1])) for c in x if LETTER.match(c)}
+        letter = re.compile(rf"[^\W\d_{re.escape(''.join(sorted(glue)))}]")
+        by_class = by_word and not any(bool(letter.match(x[0])) != bool(letter.match(x[1])) for x in inner)
+        other = rf"[^\w{SPACE}]|[\d_{re.escape(''.join(sorted(glue)))}]"
+        by_letters = re.compile(f"{SPACE}*(?:{letter.pattern}+|(?:{other})+)|{SPACE}+")
+        self.units = (by_letters if by_class else BY_WORD if by_word else WHOLE).findall
         self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
-        self.parts: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merge the adjacent pair of best score, leftmost first, until no pair is a piece."""
@@ -152,13 +161,13 @@ class Model:
                 heapq.heappush(heap, (c, h, i, sym[h] + both))
         return [x for x in sym if x is not None]
 
-    def part(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids and lengths in normalised bytes of a stretch of letters."""
-        ids, sizes = [], []
+    def unit(self, text: str) -> tuple[bytes, bytes, bytes]:
+        """Ids, lengths in normalised bytes (both packed as unsigned 32-bit integers) and decoded bytes of a unit."""
+        ids, sizes, known = [], [], self.known
         for piece in self.merge(text):
-            if (known := self.known.get(piece)) is not None:
-                ids.append(known[0])
-                sizes.append(known[1])
+            if (got := known.get(piece)) is not None:
+                ids.append(got[0])
+                sizes.append(got[1])
             elif self.byte_ids:
                 raw = piece.encode()
                 ids += [self.byte_ids[b] for b in raw]
@@ -166,46 +175,8 @@ class Model:
             else:
                 ids.append(self.unk)
                 sizes.append(len(piece.encode()))
-        return tuple(ids), tuple(sizes)
-
-    def chunk(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """Ids, lengths in normalised bytes (both packed as unsigned 32-bit integers) and decoded bytes of a chunk.
-
-        It falls apart where two letters are never neighbours inside a piece; the parts have a memo too.
-        """
-        parts, adjacent = self.parts, self.adjacent
-        letters = text.lstrip(SPACE)
-        if letters.isalpha():
-            cuts = [text]
-        elif letters[:-1].isalpha() and text[-2:] not in adjacent:
-            cuts = [text[:-1], text[-1]]
-        else:
-            ends = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in adjacent], len(text)]
-            cuts = [text[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-        ids, sizes = [], []
-        for cut in cuts:
-            if (got := parts.get(cut)) is None:
-                got = parts[cut] = self.part(cut)
-            ids += got[0]
-            sizes += got[1]
         return array("I", ids).tobytes(), array("I", sizes).tobytes(), b"".join(map(self.surface.__getitem__, ids))
 
-    def chunks(self, text: str) -> list[str]:
-        if not self.by_word:
-            return [text]
-        out, start, inside = [], 0, False
-        for part in text.split(SPACE):
-            # a run of spaces belongs to the word after it
-            if part:
-                out.append(SPACE * start + part)
-                start = 1
-            else:
-                start += 1
-            inside = True
-        if inside and start > 1:
-            out.append(SPACE * (start - 1))
-        return out
-
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text and, where the map changed anything but spaces, the source byte before each of its bytes.
 
@@ -244,11 +215,9 @@ class Model:
         memo, parts = self.memo, []
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        if len(self.parts) > MEMO_ENTRIES:
-            self.parts.clear()
-        for c in self.chunks(norm) if norm else ():
+        for c in self.units(norm):
             if (got := memo.get(c)) is None:
-                got = memo[c] = self.chunk(c)
+                got = memo[c] = self.unit(c)
             parts.append(got)
         ids = b"".join([struct.pack("<I", self.bos), *[p[0] for p in parts], struct.pack("<I", self.eos)])
         decoded = b"".join([p[2] for p in parts])
@@ -275,8 +244,6 @@ class Model:
 def _encode(model_path: str, text_col: str, keep_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(model_path)
-        gc.freeze()  # memo entries hold no cycles; looking through them again and again takes a tenth of the time
-        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -288,7 +255,6 @@ def _encode(model_path: str, text_col: str, keep_text: bool = True):
                 }
                 kept = {n: part.column(n) for n in part.schema.names if n not in made and (keep_text or n != text_col)}
                 yield pa.record_batch(list((kept | made).values()), names=list(kept | made))
-        gc.enable()
 
     return run
 
