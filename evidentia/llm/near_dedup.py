@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -111,15 +112,21 @@ def may_be_near(x_bits: Column, y_bits: Column, x_shingles: Column, y_shingles:
     return sizes & (apart <= (1 - threshold) * held + SURE * spread + 2)
 
 
+def ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, so that what meets it exactly is not lost to rounding."""
+    return Fraction(threshold).limit_denominator(1_000_000).as_integer_ratio()
+
+
 def aligned_similarity(x, y, threshold: float = THRESHOLD) -> float:
     """Shingles matched in order within the band, over the union; 0 where the threshold can't be met."""
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)) or not len(x):
+    up, down = ratio(threshold)
+    both = len(x) + len(y)
+    if min(len(x), len(y)) * down < up * max(len(x), len(y)) or not len(x):
         return 0.0
-    band = (1 - threshold) / (1 + threshold) * (len(x) + len(y))
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    keep = np.abs(i - j) <= band
+    keep = np.abs(i - j) * (up + down) <= (down - up) * both
     i, j = i[keep], j[keep]
-    if len(i) / (len(x) + len(y) - len(i)) < threshold:
+    if len(i) * (up + down) < up * both:
         return 0.0
     j = j[np.argsort(i)]
     chain = len(j)

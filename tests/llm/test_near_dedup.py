@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from evidentia.llm.near_dedup import keep_one, near_groups
+import numpy as np
+
+from evidentia.llm.near_dedup import aligned_similarity, keep_one, near_groups
 
 
 def shingles(t):
@@ -68,3 +70,10 @@ def test_empty_and_null(spark):
     assert near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (5, None), (5, None), (6, "q")], "doc_id long, text string")
     assert keep_one(df).count() == 4
+
+
+def test_copies_that_lose_exactly_a_fifth_at_the_front():
+    for n in range(5, 500, 5):
+        x = np.arange(n, dtype=np.uint64)
+        assert aligned_similarity(x, x[n // 5 :]) == aligned_similarity(x[n // 5 :], x) == 0.8
+        assert aligned_similarity(x, x[n // 5 + 1 :]) == 0.0
