@@ -7,15 +7,15 @@ the order in which they stand in the text: two texts meet in a band if they agre
 their order. With similarity s they meet in one of 16 bands with probability 1 - (1 - s^3)^16, which is
 0.99999 at 0.8.
 
-Candidates never are all pairs of a bucket. First every member of a bucket meets the bucket's leader, which
-differs from band to band; most buckets are one group after that. Where a bucket still holds several
-groups, members of different groups meet if they agree in another band too, as all but 2 in 10,000 pairs at
-the threshold itself do, and if their codes do not rule it out: four bits for the least shingle of each of
-256 ranges of a hash, which differ in the share of shingles that is not common; a pair goes if that is four
-standard deviations above what the threshold allows. A bucket of more than `SMALL` members is not paired
-but dealt anew by each further band, so that a passage which very many texts share makes small buckets of
-texts that share more than it; in what is still large when four bands agree, members of other groups than
-its leader meet that leader.
+Candidates come in two steps. First every member of a bucket meets the bucket's leader, which differs from
+band to band; most near texts are one group after that. Then an exact join finds every pair of different
+groups that can still reach the threshold. Shingles are ordered by how often the hash cell that holds them is
+met, rarest first. Texts of x and y shingles, y the longer, at the threshold t match m >= t/(1+t) (x+y) of them,
+so the first matched one stands among the first x - 2t/(1+t) x + 1 of the shorter and the first y - t y + 1 of
+the longer in that order (prefix filter); lengths differ by no more than t allows; what stands behind the
+shared shingle on either side suffices for m (positional filter); and its places in the texts differ by no
+more than the unmatched shingles allowed. A passage that very many texts share is common, so it lies beyond
+the prefix of texts that the rest of it keeps below the threshold.
 
 A candidate is verified by alignment in a diagonal band: equal labelled shingles whose places differ by no
 more than the unmatched shingles allowed, in the longest chain that is increasing in both texts, counted
@@ -31,11 +31,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import docs_of, materialise, ship
@@ -48,11 +47,8 @@ SHINGLE = 5
 BANDS = 16
 MINIMA = 3
 THRESHOLD = 0.8
-SMALL = 16
-DEPTH = 4
-RANGES = 256
-PLANES = 4
-SURE = 4.0
+CELLS = 1 << 18
+SKETCHED = ["doc_id", "digest", "bands", "cells", "met"]
 
 
 def labelled_shingles(d: Doc, i: int, size: int = SHINGLE):
@@ -90,28 +86,6 @@ def sketch(shingles, bands: int = BANDS, minima: int = MINIMA):
     return keys
 
 
-def bit_sketch(shingles, ranges: int = RANGES, planes: int = PLANES):
-    """A code of some bits for each range of a hash, from its least shingle, 0 where it is empty; packed plane by plane."""
-    codes = np.zeros(ranges, dtype=np.uint8)
-    ranks = np.sort(mix(shingles, np.array([0xA24BAED4963EE407], dtype=np.uint64)))
-    at = (ranks >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
-    codes[at[first]] = ranks[first] % np.uint64((1 << planes) - 1) + np.uint64(1)
-    return np.packbits(codes[None, :] >> np.arange(planes, dtype=np.uint8)[:, None] & 1, axis=1).view(np.int64).ravel()
-
-
-def may_be_near(x_bits: Column, y_bits: Column, x_shingles: Column, y_shingles: Column, threshold: float) -> Column:
-    """False where sizes, or the codes by far, rule out the threshold."""
-    sizes = F.least(x_shingles, y_shingles) >= threshold * F.greatest(x_shingles, y_shingles)
-    longs = RANGES // 64
-    unlike = [reduce(Column.bitwiseOR, [x_bits[p * longs + i].bitwiseXOR(y_bits[p * longs + i]) for p in range(PLANES)]) for i in range(longs)]
-    apart = reduce(lambda a, b: a + b, [F.bit_count(u) for u in unlike])
-    union = F.greatest((x_shingles + y_shingles) / (1 + threshold), F.lit(1.0))
-    held = RANGES * (1 - F.exp(-union / RANGES))  # ranges that are not empty, of which each tells of one shingle
-    spread = F.sqrt(threshold * (1 - threshold) * held * F.greatest(1 - held / union, F.lit(0.0)))
-    return sizes & (apart <= (1 - threshold) * held + SURE * spread + 2)
-
-
 def ratio(threshold: float) -> tuple[int, int]:
     """The threshold as a fraction of whole numbers, so that what meets it exactly is not lost to rounding."""
     return Fraction(threshold).limit_denominator(1_000_000).as_integer_ratio()
@@ -139,23 +113,74 @@ def aligned_similarity(x, y, threshold: float = THRESHOLD) -> float:
     return chain / (len(x) + len(y) - chain)
 
 
+def cell(shingles):
+    return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def _sketches(bands: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
+        met = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             done = 0
             for ids, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 d = Doc(docs, memo)
                 shingles = [labelled_shingles(d, i) for i in range(len(docs))]
+                met += np.bincount(cell(np.concatenate(shingles)), minlength=CELLS)
+                none = pa.nulls(len(ids), pa.list_(pa.int64()))
                 yield pa.record_batch(
                     [
                         pa.array(ids, pa.int64()),
                         batch.column("digest").slice(done, len(ids)),
-                        pa.array([len(s) for s in shingles], pa.int32()),
                         pa.array([sketch(s, bands, minima).view(np.int64) for s in shingles], pa.list_(pa.int64())),
-                        pa.array([bit_sketch(s) for s in shingles], pa.list_(pa.int64())),
+                        none,
+                        none,
                     ],
-                    names=["doc_id", "digest", "shingles", "bands", "bits"],
+                    names=SKETCHED,
+                )
+                done += len(ids)
+        cells = np.flatnonzero(met)
+        lists = pa.list_(pa.int64())
+        yield pa.record_batch(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, lists), pa.array([cells], lists), pa.array([met[cells]], lists)], names=SKETCHED
+        )
+
+    return run
+
+
+def _prefixes(threshold: float, met):
+    """The rarest shingles of each text: their place in that order (pos) and in the text, and whether a shorter text needs them too."""
+    up, down = ratio(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for batch in batches:
+            done = 0
+            for ids, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                d = Doc(docs, memo)
+                keys, places, sizes, taken, short = [], [], [], [], []
+                for i in range(len(docs)):
+                    s = labelled_shingles(d, i)
+                    n = len(s)
+                    take = n - -(-up * n // down) + 1 if n else 0
+                    order = np.lexsort((s, met[cell(s)]))[:take]
+                    keys.append(s[order])
+                    places.append(order)
+                    sizes.append(n)
+                    taken.append(take)
+                    short.append(n - -(-2 * up * n // (up + down)) + 1)
+                pos = np.concatenate([np.arange(t) for t in taken])
+                yield pa.record_batch(
+                    [
+                        pa.array(np.repeat(np.array(ids, dtype=np.int64), taken)),
+                        pa.array(np.repeat(batch.column("part").slice(done, len(ids)).to_numpy(), taken)),
+                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), taken)),
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(pos.astype(np.int32)),
+                        pa.array(np.concatenate(places).astype(np.int32)),
+                        pa.array(pos < np.repeat(np.array(short), taken)),
+                    ],
+                    names=["rep", "part", "n", "key", "pos", "place", "short"],
                 )
                 done += len(ids)
 
@@ -183,17 +208,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def classes(docs: DataFrame, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows (doc_id, digest) and one row (rep, digest, shingles, bands, bits) for each distinct text."""
+def classes(docs: DataFrame, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketched rows (doc_id, digest), one row (rep, digest, bands) for each distinct text, and how often each hash cell is met (cell, n)."""
     rows = docs_of(docs).withColumn("digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.concat(F.lit("null "), F.col("doc_id").cast("string")).cast("binary")))))
-    rows = materialise(rows.mapInArrow(_sketches(bands, minima), "doc_id long, digest binary, shingles int, bands array<long>, bits array<long>"))
-    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    return rows.select("doc_id", "digest"), reps
+    rows = materialise(rows.mapInArrow(_sketches(bands, minima), "doc_id long, digest binary, bands array<long>, cells array<long>, met array<long>"))
+    reps = rows.where("cells is null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    cells = rows.where("cells is not null").select(F.inline(F.arrays_zip("cells", "met"))).groupBy(F.col("cells").alias("cell")).agg(F.sum("met").alias("n"))
+    return rows.where("cells is null").select("doc_id", "digest"), reps, cells
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows of the input with their digest, classes (rep, digest), verified links (a, b, similarity) between reps, and the groups (id, component) they make."""
-    rows, reps = classes(docs, bands, minima)
+    rows, reps, cells = classes(docs, bands, minima)
     reps = materialise(reps)
     texts = docs_of(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = reps.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key"))
@@ -201,7 +227,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     star = met.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = materialise(_verified(star, texts, threshold))
     parts = components(links)
-    more = materialise(_verified(_across(met, reps, parts, threshold), texts, threshold))
+    more = materialise(_verified(_across(texts, cells, parts, threshold), texts, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
@@ -214,35 +240,25 @@ def _with_leaders(members: DataFrame) -> DataFrame:
     return materialise(members.join(materialise(buckets), "key"))
 
 
-def _mixed(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members (rep, part, band, key) of buckets of several parts, with their sketches, the bucket's size, leader and its part."""
-    leader = F.min_by(F.struct("rep", "part"), F.xxhash64("rep", "key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader.alias("leader"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    found = members.join(materialise(buckets.where("lo < hi").drop("lo", "hi")), "key")
-    return materialise(found.join(reps.select("rep", "shingles", "bands", "bits"), "rep"))
-
-
-def _across(met: DataFrame, reps: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different parts that meet in small buckets, agree in two bands or more and may be near."""
-    placed = met.select("rep", "band", "key").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    level, small = _mixed(materialise(placed), reps), []
-    for depth in range(1, DEPTH + 1):
-        small.append(level.where(F.col("n") <= SMALL).select("key", "rep", "part", "shingles", "bands", "bits"))
-        large = level.where(F.col("n") > SMALL)
-        if depth == DEPTH or large.isEmpty():
-            break
-        further = large.select("rep", "part", F.col("band").alias("from"), F.col("key").alias("of"), F.posexplode("bands").alias("band", "next")).where(F.col("band") > F.col("from"))
-        level = _mixed(further.select("rep", "part", "band", F.xxhash64("of", "next").alias("key")), reps)
-    few = reduce(DataFrame.unionByName, small)
-    x, y = few.alias("x"), few.alias("y")
-    agree = F.size(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), lambda same: same)) >= 2
-    near = may_be_near(F.col("x.bits"), F.col("y.bits"), F.col("x.shingles"), F.col("y.shingles"), threshold)
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & near & agree
-    pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    led = reps.select(F.col("rep").alias("to"), F.col("shingles").alias("to_shingles"), F.col("bits").alias("to_bits"))
-    far = large.where(F.col("part") != F.col("leader.part")).select("rep", "shingles", "bits", F.col("leader.rep").alias("to")).join(led, "to")
-    far = far.where(may_be_near(F.col("bits"), F.col("to_bits"), F.col("shingles"), F.col("to_shingles"), threshold))
-    return pairs.union(far.select(F.least("rep", "to"), F.greatest("rep", "to"))).distinct()
+def _across(texts: DataFrame, cells: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different parts, all that can reach the threshold among them."""
+    up, down = ratio(threshold)
+    counted = cells.toPandas()  # no more rows than cells
+    met = np.zeros(CELLS, dtype=np.int64)
+    met[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    placed = texts.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("part"))
+    rare = materialise(placed.mapInArrow(_prefixes(threshold, met), "rep long, part long, n int, key long, pos int, place int, short boolean"))
+    x, y = rare.where("short").drop("short").alias("x"), rare.drop("short").alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    meet = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.part") != F.col("y.part"))
+        & ((F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+        & (F.col("x.n") * down >= F.col("y.n") * up)
+        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (up + down) >= both * up)
+        & (F.abs(F.col("x.place") - F.col("y.place")) * (up + down) <= both * (down - up))
+    )
+    return x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA) -> DataFrame:

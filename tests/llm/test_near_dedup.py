@@ -77,3 +77,17 @@ def test_copies_that_lose_exactly_a_fifth_at_the_front():
         x = np.arange(n, dtype=np.uint64)
         assert aligned_similarity(x, x[n // 5 :]) == aligned_similarity(x[n // 5 :], x) == 0.8
         assert aligned_similarity(x, x[n // 5 + 1 :]) == 0.0
+
+
+def test_pairs_inside_a_crowd_just_below_the_threshold(spark):
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = [" ".join(fresh(8) + passage) for _ in range(2000)]  # two of them: 56 of 72 shingles, 0.78
+    pairs = {}
+    for k in range(0, 80, 2):
+        last = fresh(1)
+        texts[k], texts[k + 1] = (" ".join(fresh(7) + last + passage) for _ in range(2))  # 57 of 71, 0.803
+        pairs[k + 1] = k
+    got = {g.doc_id: g.group_id for g in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: pairs.get(i, i) for i in range(len(texts))}
