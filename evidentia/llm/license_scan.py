@@ -9,6 +9,11 @@ join finds every block that contains at least `threshold` of a template's distin
 - length filter: a block with fewer than o template words is out;
 - positional filter: from the places of the shared word, what can still be shared has to reach o.
 
+A notice may also wrap. The lines up to an empty one are read as one run of words, and a template matches where
+a span of at most its own number of words over `threshold` holds at least `threshold` of its distinct words in
+their order, so that words merely scattered over lines do not. Spans are looked for in overlapping windows of
+twice the longest of them that pass by the set of their words. `matched_lines` counts single lines alone.
+
 What passes is verified by the size of the intersection. Only words of some template count for a block, as
 no other can be shared. Templates are a parameter, so their words, counts and prefixes are small; blocks
 are never gathered.
@@ -29,6 +34,7 @@ from evidentia.llm.common import materialise
 
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+EMPTY_LINE = r"\n[ \t\r]*\n"
 THRESHOLD = 0.8
 
 # Phrases and their labels.
@@ -83,6 +89,41 @@ def _phrase_columns(df: DataFrame, phrases) -> DataFrame:
     )
 
 
+def wrapped(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """Array of (label, containment) of the templates that stand in order in a paragraph of several lines."""
+    none = F.array().cast("array<struct<label:string,containment:double>>")
+    sets = [(label, list(dict.fromkeys(words_of(t))), len(words_of(t))) for label, t in templates if words_of(t)]
+    if not sets:
+        return none
+    needs = [math.ceil(threshold * len(own) - 1e-9) for _, own, _ in sets]
+    spans = [math.floor(size / threshold + 1e-9) for _, _, size in sets]
+    literal = lambda own: F.array(*map(F.lit, own))
+    known = literal(sorted({w for _, own, _ in sets for w in own}))
+    step = max(spans)
+    paragraphs = F.filter(F.split(text, EMPTY_LINE), lambda p: p.contains("\n") & (F.length(p) >= 2 * min(needs) - 1))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - step, F.lit(1)), F.lit(step))
+    cut = lambda w: F.transform(starts(w), lambda i: F.slice(w, i, 2 * step))
+    windows = F.filter(F.flatten(F.transform(F.transform(paragraphs, lambda p: words(ascii_lower(p))), cut)), lambda w: F.size(F.array_intersect(w, known)) >= min(needs))
+
+    def in_order(window: Column, own: list[str], span: int) -> Column:
+        """The most words of `own` that stand in its order in one span: a longest increasing run of their places."""
+        placed = F.transform(window, lambda w, i: F.struct(i.alias("i"), F.array_position(literal(own), w).cast("int").alias("v")))
+        kept = F.filter(placed, lambda x: x["v"] > 0)
+        zeros = F.array_repeat(F.lit(0), len(own))
+        longer = lambda ends, x: F.transform(ends, lambda n, k: F.when(k + 1 == x["v"], F.greatest(n, 1 + F.coalesce(F.array_max(F.slice(ends, F.lit(1), x["v"] - 1)), F.lit(0)))).otherwise(n))
+        longest = lambda s: F.array_max(F.aggregate(F.filter(kept, lambda x: (x["i"] >= s["i"]) & (x["i"] < s["i"] + span)), zeros, longer))
+        return F.array_max(F.transform(kept, longest))
+
+    def judged(window: Column, label: str, own: list[str], span: int, need: int) -> Column:
+        likely = F.size(F.array_intersect(window, literal(own))) >= need
+        return F.when(likely, F.struct(F.lit(label).alias("label"), (in_order(window, own, span) / len(own)).alias("containment")))
+
+    each = lambda w: F.array(*[judged(w, label, own, span, need) for (label, own, _), span, need in zip(sets, spans, needs, strict=True)])
+    least = F.create_map(*[F.lit(x) for (label, own, _), need in zip(sets, needs, strict=True) for x in (label, need / len(own))])
+    found = F.filter(F.flatten(F.transform(windows, each)), lambda m: m.isNotNull() & (m["containment"] >= least[m["label"]]))
+    return F.coalesce(F.array_distinct(found), none)
+
+
 def matches(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """From (doc_id or row, line, tokens) to (row, line, label, overlap) of every pair that meets the threshold."""
     spark = blocks.sparkSession
@@ -126,7 +167,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     # a line shorter than its least words and the gaps between them can't match
     lines = F.filter(F.split("t", "\n"), lambda line: F.length(line) >= 2 * least - 1)
     cut = F.filter(F.transform(lines, tokens), lambda b: F.size(b) >= least)
-    rows = materialise(rows.select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", cut.alias("blocks")))
+    rows = materialise(rows.select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", cut.alias("blocks"), wrapped(F.col("t"), templates, threshold).alias("wrapped")))
     blocks = rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("line", "tokens"))
     found = matches(blocks, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"), F.count_distinct("line").alias("matched"))
     out = rows.join(found, "row", "left")
@@ -137,7 +178,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
         "first_word",
         "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("own", F.array().cast("array<string>"))))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("own", F.array().cast("array<string>")), F.col("wrapped.label")))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest("best", F.array_max("wrapped.containment")), F.lit(0.0))).alias("score"),
         F.coalesce("matched", F.lit(0)).cast("long").alias("matched_lines"),
     )

@@ -57,3 +57,15 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(None, "mit license")] * 2, "doc_id long, text string")
     assert [r.n_base for r in scan(df).collect()] == [1, 1]
     assert not re.search(r"\s", brute("MIT License")[4])
+
+
+def test_notices_that_wrap(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation, either version 3"
+    far = "\n".join(["some other words of the text"] * 40)
+    scattered = "\n".join(reversed(mit.split()))
+    cut = mit.replace("copy\n", "copy\n\n")
+    rows = list(enumerate([mit, bsd, gpl, f"{far}\n{mit}\n{far}", scattered, cut]))
+    got = {r.doc_id: (r.labels, r.score) for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=()).collect()}
+    assert got == {0: ("mit-grant", 1.0), 1: ("bsd-notice", 1.0), 2: ("gpl-or-later-notice", 1.0), 3: ("mit-grant", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
