@@ -202,7 +202,11 @@ def _verify(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that meet the threshold; only texts that are in some pair are shuffled."""
+    pairs = materialise(pairs)
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs_of(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
@@ -225,9 +229,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     members = reps.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key"))
     met = _with_leaders(members)
     star = met.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = materialise(_verified(star, texts, threshold))
+    links = materialise(_verified(star, docs, threshold))
     parts = components(links)
-    more = materialise(_verified(_across(texts, cells, parts, threshold), texts, threshold))
+    more = materialise(_verified(_across(texts, cells, parts, threshold), docs, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
