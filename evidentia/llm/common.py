@@ -28,6 +28,14 @@ def docs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one is set only where none is named, as in tests."""
     sc = spark.sparkContext

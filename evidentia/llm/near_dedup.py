@@ -7,23 +7,29 @@ the order in which they stand in the text: two texts meet in a band if they agre
 their order. With similarity s they meet in one of 16 bands with probability 1 - (1 - s^3)^16, which is
 0.99999 at 0.8.
 
-Candidates come in two steps. First every member of a bucket meets the bucket's leader, which differs from
-band to band; most near texts are one group after that. Then an exact join finds every pair of different
-groups that can still reach the threshold. Shingles are ordered by how often the hash cell that holds them is
-met, rarest first. Texts of x and y shingles, y the longer, at the threshold t match m >= t/(1+t) (x+y) of them,
-so the first matched one stands among the first x - 2t/(1+t) x + 1 of the shorter and the first y - t y + 1 of
-the longer in that order (prefix filter); lengths differ by no more than t allows; what stands behind the
-shared shingle on either side suffices for m (positional filter); and its places in the texts differ by no
-more than the unmatched shingles allowed. A passage that very many texts share is common, so it lies beyond
-the prefix of texts that the rest of it keeps below the threshold.
+Every pair of different groups that meets in a band is decided, but never by listing a bucket's pairs:
+
+1. Leaders. In a bucket one text of each group meets one leader; what the alignment accepts joins the groups.
+   The first round looks at three bands alone, which is enough for most texts, so that a member of a large
+   group meets three leaders and not sixteen; later rounds look at all bands and only at groups still apart.
+2. A bucket of two texts is decided by that. Texts in a larger bucket that still spans several groups enter an
+   exact join. Shingles are ordered by how often their hash cell is met, rarest first. Texts of x and y
+   shingles, y the longer, at the threshold t match m >= t/(1+t) (x+y) of them, so the first matched one stands
+   among the first x - 2t/(1+t) x + 1 of the shorter and the first y - t y + 1 of the longer in that order
+   (prefix filter); lengths differ by no more than t allows; what stands behind the shared shingle on either
+   side suffices for m (positional filter); its places in the texts differ by no more than the unmatched
+   shingles allowed; and bits in which the parity codes of the texts differ are no more than those, as every
+   differing bit takes an unmatched shingle. Under one shingle only texts outside its main group are paired,
+   with all others, so that a group however large is never paired with itself.
 
 A candidate is verified by alignment in a diagonal band: equal labelled shingles whose places differ by no
 more than the unmatched shingles allowed, in the longest chain that is increasing in both texts, counted
 against the union. Links of `threshold` or more make groups as connected components.
 
 Defined results: a null text is alone in its class; equal texts, empty ones too, are one class; a text of
-fewer than five words has its whole word sequence as its only shingle, one without words none; repeated rows
-of an id stay repeated; extra columns are ignored.
+fewer than five words has its whole word sequence as its only shingle, one without words none; each row of an
+id is in the class of its own text, so that repeated and null ids do no harm; of ties the least id counts, a
+null id after all others; very long texts go through whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import docs_of, materialise, ship
+from evidentia.llm.common import docs_of, fresh_name, materialise, ship
 from evidentia.llm.graph import components
 from evidentia.llm.rolling import Doc, WordHash, chunked, mix, words
 
@@ -47,8 +53,11 @@ SHINGLE = 5
 BANDS = 16
 MINIMA = 3
 THRESHOLD = 0.8
+FIRST_BANDS = 3
+LEADER_ROUNDS = 2
 CELLS = 1 << 18
-SKETCHED = ["doc_id", "digest", "bands", "cells", "met"]
+CODE_WORDS = 16
+LINK = "a long, b long, similarity double"
 
 
 def labelled_shingles(d: Doc, i: int, size: int = SHINGLE):
@@ -117,74 +126,81 @@ def cell(shingles):
     return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _sketches(bands: int, minima: int):
+def parity_code(shingles):
+    """For each bit whether an odd number of shingles falls to it; two codes differ in no more bits than the texts in shingles."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * CODE_WORDS), minlength=64 * CODE_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _each(columns: list[str], made):
+    """Run made(shingles) over the texts of a batch and keep the named columns beside its result."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        met = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             done = 0
-            for ids, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for ids, docs in chunked(list(range(batch.num_rows)), batch.column("text").to_pylist()):
                 d = Doc(docs, memo)
-                shingles = [labelled_shingles(d, i) for i in range(len(docs))]
-                met += np.bincount(cell(np.concatenate(shingles)), minlength=CELLS)
-                none = pa.nulls(len(ids), pa.list_(pa.int64()))
-                yield pa.record_batch(
-                    [
-                        pa.array(ids, pa.int64()),
-                        batch.column("digest").slice(done, len(ids)),
-                        pa.array([sketch(s, bands, minima).view(np.int64) for s in shingles], pa.list_(pa.int64())),
-                        none,
-                        none,
-                    ],
-                    names=SKETCHED,
-                )
+                part = batch.slice(done, len(ids))
                 done += len(ids)
-        cells = np.flatnonzero(met)
-        lists = pa.list_(pa.int64())
-        yield pa.record_batch(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, lists), pa.array([cells], lists), pa.array([met[cells]], lists)], names=SKETCHED
-        )
+                yield made([part.column(c) for c in columns], [labelled_shingles(d, i) for i in range(len(ids))])
 
     return run
 
 
+def _sketches(bands: int, minima: int):
+    def made(columns, shingles):
+        keys = pa.array([sketch(s, bands, minima).view(np.int64) for s in shingles], pa.list_(pa.int64()))
+        return pa.record_batch([*columns, keys], names=["row", "doc_id", "digest", "bands"])
+
+    return _each(["row", "doc_id", "digest"], made)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each cell is met in a partition, as two lists."""
+    met = np.zeros(CELLS, dtype=np.int64)
+    for _ in _each([], lambda _, shingles: np.add(met, np.bincount(cell(np.concatenate(shingles)), minlength=CELLS), out=met))(batches):
+        pass
+    at = np.flatnonzero(met)
+    yield pa.record_batch([pa.array([at], pa.list_(pa.int64())), pa.array([met[at]], pa.list_(pa.int64()))], names=["cells", "met"])
+
+
 def _prefixes(threshold: float, met):
     """The rarest shingles of each text: their place in that order (pos) and in the text, and whether a shorter text needs them too."""
     up, down = ratio(threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for batch in batches:
-            done = 0
-            for ids, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                d = Doc(docs, memo)
-                keys, places, sizes, taken, short = [], [], [], [], []
-                for i in range(len(docs)):
-                    s = labelled_shingles(d, i)
-                    n = len(s)
-                    take = n - -(-up * n // down) + 1 if n else 0
-                    order = np.lexsort((s, met[cell(s)]))[:take]
-                    keys.append(s[order])
-                    places.append(order)
-                    sizes.append(n)
-                    taken.append(take)
-                    short.append(n - -(-2 * up * n // (up + down)) + 1)
-                pos = np.concatenate([np.arange(t) for t in taken])
-                yield pa.record_batch(
-                    [
-                        pa.array(np.repeat(np.array(ids, dtype=np.int64), taken)),
-                        pa.array(np.repeat(batch.column("part").slice(done, len(ids)).to_numpy(), taken)),
-                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), taken)),
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                        pa.array(pos < np.repeat(np.array(short), taken)),
-                    ],
-                    names=["rep", "part", "n", "key", "pos", "place", "short"],
-                )
-                done += len(ids)
+    def made(columns, shingles):
+        rep, part = columns
+        keys, places, taken, short = [], [], [], []
+        for s in shingles:
+            n = len(s)
+            take = n - -(-up * n // down) + 1 if n else 0
+            order = np.lexsort((s, met[cell(s)]))[:take]
+            keys.append(s[order])
+            places.append(order)
+            taken.append(take)
+            short.append(n - -(-2 * up * n // (up + down)) + 1)
+        pos = np.concatenate([np.arange(t) for t in taken])
+        spread = lambda x: pa.array(np.repeat(np.asarray(x), taken))
+        return pa.record_batch(
+            [
+                spread(rep.to_numpy()),
+                spread(part.to_numpy()),
+                spread(np.array([len(s) for s in shingles], dtype=np.int32)),
+                pa.array(np.concatenate(keys).view(np.int64)),
+                pa.array(pos.astype(np.int32)),
+                pa.array(np.concatenate(places).astype(np.int32)),
+                pa.array(pos < np.repeat(np.array(short), taken)),
+            ],
+            names=["rep", "part", "n", "key", "pos", "place", "short"],
+        )
+
+    return _each(["rep", "part"], made)
 
-    return run
+
+def _codes(columns, shingles):
+    codes = np.stack([parity_code(s) for s in shingles])
+    return pa.record_batch([*columns, *[pa.array(np.ascontiguousarray(codes[:, i])) for i in range(CODE_WORDS)]], names=["rep", *[f"c{i}" for i in range(CODE_WORDS)]])
 
 
 def _verify(threshold: float):
@@ -202,81 +218,145 @@ def _verify(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _ident(doc_id: Column, digest: Column) -> Column:
+    """One value for id and text together, also where the id is null."""
+    return F.concat(digest, F.coalesce(doc_id.cast("string").cast("binary"), F.lit(b"")))
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The columns of chosen, of which `ident` names rows of the documents, and the text of each."""
+    texts = docs_of(docs).where("text is not null").select(_ident(F.col("doc_id"), _digest(F.col("text"))).alias("ident"), "text")
+    return texts.join(chosen, "ident").dropDuplicates(["ident"]).drop("ident")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs that meet the threshold; only texts that are in some pair are shuffled."""
-    pairs = materialise(pairs)
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs_of(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = materialise(_texts(docs, reps.select("rep", "ident").join(ends, "rep")))
+    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    found = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(threshold), LINK)
+    return materialise(found.where(F.col("similarity") >= threshold))
+
+
+def classes(docs: DataFrame, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame]:
+    """The rows with a text (row, doc_id, digest) and one row (rep, class_id, ident, digest, bands) for each distinct text."""
+    rows = docs_of(docs).where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", _digest(F.col("text")).alias("digest"), "text")
+    rows = materialise(rows.mapInArrow(_sketches(bands, minima), "row long, doc_id long, digest binary, bands array<long>"))
+    reps = rows.groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
+    return rows.select("row", "doc_id", "digest"), materialise(reps.select("rep", "class_id", _ident(F.col("class_id"), F.col("digest")).alias("ident"), "digest", "bands"))
+
+
+def _with_parts(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return members.withColumn("part", F.col("rep"))
+    return members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketched rows (doc_id, digest), one row (rep, digest, bands) for each distinct text, and how often each hash cell is met (cell, n)."""
-    rows = docs_of(docs).withColumn("digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.concat(F.lit("null "), F.col("doc_id").cast("string")).cast("binary")))))
-    rows = materialise(rows.mapInArrow(_sketches(bands, minima), "doc_id long, digest binary, bands array<long>, cells array<long>, met array<long>"))
-    reps = rows.where("cells is null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    cells = rows.where("cells is not null").select(F.inline(F.arrays_zip("cells", "met"))).groupBy(F.col("cells").alias("cell")).agg(F.sum("met").alias("n"))
-    return rows.where("cells is null").select("doc_id", "digest"), reps, cells
+def _leaders(members: DataFrame, nth: int) -> DataFrame:
+    """From (key, rep, part) to pairs of a text of each group in a bucket with the bucket's leader, where they are of different groups."""
+    rank = F.xxhash64("rep", "key", F.lit(nth))
+    ones = materialise(members.groupBy("key", "part").agg(F.min_by("rep", rank).alias("rep")))
+    led = ones.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", rank).alias("leader")).where("n > 1").select("key", "leader")
+    met = ones.join(materialise(led), "key").where("rep <> leader")
+    return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows of the input with their digest, classes (rep, digest), verified links (a, b, similarity) between reps, and the groups (id, component) they make."""
-    rows, reps, cells = classes(docs, bands, minima)
-    reps = materialise(reps)
-    texts = docs_of(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = reps.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key"))
-    met = _with_leaders(members)
-    star = met.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = materialise(_verified(star, docs, threshold))
-    parts = components(links)
-    more = materialise(_verified(_across(texts, cells, parts, threshold), docs, threshold))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    return rows, reps, links, parts
-
-
-def _with_leaders(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's leader."""
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("leader")).where("n > 1").drop("n")
-    return materialise(members.join(materialise(buckets), "key"))
-
-
-def _across(texts: DataFrame, cells: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different parts, all that can reach the threshold among them."""
-    up, down = ratio(threshold)
-    counted = cells.toPandas()  # no more rows than cells
+    """Rows (row, doc_id, digest), classes (rep, class_id, ident, digest), verified links (a, b, similarity) between reps, and the groups (id, component) they make."""
+    rows, reps = classes(docs, bands, minima)
+    links, parts, tested = None, None, None
+    for nth in range(LEADER_ROUNDS + 1):
+        keys = F.slice("bands", 1, FIRST_BANDS) if nth == 0 else F.col("bands")
+        pairs = _leaders(_with_parts(reps.select("rep", F.explode(keys).alias("key")), parts), nth)
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        links, parts = _joined(links, parts, pairs, docs, reps, threshold)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    crowd = materialise(_crowd(reps, parts))
+    if not crowd.isEmpty():
+        pairs = materialise(_across(crowd, docs, reps, threshold).join(tested, ["a", "b"], "left_anti"))
+        links, parts = _joined(links, parts, pairs, docs, reps, threshold)
+    return rows, reps.drop("bands"), links, parts
+
+
+def _joined(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The links and groups with those that the pairs add."""
+    if links is not None and pairs.isEmpty():
+        return links, parts
+    more = _verified(pairs, docs, reps, threshold)
+    if links is None:
+        return more, components(more)
+    if more.isEmpty():
+        return links, parts
+    edges = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+    return links.unionByName(more), components(edges)
+
+
+def _crowd(reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, part) of the texts in buckets of three or more that still span several groups."""
+    members = materialise(_with_parts(reps.select("rep", F.explode("bands").alias("key")), parts))
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("n > 2 and least < most").select("key")
+    return members.join(open_keys, "key", "left_semi").groupBy("rep").agg(F.first("part").alias("part"))
+
+
+def _across(crowd: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different parts, all that can reach the threshold among the crowd."""
+    up, down = (F.lit(x).cast("long") for x in ratio(threshold))
+    texts = materialise(_texts(docs, reps.select("rep", "ident").join(crowd, "rep")))
+    counts = texts.select("text").mapInArrow(_cells, "cells array<long>, met array<long>").select(F.inline(F.arrays_zip("cells", "met"))).groupBy("cells").agg(F.sum("met").alias("met"))
+    counts = counts.toPandas()  # no more rows than cells
     met = np.zeros(CELLS, dtype=np.int64)
-    met[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    placed = texts.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("part"))
-    rare = materialise(placed.mapInArrow(_prefixes(threshold, met), "rep long, part long, n int, key long, pos int, place int, short boolean"))
-    x, y = rare.where("short").drop("short").alias("x"), rare.drop("short").alias("y")
+    met[counts["cells"].to_numpy(dtype=np.int64)] = counts["met"].to_numpy(dtype=np.int64)
+    rare = materialise(texts.mapInArrow(_prefixes(threshold, met), "rep long, part long, n int, key long, pos int, place int, short boolean"))
+    sized = rare.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mains = materialise(sized.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.max_by("part", F.struct("n", "part")).alias("main")).where("of > 1").select("key", "main"))
+    rare = rare.join(mains, "key").withColumn("minor", F.col("part") != F.col("main")).drop("main")
+    code = [f"c{i}" for i in range(CODE_WORDS)]
+    codes = texts.select("rep", "text").mapInArrow(_each(["rep"], _codes), ", ".join(["rep long", *[f"{c} long" for c in code]]))
+    rare = materialise(rare.join(codes, "rep"))
+    x, y = rare.where("minor").alias("x"), rare.alias("y")
     both = F.col("x.n") + F.col("y.n")
+    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in code[1:]), F.bit_count(F.col("x.c0").bitwiseXOR(F.col("y.c0"))))
     meet = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.part") != F.col("y.part"))
-        & ((F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
-        & (F.col("x.n") * down >= F.col("y.n") * up)
+        & (~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep")))
+        & F.when(shorter, F.col("x.short")).otherwise(F.col("y.short"))
+        & (F.least("x.n", "y.n") * down >= F.greatest("x.n", "y.n") * up)
         & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (up + down) >= both * up)
         & (F.abs(F.col("x.place") - F.col("y.place")) * (up + down) <= both * (down - up))
+        & (differ * (up + down) <= both * (down - up))
     )
     return x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def _grouped(docs: DataFrame, threshold: float, bands: int, minima: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, digest) and classes (digest, class_id, ident, group: the first class of its group)."""
+    rows, reps, _, parts = near_links(docs, threshold, bands, minima)
+    placed = _with_parts(reps, parts)
+    order = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "digest", "ident")
+    firsts = placed.groupBy("part").agg(F.min(order).alias("group"))
+    return rows, materialise(placed.join(firsts, "part").select("digest", "class_id", "ident", "group"))
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA) -> DataFrame:
-    """doc_id, class_id (least id with that text), group_id (least id of the near group), n_links of the class."""
-    rows, reps, links, parts = near_links(docs, threshold, bands, minima)
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = reps.select("rep", "digest").join(parts.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
-    return rows.join(named, "digest").select(
-        "doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    """doc_id, class_id (least id with that text), group_id (least id of the near group); a row for each row."""
+    rows, named = _grouped(docs, threshold, bands, minima)
+    found = rows.join(named, "digest").select("doc_id", "class_id", F.col("group.class_id").alias("group_id"))
+    alone = F.col("doc_id").cast("long")
+    return found.unionByName(docs.where("text is null").select(alone.alias("doc_id"), alone.alias("class_id"), alone.alias("group_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, of one document of each group: the least id. Null ids and null texts stay."""
-    firsts = near_groups(docs, threshold).where("doc_id = group_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows, with all their columns, of one document of each group: the least id. Null texts stay; of rows that repeat both id and text one stays."""
+    _, named = _grouped(docs, threshold, BANDS, MINIMA)
+    name = fresh_name(docs, "ident")
+    firsts = named.where(F.col("ident") == F.col("group.ident")).select(F.col("ident").alias(name))
+    text = F.col("text").cast("string")
+    kept = docs.where("text is not null").withColumn(name, _ident(F.col("doc_id").cast("long"), _digest(text))).join(firsts, name, "left_semi")
+    return kept.dropDuplicates([name]).drop(name).unionByName(docs.where("text is null"))
