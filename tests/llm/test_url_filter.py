@@ -1,7 +1,11 @@
+import random
 import re
+from collections import Counter, defaultdict
+from math import sqrt
 
 from pyspark.sql import functions as F
 
+from evidentia.llm import url_filter as u
 from evidentia.llm.url_filter import RULES, judge
 
 URLS = [
@@ -41,11 +45,92 @@ def test_templates_reject_and_keep(spark):
     got = {(r.host, r.template): (r.verdict, r.n) for r in rows}
     assert got[("slug.com", "/*")] == ("allow", 128)
     assert got[("bad.com", "/other/*")] == ("allow", 30) and got[("bad.com", "/good/*")] == ("allow", 30)
+    assert got[("bad.com", "/spam/*")] == ("block", 30)
     wide = [f"http://w.com/x/{i}" for i in range(100)]
     most = tuple((f"w.com/x/{d}", "block") for d in range(1, 10))
     judged = judge(spark.createDataFrame(list(enumerate(wide)), "page_id long, url string"), most).collect()
     assert all(r.verdict == "block" for r in judged)
 
 
+def tree_by_hand(pages, depth):
+    """(host, segments) to its template and smoothed purity; pages: (host, segments, verdict of a rule or None)."""
+    path = {(h, s): s for h, s, _ in pages}
+    n = Counter((h, s) for h, s, _ in pages)
+    lab = {v: Counter((h, s) for h, s, x in pages if x == v) for v in ("block", "allow")}
+    tally = lambda keys: (sum(n[k] for k in keys), sum(lab["block"][k] for k in keys), sum(lab["allow"][k] for k in keys))
+    for level in range(depth):
+        nodes = defaultdict(lambda: defaultdict(list))
+        for k, p in path.items():
+            if len(p) > level and p[level] != "*":
+                nodes[k[0], p[:level]][p[level]].append(k)
+        for branches in nodes.values():
+            if len(branches) < 2:
+                continue
+            every = [k for b in branches.values() for k in b]
+            total, bad, good = tally(every)
+            form = lambda k, at=level: tuple("*" if x == "*" else "c" for x in path[k][at + 1 :])
+            forms = Counter()
+            for k in every:
+                forms[form(k)] += n[k]
+            if len(branches) > u.FANOUT and total < u.REPEATS * len(branches):
+                turned = dict.fromkeys(branches, "*")
+            else:
+                turned = {}
+                for name, keys in branches.items():
+                    size, b, g = tally(keys)
+                    own = Counter()
+                    for k in keys:
+                        own[form(k)] += n[k]
+                    chi = sum((own[f] - size * forms[f] / total) ** 2 / (size * forms[f] / total) + (own[f] * -1 + forms[f] - (total - size) * forms[f] / total) ** 2 / ((total - size) * forms[f] / total) for f in forms)
+                    df = len(forms) - 1
+                    alike = df == 0 or chi <= df * (1 - 2 / (9 * df) + 2.326348 * sqrt(2 / (9 * df))) ** 3 + 1e-6
+                    seen, rest = b + g, bad + good - b - g
+                    if seen >= u.LEAST_LABELLED and rest >= u.LEAST_LABELLED:
+                        share = bad / (bad + good)
+                        alike &= abs(b / seen - (bad - b) / rest) <= u.Z * sqrt(share * (1 - share) * (1 / seen + 1 / rest)) + 1e-9
+                    elif seen < u.LEAST_LABELLED:
+                        alike &= not (bad >= u.LEAST_LABELLED and good >= u.LEAST_LABELLED)
+                    if alike:
+                        turned[name] = "~"
+            if len(turned) > 1:
+                for name, to in turned.items():
+                    for k in branches[name]:
+                        path[k] = (*path[k][:level], to, *path[k][level + 1 :])
+    _, bad, good = tally(list(n))
+    smooth = lambda b, g, prior: (b + u.SMOOTHING * prior) / (b + g + u.SMOOTHING)
+    out = {}
+    for k, p in path.items():
+        host = smooth(*tally([x for x in n if x[0] == k[0]])[1:], smooth(bad, good, 0.5))
+        _, b, g = tally([x for x in n if x[0] == k[0] and path[x] == p])
+        out[k] = p, smooth(b, g, host), b + g >= u.LEAST_LABELLED and smooth(b, g, host) >= u.PURITY
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    r = random.Random(4)
+    rules = (("a.com/s/", "block"), ("a.com/t/", "block"), ("b.com/good/", "allow"), ("b.com/bad/", "block"), ("c.com/x/deep/", "block"), ("d.com/q/", "block"))
+    paths = [lambda: f"{r.choice('stuv')}/{r.randrange(99)}", lambda: f"{r.choice(['good', 'bad', 'new'])}/{r.randrange(9)}.html", lambda: f"x/{r.choice(['deep', 'flat'])}/{r.choice('abc')}/{r.randrange(9)}/end/of/it",
+             lambda: f"{r.choice('qrs')}/{''.join(r.choice('abcdef') for _ in range(5))}", lambda: "about", lambda: ""]
+    urls = [f"http://{r.choice('abcde')}.com/{r.choice(paths)()}" for _ in range(1500)] + [f"http://d.com/{r.choice('qr')}/{r.choice('abcdefghijkl')}{x}" for x in "mnopqrstuvwx" for _ in range(4)]
+    rows = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    cut = lambda p: tuple("*" if re.search("[0-9]", x) or len(x) > u.LONG else x for x in p.split("/") if x)
+    verdict = dict(rules)
+    want = tree_by_hand([(x.host, cut(x.path), verdict.get(x.rule)) for x in rows], u.DEPTH)
+    blocked = 0
+    for x in rows:
+        template, pure, rejected = want[x.host, cut(x.path)]
+        assert x.template == "/" + "/".join(template) and abs(x.template_purity - pure) < 1e-5
+        assert x.verdict == (verdict.get(x.rule) or ("block" if rejected else "allow"))
+        blocked += x.rule is None and rejected
+    assert 0 < blocked < len(rows) / 2
+
+
+def test_long_urls_and_ties(spark):
+    urls = ["http://h.com/" + "/".join(["seg"] * 3000), "http://h.com/" + "x" * 100_000, "http://h.com/a", "http://h.com/a", "http://h.com/b"]
+    got = {x.page_id: x for x in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == 5 and got[1].template == "/*" and all(x.verdict == "allow" for x in got.values())
+    assert got[0].template.count("seg") >= 2996
+
+
 def test_empty(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
