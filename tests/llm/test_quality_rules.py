@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidentia.llm.quality_rules import DIMS, FLOORS, UNIT, base_statistics, judge, robust_distances
+from evidentia.llm.quality_rules import CUT, DIMS, FLOORS, UNIT, base_statistics, estimates, judge, robust_distances
 
 
 def brute(t):
@@ -40,30 +40,60 @@ def test_statistics_by_hand(spark):
 
 
 def robust_by_hand(x):
-    """Concentration steps over all rows of one group, with exact quantiles."""
-    def step(d):
-        sub = x[d <= np.sort(d)[int(np.ceil(0.75 * len(x))) - 1]]
+    """Least determinant over three starts, each concentrated until it settles, with exact quantiles."""
+    def subset(d):
+        return x[d <= np.sort(d)[int(np.ceil(0.75 * len(x))) - 1]]
+
+    def fitted(sub):
         mu, cov = sub.mean(0), np.cov(sub.T, bias=True) + np.diag(np.square(FLOORS))
-        return np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+        return np.linalg.det(cov), np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
 
     mid = np.median(x, 0)
     mad = 1.4826 * np.median(abs(x - mid), 0)
-    d = (abs(x - mid) / np.maximum(mad, FLOORS)).max(1)
-    for _ in range(3):
-        d = step(d)
-    return d / max(1, np.median(d) / 3.3567)
-
-
-def test_distances_against_numpy(spark):
+    z = abs(x - mid) / np.maximum(mad, FLOORS)
+    ends = []
+    for start in (z.max(1), z.sum(1), (z * z).sum(1)):
+        det, d = fitted(subset(start))
+        while True:
+            new, further = fitted(subset(d))
+            if new >= det * (1 - 1e-9):
+                break
+            det, d = new, further
+        ends.append((det, d))
+    det, d = min(ends, key=lambda e: e[0])
+    return det, d / max(1, np.median(d) / 3.3567)
+
+
+def test_estimates_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4)) * [0.3, 1, 1, 1] + [1.6, 1, 2, 3]
     x[:100] += [2, 4, 0, 0]
-    rows = [(i, "g", *[int(round(v * UNIT)) for v in row]) for i, row in enumerate(x.tolist())]
-    df = spark.createDataFrame(rows, f"doc_id long, group string, {', '.join(f'{d} long' for d in DIMS)}")
-    got = robust_distances(df).toPandas().set_index("doc_id").distance.sort_index().to_numpy()
-    want = robust_by_hand(x)
-    assert np.median(abs(got - want) / np.maximum(want, 1)) < 0.08
-    assert ((got > 25) == (want > 25)).mean() > 0.99 and (got[:100] > 25).mean() > 0.9 and (got[100:] > 25).mean() < 0.002
+    y = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 4)) + 2
+    y[::7] = [4, 0, 4, 0]  # ties: many equal rows far off
+    both = {"g": np.round(x, 3), "h": np.round(y, 3)}
+    rows = [(1000 * k + i, g, *[int(round(v * UNIT)) for v in row]) for k, (g, m) in enumerate(both.items()) for i, row in enumerate(m.tolist())]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], f"doc_id long, group string, {', '.join(f'{d} long' for d in DIMS)}")
+    got = robust_distances(df).toPandas().set_index("doc_id").sort_index()
+    dets = {r.group: r.det for r in estimates(df).collect()}
+    for g, m in both.items():
+        det, want = robust_by_hand(m)
+        mine = got[got.group == g].distance.to_numpy()
+        assert abs(dets[g] / det - 1) < 0.1
+        assert np.median(abs(mine - want) / np.maximum(want, 1)) < 0.1
+        assert ((mine > CUT) == (want > CUT)).mean() > 0.99
+    mine = got[got.group == "g"].distance.to_numpy()
+    assert (mine[:100] > CUT).mean() > 0.9 and (mine[100:] > CUT).mean() < 0.005
+
+
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9))) for _ in range(n)) + "."
+    noisy = lambda n: " ".join(f"{w}###" for w in prose(n).split())
+    rows = [(i, prose(60), "en", "big") for i in range(60)] + [(100, noisy(60), "en", "rare"), (101, prose(60), "en", "rare")]
+    rows += [(200, noisy(60), "xx", "one"), (201, prose(60), "yy", None)]
+    got = {x.doc_id: x for x in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[100].kept and not got[200].kept
+    assert got[101].kept and got[201].kept and all(got[i].kept for i in range(60)) and all(x.distance is not None for x in got.values())
 
 
 def test_outliers_and_odd_rows(spark):
