@@ -37,10 +37,12 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is named, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one of its own only on a local master."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt_"))
     return sc.getCheckpointDir()
 
@@ -55,7 +57,18 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it from there, column by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["shared_path"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that came from materialise, when nothing reads them any more."""
+    for df in frames:
+        if path := df.__dict__.pop("shared_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def crc_mod(col: Column, mod: int) -> Column:

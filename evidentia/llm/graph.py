@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialise
+from evidentia.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of an edge (a, b); a component is named by its least id.
 
     Each round takes the least label among the neighbours and then the label of that label, so that the
-    rounds grow with the logarithm of a path's length. Labels stay on the executors; only the count of
-    changes comes to the driver.
+    rounds grow with the logarithm of a path's length. Labels stay on the executors; only whether any
+    changed comes to the driver. The tables of a round are deleted when the next one is written.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component", F.lit(None).cast("long").alias("own"))
-        step = near.unionByName(labels.withColumn("own", F.col("component"))).groupBy("id").agg(F.max("own").alias("old"), F.min("component").alias("via"))
+        step = near.unionByName(labels.select("id", "component", F.col("component").alias("own"))).groupBy("id").agg(F.max("own").alias("old"), F.min("component").alias("via"))
         jump = step.join(labels.select(F.col("id").alias("via"), F.col("component").alias("far")), "via")
         new = materialise(jump.select("id", "old", F.least("via", "far").alias("component")))
-        labels = new.select("id", "component")
+        discard(labels)
+        labels = new
         if new.where("component < old").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("id", "component")

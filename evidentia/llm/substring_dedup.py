@@ -1,23 +1,26 @@
 """Substring deduplication by compaction of a De Bruijn graph of words.
 
-Every run of `window` words is an edge of the graph. An edge belongs to its anchor: the k-mer of least hash
-inside it, so that equal edges share their anchor wherever they stand. Consecutive edges with the same anchor
-form one path segment; a segment is stored as its anchor, its source coordinates and a hash of its words,
-which keeps the graph about fourteen times smaller than a row for each edge.
-
-1. Count anchors; an anchor met once has no repeated edge and goes.
-2. Join the segments to the anchors that remain, and compact them: equal segments become one variant with a
-   count. Segments of a variant met twice or more are nonbranching and repeated from end to end.
-3. Where an anchor has several variants the graph branches. The coordinates of one segment of each variant
-   lead back to the source text; its edges are hashed one by one and counted under the anchor.
-4. Spans of repeated edges are joined to the texts, and the words they cover go.
-
-No group of equal anchors is ever gathered: counts are partial sums, and rows meet them by joins. Two
-unequal edges are taken as equal only if anchor and edge hash, 128 bits in all, agree.
+Every run of `window` words is an edge of the graph; its nodes are the runs of one word less at either end. An
+edge belongs to its anchor: the k-mer of least hash inside it, so that equal edges share their anchor wherever
+they stand. Consecutive edges with the same anchor are stored as one segment: its anchor, its source
+coordinates and a 128-bit digest of the words that stand there, which keeps the graph about fourteen times
+smaller than a row for each edge, and equality a matter of words and not of rolling hashes.
+
+1. Segments are written once. An anchor met once has no repeated edge and goes.
+2. Equal segments, by digest, become one unit with a count. What is met twice or more is repeated from end to end.
+3. Where an anchor has several units, they may share single edges. The coordinates of one segment of each lead
+   back to the source text; its edges are digested one by one, and those met twice or more are units too.
+4. Units that follow each other in some text are linked through the node they share. A join gives every unit the
+   number of different units that follow and precede it; where that is one on both sides the path does not
+   branch, and the text's units on it become one span by their coordinates.
+5. The spans are joined to the texts, and the words they cover go.
+
+No group of equal anchors or units is ever gathered: counts are partial sums, and rows meet them by joins.
 
 Defined results: a null text has no words and an empty text stays empty; texts shorter than the window lose
-nothing; rows that repeat an id with the same text each give the same row, and every one counts as a further
-copy; null ids are kept; extra columns are ignored. Ids have to tell different texts apart.
+nothing; every row is a text of its own, whatever its id, so null and repeated ids are kept and their texts
+never mix, and each copy counts; very long texts are cut whole; extra columns are ignored, or kept where the
+function says so, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import docs_of, materialise, ship
+from evidentia.llm.common import discard, docs_of, fresh_name, materialise, ship
 from evidentia.llm.rolling import Doc, WordHash, chunked, leftmost_min, mix, words
 
 ship(__name__)
@@ -40,50 +44,44 @@ ANCHOR = 8
 
 
 def _segments(d: Doc, window: int, k: int):
-    """First edge, number of edges, anchor and the hash of the words of every segment."""
+    """First edge, number of edges and anchor of every segment."""
     edges = d.inside(window)
     if not len(edges):
-        return [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.uint64)] * 2
+        return [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.uint64)]
     kmers = d.grams(k)
     at = leftmost_min(kmers, window - k + 1)[edges]
     new = np.ones(len(edges), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (edges[1:] != edges[:-1] + 1)
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(edges)))
-    whole = d.grams(window)
-    start = edges[first]
-    content = mix(mix(whole[start], whole[start + count - 1]), count.astype(np.uint64))
-    return start, count, kmers[at[first]], content
+    return edges[first], np.diff(np.append(first, len(edges))), kmers[at[first]]
 
 
-def _anchors(window: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for batch in batches:
-            for _, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                anchors = _segments(Doc(docs, memo), window, k)[2]
-                yield pa.record_batch([pa.array(anchors.view(np.int64))], names=["anchor"])
-
-    return run
+def word_digests(ws: list[bytes], starts: list[int], ends: list[int]):
+    """Two 64-bit halves of the digest of each run of words; words hold no space, so the join is one to one."""
+    raw = b"".join([xxhash.xxh3_128_digest(b" ".join(ws[a:b])) for a, b in zip(starts, ends, strict=True)])
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
 
 
 def _occurrences(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         for batch in batches:
-            for ids, docs in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for rows, docs in chunked(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 d = Doc(docs, memo)
-                start, count, anchors, content = _segments(d, window, k)
+                start, count, anchors = _segments(d, window, k)
                 doc = d.doc_at(start)
+                flat = [w for ws in docs for w in ws]
+                digests = word_digests(flat, start.tolist(), (start + count + window - 1).tolist())
                 yield pa.record_batch(
                     [
-                        pa.array(anchors.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        pa.array(ids, pa.int64()).take(pa.array(doc)),
+                        pa.array(np.array(rows, dtype=np.int64)[doc]),
                         pa.array((start - d.starts[doc]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
+                        pa.array(anchors.view(np.int64)),
+                        pa.array(np.ascontiguousarray(digests[:, 0])),
+                        pa.array(np.ascontiguousarray(digests[:, 1])),
                     ],
-                    names=["anchor", "content", "doc_id", "start", "edges"],
+                    names=["row", "start", "edges", "anchor", "u1", "u2"],
                 )
 
     return run
@@ -91,23 +89,23 @@ def _occurrences(window: int, k: int):
 
 def _edges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("segments").to_pylist(), strict=True)
-            for doc_id, text, segments in rows:
-                whole = Doc([words(text)], memo).grams(window)
+            rows = zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("segments").to_pylist(), strict=True)
+            for row, text, segments in rows:
+                ws = words(text)
                 count = np.array([s["edges"] for s in segments], dtype=np.int64)
                 start = np.array([s["start"] for s in segments], dtype=np.int64)
                 at = np.repeat(start - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
+                digests = word_digests(ws, at.tolist(), (at + window).tolist())
                 yield pa.record_batch(
                     [
-                        pa.array(np.repeat(np.array([s["anchor"] for s in segments], dtype=np.int64), count)),
-                        pa.array(whole[at].view(np.int64)),
-                        pa.array([doc_id] * len(at), pa.int64()),
+                        pa.array(np.full(len(at), row, dtype=np.int64)),
                         pa.array(at.astype(np.int32)),
+                        pa.array(np.ascontiguousarray(digests[:, 0])),
+                        pa.array(np.ascontiguousarray(digests[:, 1])),
                         pa.array(np.repeat(np.array([s["once"] for s in segments], dtype=bool), count)),
                     ],
-                    names=["anchor", "edge", "doc_id", "start", "once"],
+                    names=["row", "start", "u1", "u2", "once"],
                 )
 
     return run
@@ -157,33 +155,60 @@ def _cut(window: int):
     return run
 
 
-def repeated_edges(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """Rows (doc_id, start, edges): runs of repeated edges by source coordinates; runs may overlap."""
-    docs = docs_of(docs)
-    repeated = docs.mapInArrow(_anchors(window, k), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
-    repeated = materialise(repeated)  # a plain table beside the segments, so that those of a hot anchor can be split
-    found = docs.mapInArrow(_occurrences(window, k), "anchor long, content long, doc_id long, start int, edges int")
-    found = materialise(found.join(repeated, "anchor"))
-    variants = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "edges")).alias("at"))
-    variants = materialise(variants)
-    straight = found.join(variants.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "start", "edges")
-    branching = materialise(variants.groupBy("anchor").count().where("count > 1").select("anchor"))
+def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
+    """The documents in the shared folder with a number for each row, which holds however often they are read."""
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
+def repeated_units(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """From (row, text) to every place (row, start, edges) of a repeated unit (u1, u2)."""
+    segments = materialise(texts.mapInArrow(_occurrences(window, k), "row long, start int, edges int, anchor long, u1 long, u2 long"))
+    shared = materialise(segments.groupBy("anchor").count().where("count > 1").select("anchor"))  # a plain table, so that a hot anchor's segments can be split
+    found = materialise(segments.join(shared, "anchor"))
+    discard(segments)
+    units = found.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "edges", "anchor")).alias("at"))
+    units = materialise(units)
+    straight = found.join(units.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select("row", "start", "edges", "u1", "u2")
+    several = materialise(units.groupBy(F.col("at.anchor").alias("anchor")).count().where("count > 1").select("anchor"))
     looked = (
-        variants.join(branching, "anchor")
-        .groupBy(F.col("at.doc_id").alias("doc_id"))
-        .agg(F.collect_list(F.struct("anchor", F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), (F.col("n") == 1).alias("once"))).alias("segments"))
+        units.select("at.*", "n")
+        .join(several, "anchor")
+        .groupBy("row")
+        .agg(F.collect_list(F.struct("start", "edges", (F.col("n") == 1).alias("once"))).alias("segments"))
     )
-    texts = docs.join(looked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "segments")
-    edges = materialise(texts.mapInArrow(_edges(window), "anchor long, edge long, doc_id long, start int, once boolean"))
-    twice = materialise(edges.groupBy("anchor", "edge").count().where("count > 1").select("anchor", "edge"))
-    single = edges.where("once").join(twice, ["anchor", "edge"]).select("doc_id", "start", F.lit(1).alias("edges"))
+    edges = materialise(texts.join(looked, "row").select("row", "text", "segments").mapInArrow(_edges(window), "row long, start int, u1 long, u2 long, once boolean"))
+    twice = materialise(edges.groupBy("u1", "u2").count().where("count > 1").select("u1", "u2"))
+    single = edges.where("once").join(twice, ["u1", "u2"]).select("row", "start", F.lit(1).alias("edges"), "u1", "u2")
     return straight.unionByName(single)
 
 
+def compact(units: DataFrame) -> DataFrame:
+    """From the places of repeated units to spans (row, start, edges): the units of a text on one path that does not branch."""
+    w = Window.partitionBy("row").orderBy("start")
+    touching = F.lag("start").over(w) + F.lag("edges").over(w) == F.col("start")
+    before = F.when(touching, F.struct(F.lag("u1").over(w).alias("u1"), F.lag("u2").over(w).alias("u2")))
+    placed = materialise(units.withColumn("before", before))
+    links = placed.where("before is not null").select("before.*", F.col("u1").alias("v1"), F.col("u2").alias("v2")).distinct()
+    links = materialise(links)
+    forks = links.groupBy("u1", "u2").count().where("count > 1").select("u1", "u2", F.lit(True).alias("fork"), F.lit(False).alias("meet"))
+    meets = links.groupBy(F.col("v1").alias("u1"), F.col("v2").alias("u2")).count().where("count > 1").select("u1", "u2", F.lit(False).alias("fork"), F.lit(True).alias("meet"))
+    branching = materialise(forks.unionByName(meets).groupBy("u1", "u2").agg(F.max("fork").alias("fork"), F.max("meet").alias("meet")))
+    flagged = placed.select("row", "start", "edges", "u1", "u2", F.col("before").isNull().alias("first")).join(branching, ["u1", "u2"], "left")
+    left_fork = F.coalesce(F.lag("fork").over(w), F.lit(False))
+    begins = F.col("first") | F.coalesce("meet", F.lit(False)) | left_fork
+    paths = flagged.select("row", "start", "edges", begins.alias("begins")).withColumn("nth", F.sum(F.col("begins").cast("long")).over(w))
+    return paths.groupBy("row", "nth").agg(F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges")).drop("nth")
+
+
+def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """A row (row, spans) for every text with repeated edges; spans may overlap in words."""
+    return compact(repeated_units(texts, window, k)).groupBy("row").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space), removed_spans (word places)."""
-    spans = repeated_edges(docs, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    both = docs_of(docs).join(spans.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "spans")
+    texts = numbered(docs_of(docs))
+    both = texts.join(repeated_spans(texts.select("row", "text"), window, k), "row", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<first:int,last:int>>")
 
 
@@ -192,14 +217,16 @@ def cut_columns(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataF
 
     A text that loses nothing stays as it is, and so does a null one.
     """
-    spans = repeated_edges(docs, window, k).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    both = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left").drop("of")
+    row, gone = fresh_name(docs, "row"), fresh_name(docs, "spans")
+    rows = numbered(docs, row)
+    spans = repeated_spans(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), window, k)
+    both = rows.join(spans.select(F.col("row").alias(row), F.col("spans").alias(gone)), row, "left").drop(row)
     kept = T.StructType([*docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [left_of(t, s, window) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            columns = {name: batch.column(name) for name in batch.schema.names if name != "spans"}
+            texts = [left_of(t, s, window) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column(gone).to_pylist(), strict=True)]
+            columns = {name: batch.column(name) for name in batch.schema.names if name != gone}
             columns["text"] = pa.array(texts, pa.string())
             yield pa.record_batch(list(columns.values()), names=list(columns))
 

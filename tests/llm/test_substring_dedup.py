@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from evidentia.llm.substring_dedup import dedup_substrings, digests
+from evidentia.llm.substring_dedup import compact, cut_columns, dedup_substrings, digests
 
 
 def brute(rows, window):
@@ -42,3 +42,30 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     text = " ".join(map(str, range(40)))
     rows = dedup_substrings(spark.createDataFrame([(None, text), (None, text), (7, text), (8, "a b")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 40), (0, 40), (7, 40), (8, 0)]
+
+
+def test_rows_of_one_id_do_not_mix_and_names_do_not_clash(spark):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    shared = fresh(50)
+    texts = [f"{fresh(10)} {shared}", fresh(100), f"{shared} {fresh(5)}", fresh(3), None, fresh(60), f"{fresh(70)} {shared}", fresh(30_000)]
+    ids = [None, None, None, 4, 4, 4, 4, None]
+    rows = [(i, t, k, 0, 1, 2, 3) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, row int, `of` int, start int, n_chars int").repartition(3)
+    want = brute(list(enumerate(texts)), 35)
+    got = {x.spans: x for x in cut_columns(df).collect()}
+    assert len(got) == len(rows)
+    for k, t in enumerate(texts):
+        n, gone, sha = want[k]
+        if gone:
+            assert hashlib.sha256(got[k].text.encode()).hexdigest() == sha and got[k].n_chars == len(got[k].text)
+        else:
+            assert got[k].text == t
+    assert sorted((x.n_words, x.n_removed, x.kept_sha256) for x in digests(dedup_substrings(df)).collect()) == sorted(want.values())
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    # units a b c in two texts, a b d in a third: b forks, so the path a-b ends there
+    rows = [(r, at, 2, ord(u), 0) for r, units in enumerate(["abc", "abc", "abd", "x"]) for at, u in zip(range(0, 9, 2), units)]
+    got = {(x.row, x.start, x.edges) for x in compact(spark.createDataFrame(rows, "row long, start int, edges int, u1 long, u2 long")).collect()}
+    assert got == {(0, 0, 4), (0, 4, 2), (1, 0, 4), (1, 4, 2), (2, 0, 4), (2, 4, 2), (3, 0, 2)}
