@@ -6,13 +6,17 @@ it, all on diagonals that differ by at most e. Every place of a text whose q-gra
 counted in two overlapping bands of diagonals, each 2e wide and e apart, so that one band holds all of a
 copy's hits. Bands with enough hits are verified by alignment within the band.
 
-Documents are spread over tasks and never shuffled. The items are a query set: they travel to the tasks in
-blocks of at most `block_letters` letters, one pass over the documents for each block, so that what is sent
-is bounded however many items there are.
+An item of fewer than `MIN_LETTERS` letters allows no edits and has to stand between borders of words; one of
+fewer than q letters has no q-gram and matches only a text that has no other letters.
 
-Defined results: null and empty texts and items, and items of fewer than `min_letters` letters, match
-nothing; items that repeat each match; rows that repeat an id each give their rows; extra columns are
-ignored.
+Documents are spread over tasks and never shuffled. The items are a query set: the driver takes them up a
+block of at most `block_letters` letters at a time, and each block is one pass over the documents whose
+result is written before the next block is fetched, so that neither the driver nor a task holds more than
+one block, however many items there are.
+
+Defined results: null and empty texts and items match nothing; items that repeat each match; every row is
+judged by its own text, so rows that repeat an id each give their rows, and null ids are like others; very
+long texts are searched whole; extra columns are ignored, or kept where the function says so.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import docs_of, ship
+from evidentia.llm.common import discard, docs_of, materialise, ship
 
 ship(__name__)
 
@@ -35,7 +39,7 @@ SEGMENT = 120
 STEP = 60
 LETTERS_PER_EDIT = 15
 MIN_LETTERS = 40
-BLOCK_LETTERS = 4_000_000
+BLOCK_LETTERS = 1_000_000
 CHUNK = 1 << 20
 TABLE_BITS = 22
 OTHER = re.compile(r"[\W_]+")
@@ -69,14 +73,21 @@ def qgrams(codes, q: int = Q):
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def allowed_edits(n: int) -> int:
+    return n // LETTERS_PER_EDIT if n >= MIN_LETTERS else 0
+
+
 class Segments:
     """The segments of a block of items and the places of their q-grams, in the order of the hashes."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.codes, hashes, owner, place = [], [], [], [], []
+        self.whole: dict[str, list[int]] = {}
         for item_id, text in items:
             norm = letters(normalised(text))
-            if len(norm) < MIN_LETTERS:
+            if len(norm) < Q:
+                if len(norm):
+                    self.whole.setdefault(normalised(text), []).append(item_id)
                 continue
             starts = list(range(0, max(1, len(norm) - SEGMENT + 1), STEP))
             if len(norm) > SEGMENT and starts[-1] + SEGMENT < len(norm):
@@ -95,8 +106,8 @@ class Segments:
         self.at = at
         self.owner = np.concatenate([np.zeros(0, dtype=np.int64), *owner])[order].astype(np.int32)
         self.place = np.concatenate([np.zeros(0, dtype=np.int64), *place])[order].astype(np.int32)
-        self.edits = np.array([len(c) // LETTERS_PER_EDIT for c in self.codes], dtype=np.int64)
-        self.need = np.array([max(1, len(c) - Q + 1 - Q * (len(c) // LETTERS_PER_EDIT)) for c in self.codes], dtype=np.int64)
+        self.edits = np.array([allowed_edits(len(c)) for c in self.codes], dtype=np.int64)
+        self.need = np.array([max(1, len(c) - Q + 1 - Q * allowed_edits(len(c))) for c in self.codes], dtype=np.int64)
 
     def table(self):
         seen = np.zeros(1 << TABLE_BITS, dtype=bool)
@@ -120,74 +131,120 @@ def band_edits(segment, text, start: int, width: int) -> tuple[int, int]:
     return int(row.min()), start + n + int(row.argmin())
 
 
+def _stands_alone(text, at: int, n: int) -> bool:
+    return (at == 0 or text[at - 1] == 32) and (at + n == len(text) or text[at + n] == 32)
+
+
+def _hits(segs: Segments):
+    """From a list of texts to (place in the list, item_id, segments, edits, first_letter) of every leak."""
+    table, least = segs.table(), int(segs.need.min()) if len(segs.need) else 1
+
+    def chunk(norms: list[str], starts: list[int]) -> Iterator[tuple]:
+        codes = letters("\n".join(norms))
+        grams = qgrams(codes)
+        near = np.flatnonzero(table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        if not len(near) or not len(segs.hash):
+            return
+        slot = np.minimum(np.searchsorted(segs.hash, grams[near]), len(segs.hash) - 1)
+        known = segs.hash[slot] == grams[near]
+        near, slot = near[known], slot[known]
+        begins = np.array(starts)
+        doc = np.searchsorted(begins, near, side="right") - 1
+        enough = np.bincount(doc, minlength=len(norms))[doc] >= least
+        near, slot, doc = near[enough], slot[enough], doc[enough]
+        if not len(near):
+            return
+        count = segs.count[slot]
+        ends = np.cumsum(count)
+        posting = np.repeat(segs.at[slot] - (ends - count), count) + np.arange(ends[-1])
+        seg = segs.owner[posting].astype(np.int64)
+        doc = np.repeat(doc, count)
+        diagonal = np.repeat(near, count) - begins[doc] - segs.place[posting]
+        step = segs.edits[seg] + 1
+        low = diagonal // step
+        keys = np.concatenate([np.stack([doc, seg, low], 1), np.stack([doc, seg, low - 1], 1)])
+        bands, hits = np.unique(keys, axis=0, return_counts=True)
+        found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
+        for d, s, b in bands[hits >= segs.need[bands[:, 1]]].tolist():
+            e, n = int(segs.edits[s]), len(segs.codes[s])
+            text = codes[begins[d] : begins[d] + len(norms[d])]
+            if n < MIN_LETTERS:  # the two diagonals of the band, letter by letter
+                for at in (b, b + 1):
+                    if 0 <= at <= len(text) - n and _stands_alone(text, at, n) and (text[at : at + n] == segs.codes[s]).all():
+                        found.setdefault((d, segs.item[s]), {})[s] = (0, at)
+                continue
+            edits, end = band_edits(segs.codes[s], text, b * (e + 1), 2 * (e + 1))
+            if edits <= e:
+                own = found.setdefault((d, segs.item[s]), {})
+                own[s] = min(own.get(s, (edits, end - n)), (edits, end - n))
+        for (d, item), own in found.items():
+            yield d, item, len(own), min(x[0] for x in own.values()), max(0, min(x[1] for x in own.values()))
+
+    def hits(texts: list[str | None]) -> Iterator[tuple]:
+        i = 0
+        while i < len(texts):
+            first, norms, starts, size = i, [], [], 0
+            while i < len(texts) and (not norms or size + len(texts[i] or "") < CHUNK):
+                norms.append(normalised(texts[i]))
+                starts.append(size)
+                size += len(norms[-1]) + 1
+                i += 1
+            for d, norm in enumerate(norms if segs.whole else ()):
+                yield from ((first + d, item, 1, 0, 0) for item in segs.whole.get(norm, ()))
+            yield from ((first + d, *rest) for d, *rest in chunk(norms, starts))
+
+    return hits
+
+
 def _leaks(segs: Segments):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, least = segs.table(), int(segs.need.min()) if len(segs.need) else 1
+        hits = _hits(segs)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids, i = batch.column("doc_id").to_pylist(), 0
-            rows: list[tuple] = []
-            while i < len(texts):
-                norms, starts, size = [], [], 0
-                first = i
-                while i < len(texts) and (not norms or size + len(texts[i] or "") < CHUNK):
-                    norms.append(normalised(texts[i]))
-                    starts.append(size)
-                    size += len(norms[-1]) + 1
-                    i += 1
-                codes = letters("\n".join(norms))
-                grams = qgrams(codes)
-                near = np.flatnonzero(table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-                if not len(near) or not len(segs.hash):
-                    continue
-                slot = np.minimum(np.searchsorted(segs.hash, grams[near]), len(segs.hash) - 1)
-                known = segs.hash[slot] == grams[near]
-                near, slot = near[known], slot[known]
-                begins = np.array(starts)
-                doc = np.searchsorted(begins, near, side="right") - 1
-                enough = np.bincount(doc, minlength=len(norms))[doc] >= least
-                near, slot, doc = near[enough], slot[enough], doc[enough]
-                if not len(near):
-                    continue
-                count = segs.count[slot]
-                ends = np.cumsum(count)
-                posting = np.repeat(segs.at[slot] - (ends - count), count) + np.arange(ends[-1])
-                seg = segs.owner[posting].astype(np.int64)
-                doc = np.repeat(doc, count)
-                diagonal = np.repeat(near, count) - begins[doc] - segs.place[posting]
-                step = segs.edits[seg] + 1
-                low = diagonal // step
-                keys = np.concatenate([np.stack([doc, seg, low], 1), np.stack([doc, seg, low - 1], 1)])
-                bands, hits = np.unique(keys, axis=0, return_counts=True)
-                found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-                for d, s, b in bands[hits >= segs.need[bands[:, 1]]].tolist():
-                    e = int(segs.edits[s])
-                    edits, end = band_edits(segs.codes[s], codes[begins[d] : begins[d] + len(norms[d])], b * (e + 1), 2 * (e + 1))
-                    if edits <= e:
-                        own = found.setdefault((d, segs.item[s]), {})
-                        own[s] = min(own.get(s, (edits, end - len(segs.codes[s]))), (edits, end - len(segs.codes[s])))
-                rows += [(ids[first + d], item, len(own), min(x[0] for x in own.values()), max(0, min(x[1] for x in own.values()))) for (d, item), own in found.items()]
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[i], *rest) for i, *rest in hits(batch.column("text").to_pylist())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "segments", "edits", "first_letter"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """A row (doc_id, item_id, segments, edits, first_letter) for each document and item of which it holds a segment."""
-    docs = docs_of(docs)
-    blocks, size = [[]], 0
+def _clean(segs: Segments):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = _hits(segs)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i, *_ in hits(batch.column("text").to_pylist()):
+                keep[i] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_letters: int) -> Iterator[Segments]:
+    """The items in blocks; one is fetched when the one before has been used."""
+    block, size = [], 0
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        if blocks[-1] and size + len(row.text) > block_letters:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
+        if block and size + len(row.text) > block_letters:
+            yield Segments(block)
+            block, size = [], 0
+        block.append((row.item_id, row.text))
         size += len(row.text)
-    passes = [docs.mapInArrow(_leaks(Segments(b)), HITS) for b in blocks]
-    return reduce(DataFrame.unionByName, passes)
+    yield Segments(block)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, with all their columns, of documents without a leak; rows with a null id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def leaks(docs: DataFrame, benchmark: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
+    """A row (doc_id, item_id, segments, edits, first_letter) for each document and item of which it holds a segment."""
+    docs = docs_of(docs)
+    return reduce(DataFrame.unionByName, [materialise(docs.mapInArrow(_leaks(segs), HITS)) for segs in _blocks(benchmark, block_letters)])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no segment of an item."""
+    left, written = docs, None
+    for segs in _blocks(benchmark, block_letters):
+        left = materialise(left.mapInArrow(_clean(segs), docs.schema))
+        if written is not None:
+            discard(written)
+        written = left
+    return left

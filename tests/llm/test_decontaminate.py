@@ -1,6 +1,6 @@
 import random
 
-from evidentia.llm.decontaminate import LETTERS_PER_EDIT, Q, Segments, band_edits, drop_leaks, leaks, letters, normalised, qgrams
+from evidentia.llm.decontaminate import LETTERS_PER_EDIT, MIN_LETTERS, Q, Segments, band_edits, drop_leaks, leaks, letters, normalised, qgrams
 
 
 def semi_global(seg, text):
@@ -17,7 +17,7 @@ def corpus():
     r = random.Random(2)
     word = lambda: "".join(r.choice("abdeiklmnorst") for _ in range(r.randrange(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(r.choice([12, 20, 35, 60]))) for i in range(12)] + [(90, None), (91, ""), (92, "short one")]
+    items = [(i, prose(r.choice([12, 20, 35, 60]))) for i in range(12)] + [(90, None), (91, ""), (92, "short one"), (93, "a Short, exact phrase of some letters"), (94, "tiny")]
     docs = [(0, None), (1, ""), (2, prose(900))]
     for d in range(3, 60):
         item = r.choice(items[:12])[1]
@@ -28,6 +28,8 @@ def corpus():
         part = "".join(chars)
         docs.append((d, f"{prose(r.randrange(60))}, {part.upper() if d % 5 == 0 else part}!\n{prose(r.randrange(60))}"))
     docs += [(100 + d, prose(80)) for d in range(20)]
+    docs += [(200, f"{prose(9)} a short exact PHRASE of some letters. {prose(9)}"), (201, "a short exact phrase of some letters"), (202, "a short exact phrase of some letterses"), (203, "a short exact phrase of some lettrs")]
+    docs += [(204, "Tiny!"), (205, "tiny thing"), (206, "short one"), (207, "that short one"), (200, prose(30)), (None, items[0][1])]
     return docs, items
 
 
@@ -37,8 +39,10 @@ def brute(docs, items):
     for d, t in docs:
         n = normalised(t)
         for item, code in zip(segs.item, segs.codes, strict=True):
-            if n and semi_global("".join(map(chr, code)), n) <= len(code) // LETTERS_PER_EDIT:
+            seg = "".join(map(chr, code))
+            if n and (f" {seg} " in f" {n} " if len(code) < MIN_LETTERS else semi_global(seg, n) <= len(code) // LETTERS_PER_EDIT):
                 out.add((d, item))
+        out |= {(d, item) for item, x in items if n and len(normalised(x)) < Q and normalised(x) == n}
     return out
 
 
@@ -49,11 +53,13 @@ def test_same_pairs_as_full_alignment(spark):
     want = brute(docs, items)
     assert len(want) > 20
     got = [(r.doc_id, r.item_id) for r in leaks(df, bench).collect()]
-    assert sorted(got) == sorted(want)
+    key = lambda p: (p[0] is None, p[0] or 0, p[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and {(201, 93), (204, 94), (None, 0)} <= want
     assert {(r.doc_id, r.item_id) for r in leaks(df, bench, block_letters=300).collect()} == want
     kept = drop_leaks(df, bench)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    rows = {(r.doc_id, r.text) for r in kept.collect()}
+    assert rows == {(d, t) for d, t in docs if not brute([(d, t)], items)} == {(r.doc_id, r.text) for r in drop_leaks(df, bench, block_letters=300).collect()}
 
 
 def test_pieces(spark):
