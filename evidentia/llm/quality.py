@@ -4,12 +4,13 @@ A text is cut into words and runs of symbols; words, and pairs of neighbours, ar
 A pair of equal words backs off to one shared "same again" n-gram, as does "x y x" to another.
 A feature's value is its count over the count of all features, so that length does not matter, times a
 constant. Training reads a bounded sample of labelled rows, the `train_rows` of least hash, of which each
-class holds at most half of the bound; the sample's order is the order of that hash. Scoring is a sparse
-dot product in the tasks that read the texts, with the weights (4 MB at 2^20) shipped once to each.
+class holds at most half of the bound, and of those as many as fit `TRAIN_BYTES` bytes; the sample's order is the
+order of that hash. Scoring is a sparse dot product in the tasks that read the texts, with the weights (4 MB at 2^20) shipped once to each.
 
 Defined results: null and empty texts have no features and get the score of the intercept; without any
-labelled row every score is 0.5; labels that are null or not 0 or 1 are ignored; repeated rows stay
-repeated; extra columns are ignored. Labels, language, source and id never enter a score.
+labelled row every score is 0.5; labels that are null or not 0 or 1 are ignored, and of unlike labels of one
+id the greater counts; rows that repeat a labelled id are each a training row within the bound; ties of the
+hash go by id and text; very long texts count whole; repeated rows stay repeated; extra columns are ignored. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import crc_mod, docs_of, ship
@@ -29,6 +30,7 @@ ship(__name__)
 
 BITS = 20
 TRAIN_ROWS = 12_000
+TRAIN_BYTES = 32 << 20
 PASSES = 3
 SCALE = 50.0
 CUT = 0.3
@@ -87,8 +89,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, train_row
     marks = marks.where(allowed).withColumn("order", F.xxhash64("doc_id"))
     halves = [marks.where(F.col("label") == v).orderBy("order", "doc_id").limit(train_rows // 2) for v in (0, 1)]
     chosen = F.broadcast(halves[0].unionByName(halves[1]))  # at most train_rows rows of three numbers
-    rows = docs_of(docs).join(chosen, "doc_id").select("order", "text", "label").orderBy("order", "text").collect()
-    return [(r.text or "", r.label) for r in rows]
+    rows = docs_of(docs).join(chosen, "doc_id").select("order", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = rows.orderBy("order", "doc_id", "text").limit(train_rows)  # no more than that where ids repeat
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("order", "doc_id", "text"))
+    return [(r.text, r.label) for r in rows.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).orderBy("order", "doc_id", "text").collect()]
 
 
 def score(docs: DataFrame, weights, bias: float, bits: int = BITS) -> DataFrame:
