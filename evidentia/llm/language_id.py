@@ -4,15 +4,19 @@ A text is lower-cased and everything but letters becomes a space. Its subwords a
 and four characters whose inner ones are letters, so that a space marks a word's border. Each is hashed to
 a row of an embedding; the mean of the rows goes through a linear layer and a softmax. Both are trained by
 stochastic gradient descent in numpy on at most `train_rows` texts of each language, those of least hash of
-the id. As the model is linear, scoring sums one row of class weights for each subword.
+the id, and fewer where there are many languages or the texts are long: all of them together are bounded by
+`TRAIN_TEXTS` texts and `TRAIN_BYTES` bytes, shared out evenly. As the model is linear, scoring sums one row
+of class weights for each subword.
 
 A fifth of the training texts calibrates: the temperature that makes their likelihood greatest, and the
-least probability at which those accepted are right in `precision` of cases; texts below it are marked as
-not accepted but still carry their likeliest language.
+least probability at which those accepted are right in `precision` of cases and which all but `UNSURE` of
+them reach; texts below it are marked as not accepted but still carry their likeliest language.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0 and not accepted; the same
-holds for all texts where there is nothing to learn from; repeated rows stay repeated; extra columns are
-ignored. Language, source and id never enter a prediction.
+holds for all texts where there is nothing to learn from; of rows that repeat an id each may be learnt from,
+with its own text and language, and ties of the hash go by id and text; of languages that tie in probability
+the first in order of name is predicted; very long texts count whole; repeated rows stay repeated; extra
+columns are ignored. Language, source and id never enter a prediction.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import crc_mod, docs_of, ship
+from evidentia.llm.common import crc_mod, docs_of, materialise, ship
 
 ship(__name__)
 
 BITS = 16
 DIM = 16
 TRAIN_ROWS = 400
+TRAIN_TEXTS = 8_000
+TRAIN_BYTES = 32 << 20
+UNSURE = 0.005
 PASSES = 4
 RATE = 2.0
 CHUNK = 1 << 19
@@ -110,17 +117,25 @@ def train(samples: list[tuple[str, str]], precision: float = 0.99, seed: int = 7
         order = np.argsort(-top)
         good = np.flatnonzero(np.cumsum(right[order]) >= precision * np.arange(1, len(order) + 1))
         least = float(top[order][good[-1]]) if len(good) else 1.0
-        least = min(least, 0.5) if right.all() else least
+        least = max(least if not right.all() else 0.0, float(np.quantile(top, UNSURE, method="lower")))
     return langs, table.astype(np.float32), bias, temperature, least
 
 
 def training_rows(docs: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most train_rows texts of each language, of least hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull() & allowed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_rows)
-    rows = docs_of(docs).join(F.broadcast(chosen), "doc_id").select("lang", "nth", "text").orderBy("lang", "nth").collect()
-    return [(r.text or "", r.lang) for r in rows]
+    """At most train_rows texts of each language, of least hash of the id.
+
+    A cut of the hash that twice as many texts pass goes before the ranking, so that no language is ranked as a whole.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part"))
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = max(1, sizes.count())
+    each, room = min(train_rows, max(1, TRAIN_TEXTS // langs)), TRAIN_BYTES // langs
+    order = Window.partitionBy("lang").orderBy("part", "doc_id", "text")
+    near = known.join(sizes, "lang").where(F.col("part") * F.col("n") <= 2 * each + 50)
+    chosen = near.withColumns({"nth": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order)}).where((F.col("nth") <= each) & (F.col("bytes") <= room))
+    return [(r.text, r.lang) for r in chosen.select("lang", "nth", "text").orderBy("lang", "nth").collect()]
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
