@@ -7,8 +7,14 @@
 4. decontaminate: documents that hold a benchmark segment go.
 5. sentencepiece: the texts that remain, as packed ids and byte spans, beside the columns of documents.
 
-Every stage but the last returns the columns of its input. Each stage's result is written to the shared
-folder as Parquet and read again as the next one's documents.
+Every stage but the last returns the columns of its input, whatever their names; the last one adds its own and
+takes the place of columns that are called like them. Each stage's result is written to the shared folder as
+Parquet and read again as the next one's documents.
+
+Defined results: a null text is scored by the classifier's intercept, is no copy of anything, loses nothing,
+holds no benchmark and has the pieces of an empty text; null and repeated ids are kept, as each row is judged
+by its own text, but of rows that repeat both id and text one stays; of copies the least id stays, a null id
+last; very long texts go through whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
