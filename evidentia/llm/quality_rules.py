@@ -107,10 +107,15 @@ def _quantiles(binned: DataFrame, dims: list[str], share: float) -> DataFrame:
     return found.groupBy("group").agg(*[F.max(F.when(F.col("dim") == d, F.col("bin"))).alias(d) for d in dims])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table by group in few files, so that Spark sees how small it is and broadcasts it if it is."""
+    return materialise(df.repartition(8))
+
+
 def _medians(rows: DataFrame, names: list[str]) -> DataFrame:
     """Group, and the median of each statistic to a hundredth."""
     mid = _quantiles(rows.select("group", *[F.floor(F.col(d) / 10).alias(n) for d, n in zip(DIMS, names, strict=True)]), names, 0.5)
-    return materialise(mid.select("group", *[(F.col(n) * 10 + 5).alias(n) for n in names]))
+    return _small(mid.select("group", *[(F.col(n) * 10 + 5).alias(n) for n in names]))
 
 
 def _log_bin(x: Column) -> Column:
@@ -137,7 +142,7 @@ def _moments(rows: DataFrame, inside: dict[int, Column]) -> DataFrame:
             m = m.withColumn(f"l{n}{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l{n}{j}{j}"))
     kept = [F.struct(*[F.col(f"mu{n}{i}").alias(f"mu{i}") for i in range(len(DIMS))], *[F.col(f"l{n}{i}{j}").alias(f"l{i}{j}") for i, j in _pairs()]) for n in inside]
     dets = [F.col(f"l{n}00") * F.col(f"l{n}11") * F.col(f"l{n}22") * F.col(f"l{n}33") for n in inside]
-    return materialise(m.select("group", *[F.struct((det * det).alias("det"), at.alias("at")).alias(f"m{n}") for n, det, at in zip(inside, dets, kept, strict=True)]))
+    return _small(m.select("group", *[F.struct((det * det).alias("det"), at.alias("at")).alias(f"m{n}") for n, det, at in zip(inside, dets, kept, strict=True)]))
 
 
 def _distance(at: str) -> Column:
@@ -162,14 +167,14 @@ def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
     near = rows.join(mid.join(mad, "group"), "group").select("group", *DIMS, *[_log_bin(x).alias(b) for x, b in zip(starts, names, strict=True)])
     best: DataFrame | None = None
     while True:
-        limit = materialise(_quantiles(near, names, share).select("group", *[F.col(b).alias(f"limit_{b}") for b in names]))
+        limit = _small(_quantiles(near, names, share).select("group", *[F.col(b).alias(f"limit_{b}") for b in names]))
         step = _moments(near.join(limit, "group"), {n: F.col(b) <= F.col(f"limit_{b}") for n, b in enumerate(names)})
         if best is not None:
             both = step.join(best.select("group", *[F.col(f"m{n}").alias(f"o{n}") for n in range(STARTS)]), "group")
             lower = [F.col(f"m{n}.det") < F.col(f"o{n}.det") * (1 - LEAST_GAIN) for n in range(STARTS)]
             picked = [F.when(lower[n], F.col(f"m{n}")).otherwise(F.col(f"o{n}")).alias(f"m{n}") for n in range(STARTS)]
             gained = lower[0] | lower[1] | lower[2]
-            step = materialise(both.select("group", *picked, gained.alias("gained")))
+            step = _small(both.select("group", *picked, gained.alias("gained")))
             if step.where("gained").isEmpty():
                 break
         best = step.select("group", *[f"m{n}" for n in range(STARTS)])
@@ -180,9 +185,9 @@ def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
 def robust_distances(rows: DataFrame, fit: DataFrame | None = None, share: float = SHARE) -> DataFrame:
     """From (doc_id, group, v1..v4) to doc_id, group and scaled squared distance; `fit` has the rows that make each group's estimate, else they are the same."""
     fit = rows if fit is None else fit
-    at = materialise(estimates(fit, share))
+    at = _small(estimates(fit, share))
     mids = _quantiles(fit.join(at, "group").select("group", _log_bin(_distance("at")).alias("bin")), ["bin"], 0.5)
-    scale = materialise(mids.select("group", F.greatest(F.lit(1.0), F.exp((F.col("bin") + 1) / 32) / HALF_CHI2).alias("scale")))
+    scale = _small(mids.select("group", F.greatest(F.lit(1.0), F.exp((F.col("bin") + 1) / 32) / HALF_CHI2).alias("scale")))
     return rows.join(at, "group").join(scale, "group").select("doc_id", "group", (_distance("at") / F.col("scale")).alias("distance"))
 
 
@@ -192,7 +197,7 @@ def _grouped(rows: DataFrame, least_rows: int) -> tuple[DataFrame, DataFrame]:
     sizes = rows.groupBy(own.alias("own"), lang.alias("wide")).agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy("wide").agg(F.sum("n").alias("n_wide"))
     level = F.when(F.col("n") >= least_rows, F.col("own")).when(F.col("n_wide") >= least_rows, F.col("wide")).otherwise(F.lit("all"))
-    levels = materialise(sizes.join(whole, "wide").select("own", "wide", level.alias("group")))
+    levels = _small(sizes.join(whole, "wide").select("own", "wide", level.alias("group")))
     placed = materialise(rows.select("doc_id", *DIMS, own.alias("own")).join(levels.select("own", "group", "wide"), "own"))
     fit = placed.where(F.col("group") == F.col("own")).select("group", *DIMS)
     for name in ("wide", "all"):  # only those that some rows are judged by

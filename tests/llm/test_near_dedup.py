@@ -72,6 +72,22 @@ def test_empty_and_null(spark):
     assert keep_one(df).count() == 4
 
 
+def test_repeated_and_null_ids_and_clashing_names(spark):
+    r = random.Random(11)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    base, other, long = fresh(100), fresh(40), fresh(60_000)
+    near = base + " end"
+    rows = [(5, None), (6, "null 5"), (None, None), (7, base), (7, other), (7, base), (3, near), (None, other), (None, other), (9, fresh(30)), (20, long), (21, long + " x"), (30, "same words here"), (30, "same words here")]
+    df = spark.createDataFrame([(i, t, k, 1, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, ident int, rep int, digest string").repartition(3)
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.class_id or 0, x.group_id or 0) for x in near_groups(df).collect())
+    want = [(False, 3, 3, 3), (False, 5, 5, 5), (False, 6, 6, 6), (False, 7, 7, 3), (False, 7, 7, 3), (False, 7, 7, 7), (False, 9, 9, 9), (False, 20, 20, 20), (False, 21, 21, 20), (False, 30, 30, 30), (False, 30, 30, 30), (True, 0, 0, 0), (True, 0, 7, 7), (True, 0, 7, 7)]
+    assert got == sorted(want)
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    left = Counter((x.doc_id, x.text) for x in kept.collect())
+    assert left == Counter([(5, None), (None, None), (6, "null 5"), (3, near), (7, other), (9, rows[9][1]), (20, long), (30, "same words here")])
+
+
 def test_copies_that_lose_exactly_a_fifth_at_the_front():
     for n in range(5, 500, 5):
         x = np.arange(n, dtype=np.uint64)
