@@ -20,6 +20,41 @@ def eligibility(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumns({"blocker_codes": F.array_join(b, ","), "eligible": F.size(b) == 0})
 
 
+# Metrics that a candidate needs.
+BASE_METRICS = ("economic_impact_rate", "problem_entity_spread", "problem_mention_rate")
+DEMAND_METRIC = "independent_demand_signal_rate"
+PAYMENT_METRIC = "direct_payment_evidence_rate"
+
+
+def opportunity_eligibility(tidy: DataFrame, levels: DataFrame, audits: DataFrame, gates: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """cluster, evidence_level, blocker_codes in order, eligible; of clusters that spread over several entities.
+
+    tidy: the metrics of each cluster as (entity, metric, numerator, value, status); levels: cluster, level;
+    audits: cluster, verdict of the latest. `gates` are checks of the whole run, such as its quality and
+    stability, which come first.
+    """
+    ok = F.col("status") == "measured"
+    positive = ok & (F.col("numerator") > 0) & (F.col("value") > 0)
+    of = lambda name, what: F.max(F.when(F.col("metric") == name, what))
+    per = tidy.groupBy(F.col("entity").alias("cluster")).agg(
+        F.count_if(F.col("metric").isin(*BASE_METRICS) & ok).alias("base"), F.bool_or(F.col("status").isin("insufficient_repetition", "insufficient_entity_spread")).alias("narrow"),
+        of(DEMAND_METRIC, ok).alias("demand"), of(DEMAND_METRIC, positive).alias("demand_on"), of(PAYMENT_METRIC, ok).alias("payment"), of(PAYMENT_METRIC, positive).alias("payment_on"),
+    )
+    j = per.where(~F.col("narrow")).join(levels.select("cluster", "level"), "cluster", "left").join(audits, "cluster", "left")
+    level = F.coalesce("level", F.lit("unknown"))
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    codes = [F.when(~F.coalesce(good, F.lit(False)), F.lit(code)) for code, good in gates or []]
+    codes += [
+        F.when(F.col("verdict").isNull(), "missing_cluster_audit").when(F.col("verdict") != "coherent", F.concat(F.lit("cluster_audit:"), "verdict")),
+        F.when(F.col("base") < len(BASE_METRICS), "base_metrics_not_measured"),
+        F.when(level != "E2", "independent_source_evidence_required"),
+        F.when(no("demand"), "independent_demand_evidence_required").when(no("demand_on"), "independent_demand_signal_absent"),
+        F.when(no("payment"), "direct_payment_evidence_required").when(no("payment_on"), "direct_payment_signal_absent"),
+    ]
+    found = F.array_compact(F.array(*codes))
+    return j.select("cluster", level.alias("evidence_level"), F.array_join(found, ",").alias("blocker_codes"), (F.size(found) == 0).alias("eligible"))
+
+
 def score(df: DataFrame, metrics: list[str], weights=WEIGHTS, least_confidence: float = 0.6) -> DataFrame:
     """Potential, confidence and total of each row.
 

@@ -8,35 +8,65 @@ from pyspark.sql import functions as F
 from evidentia.functions.exprs import half_even, ratio
 
 
-def relations(previous: DataFrame, current: DataFrame, threshold: float = 0.6, stable: float = 0.8) -> DataFrame:
-    """From (cluster, member) of two runs to (previous, current, member_jaccard, relation).
+NO_TOKEN = ""
 
-    Clusters meet through the members they share, not in all pairs; those without a partner follow as new
-    or disappeared.
+
+def _pairs(previous: DataFrame, current: DataFrame, name: str) -> DataFrame:
+    """Clusters of both runs that share an element, the number they share and their Jaccard index."""
+    size = lambda df, key, n: df.groupBy(F.col("cluster").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    shared = previous.select(F.col("cluster").alias("previous"), "element").join(current.select(F.col("cluster").alias("current"), "element"), "element")
+    both = shared.groupBy("previous", "current").agg(F.count(F.lit(1)).alias("s")).join(size(previous, "previous", "np"), "previous").join(size(current, "current", "nc"), "current")
+    return both.select("previous", "current", half_even(F.col("s") / (F.col("np") + F.col("nc") - F.col("s"))).alias(name))
+
+
+def _tokens(clusters: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(cluster, element) of the signatures; an empty one has a token of its own, as two empty ones are equal."""
+    return clusters.join(signatures.select("cluster", F.col("token").alias("element")).distinct(), "cluster", "left").na.fill(NO_TOKEN, ["element"])
+
+
+def relations(previous: DataFrame, current: DataFrame, previous_tokens: DataFrame, current_tokens: DataFrame, threshold: float = 0.6, stable: float = 0.8) -> DataFrame:
+    """From (cluster, member) and (cluster, token) of two runs to (previous, current, member_jaccard, signature_jaccard, relation).
+
+    Clusters are candidates if their members or their signatures are alike. They meet through the elements they
+    share, not in all pairs; those without a partner follow as new or disappeared.
     """
-    n_p = previous.groupBy(F.col("cluster").alias("previous")).agg(F.count(F.lit(1)).alias("np"))
-    n_c = current.groupBy(F.col("cluster").alias("current")).agg(F.count(F.lit(1)).alias("nc"))
-    shared = previous.select(F.col("cluster").alias("previous"), "member").join(current.select(F.col("cluster").alias("current"), "member"), "member")
-    both = shared.groupBy("previous", "current").agg(F.count(F.lit(1)).alias("s")).join(n_p, "previous").join(n_c, "current")
-    both = both.withColumn("member_jaccard", half_even(F.col("s") / (F.col("np") + F.col("nc") - F.col("s")))).where(F.col("member_jaccard") >= threshold).select("previous", "current", "member_jaccard")
+    before, after = previous.select("cluster").distinct(), current.select("cluster").distinct()
+    elements = lambda df: df.select("cluster", F.col("member").alias("element")).distinct()
+    by_member = _pairs(elements(previous), elements(current), "member_jaccard")
+    by_token = _pairs(_tokens(before, previous_tokens), _tokens(after, current_tokens), "signature_jaccard")
+    both = by_member.join(by_token, ["previous", "current"], "full").na.fill(0.0, ["member_jaccard", "signature_jaccard"])
+    both = both.where((F.col("member_jaccard") >= threshold) | (F.col("signature_jaccard") >= threshold))
     d_p = both.groupBy("previous").agg(F.count(F.lit(1)).alias("dp"))
     d_c = both.groupBy("current").agg(F.count(F.lit(1)).alias("dc"))
     kind = F.when(F.col("dp") > 1, "split").when(F.col("dc") > 1, "merged").when(F.col("member_jaccard") >= stable, "stable").otherwise("evolved")
-    met = both.join(d_p, "previous").join(d_c, "current").select("previous", "current", "member_jaccard", kind.alias("relation"))
-    new = n_c.join(both, "current", "left_anti").select(F.lit(None).cast("string").alias("previous"), F.col("current").cast("string"), F.lit(None).cast("double").alias("member_jaccard"), F.lit("new").alias("relation"))
-    gone = n_p.join(both, "previous", "left_anti").select(F.col("previous").cast("string"), F.lit(None).cast("string").alias("current"), F.lit(None).cast("double").alias("member_jaccard"), F.lit("disappeared").alias("relation"))
-    return met.select(F.col("previous").cast("string"), F.col("current").cast("string"), "member_jaccard", "relation").unionByName(new).unionByName(gone)
+    met = both.join(d_p, "previous").join(d_c, "current").select(F.col("previous").cast("string"), F.col("current").cast("string"), "member_jaccard", "signature_jaccard", kind.alias("relation"))
+    no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def alone(df: DataFrame, key: str, word: str) -> DataFrame:
+        rest = df.select(F.col("cluster").alias(key)).join(both, key, "left_anti")
+        return rest.select(*[F.col(key).cast("string") if k == key else no_text.alias(k) for k in ("previous", "current")], no_value.alias("member_jaccard"), no_value.alias("signature_jaccard"), F.lit(word).alias("relation"))
+
+    return met.unionByName(alone(after, "current", "new")).unionByName(alone(before, "previous", "disappeared"))
 
 
 def stability(related: DataFrame, least: int = 20, pass_rate: float = 0.8) -> DataFrame:
-    """One row: counts by relation, the share of current clusters that are stable, and the gate's status."""
+    """One row: counts by relation, the share of current clusters that are stable, their mean best overlap, and the gate's status.
+
+    The mean takes each current cluster's best member overlap, 0 where it has no partner.
+    """
+    best = related.where("current is not null").groupBy("current").agg(F.coalesce(F.max("member_jaccard"), F.lit(0.0)).alias("best"))
+    mean = best.agg(half_even(ratio(F.round(F.sum("best"), 6), F.count(F.lit(1)))).alias("mean_best_member_jaccard"))
+    degree = lambda key: related.where("member_jaccard is not null").groupBy(key).agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.sum(F.when(F.col("d") > 1, F.col("d"))), F.lit(0)))
     n = related.agg(
         *[F.count_if(F.col("relation") == r).alias(r) for r in ("stable", "evolved", "split", "merged", "new", "disappeared")],
         F.count_distinct("previous").alias("previous_clusters"), F.count_distinct("current").alias("current_clusters"),
+        F.count_distinct(F.when(F.col("member_jaccard").isNotNull(), F.col("current"))).alias("matched_clusters"),
     )
+    one = lambda df, name: df.toDF(name)
+    n = n.join(F.broadcast(mean)).join(F.broadcast(one(degree("previous"), "split_relations"))).join(F.broadcast(one(degree("current"), "merge_relations")))  # one row each
     n = n.withColumn("stability_rate", half_even(ratio(F.col("stable"), F.col("current_clusters"))))
     few = F.least("previous_clusters", "current_clusters") < least
-    return n.withColumn("status", F.when(few, "insufficient_history").when(F.col("stability_rate") < pass_rate, "below_stability_threshold").otherwise("passed"))
+    return n.withColumn("status", F.when(few, "insufficient_history").when(F.coalesce("stability_rate", F.lit(0.0)) < pass_rate, "below_stability_threshold").otherwise("passed"))
 
 
 def histories(spark: SparkSession, edges: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:

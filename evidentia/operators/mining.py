@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.exprs import digest, token_similarity
+from evidentia.functions.exprs import digest, half_even, token_similarity
 from evidentia.functions.text import EVIDENCE_RULES, excerpt, is_problem, spans
+from evidentia.session import checkpoint
 
-SLICE_LIMIT = 1000
+MICRO = 1_000_000
 
 
 def _cells(field: str, key: str, kind: str, confidence: float, pattern: str) -> Column:
@@ -25,7 +27,13 @@ def _cells(field: str, key: str, kind: str, confidence: float, pattern: str) ->
 
 
 def evidence(docs: DataFrame, id_col: str = "doc_id", fields=("title", "body"), rules=EVIDENCE_RULES, problems: bool = True) -> DataFrame:
-    """A row for every match of every rule in every field, and one for the title of a problem report."""
+    """A row for every match of every rule in every field, and one for the title of a problem report.
+
+    Documents without an entity or a title and those of bots have none, where docs has the columns entity_id,
+    title and is_bot.
+    """
+    for name, keep in (("entity_id", F.col("entity_id").isNotNull()), ("title", F.coalesce(F.col("title"), F.lit("")) != ""), ("is_bot", ~F.coalesce(F.col("is_bot"), F.lit(False)))):
+        docs = docs.where(keep) if name in docs.columns else docs
     cells = [_cells(field, *rule) for field in fields for rule in rules]
     if problems:
         whole = F.struct(
@@ -33,7 +41,7 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", fields=("title", "body"),
             F.lit(0).alias("start"), F.length("title").alias("end"), F.col("title").alias("matched"), F.left(F.col("title"), F.lit(500)).alias("excerpt"),
         )
         labels = F.col("labels") if "labels" in docs.columns else F.array().cast("array<string>")
-        cells.append(F.when(is_problem(F.col("title"), labels) & (F.trim("title") != ""), F.array(whole)).otherwise(F.array().cast("array<struct<rule:string,evidence_type:string,confidence:double,field:string,start:int,end:int,matched:string,excerpt:string>>")))
+        cells.append(F.when(is_problem(F.col("title"), labels), F.array(whole)).otherwise(F.array().cast("array<struct<rule:string,evidence_type:string,confidence:double,field:string,start:int,end:int,matched:string,excerpt:string>>")))
     out = docs.select(F.col(id_col), F.explode(F.flatten(F.array(*cells))).alias("e")).select(id_col, "e.*")
     return out.withColumn("evidence_hash", digest(F.col(id_col), F.col("rule"), F.col("field"), F.col("start"), F.col("end"), F.col("excerpt")))
 
@@ -45,54 +53,74 @@ def similar_pairs(items: DataFrame, id_col: str, set_col: str, threshold: float
     among the first of both, so only those meet.
     """
     sets = items.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)
-    freq = sets.select("id", F.explode("s").alias("token"))
+    freq = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
     counts = freq.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    ranked = freq.join(counts, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("s"))
-    size = F.size("s")
-    prefix = F.slice("s", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
-    keyed = ranked.select("id", "s", F.explode(prefix).alias("token"))
+    ranked = freq.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+    prefix = F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    keyed = ranked.select("id", "n", F.posexplode(prefix).alias("pos", "x")).select("id", "n", "pos", F.col("x.token").alias("token"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    lengths = F.least(F.size("x.s"), F.size("y.s")) >= threshold * F.greatest(F.size("x.s"), F.size("y.s"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & lengths)
-    shared = F.size(F.array_intersect("x.s", "y.s"))
-    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), shared.cast("long").alias("shared"), token_similarity(F.col("x.s"), F.col("y.s")).alias("similarity"), (F.array_sort("x.s") == F.array_sort("y.s")).alias("equal"))
-    return pairs.where((F.col("equal") | (F.col("shared") >= least_shared)) & (F.col("similarity") >= threshold)).select("a", "b", "shared", "similarity").distinct()
-
-
-def star_clusters(items: DataFrame, id_col: str, set_col: str, hash_col: str, slice_col: str, threshold: float = 0.6, limit: int = SLICE_LIMIT) -> DataFrame:
+    lengths = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    # what stands behind the shared token on either side has to suffice for the overlap that the threshold asks
+    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (1 + threshold) + 1e-9 >= threshold * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & lengths & behind)
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    out = both.select("a", "b", shared.cast("long").alias("shared"), token_similarity(F.col("sa"), F.col("sb")).alias("similarity"), (F.array_sort("sa") == F.array_sort("sb")).alias("equal"))
+    return out.where((F.col("equal") | (F.col("shared") >= least_shared)) & (F.col("similarity") >= threshold)).select("a", "b", "shared", "similarity")
+
+
+def star_clusters(items: DataFrame, id_col: str, set_col: str, hash_col: str, slice_col: str, threshold: float = 0.6) -> DataFrame:
     """Greedy cover of each slice by stars: slice, id, representative, similarity to it.
 
-    The next representative is the item with most neighbours left, then the greatest sum of similarity, then
-    the greatest hash. A slice is at most `limit` items, which is the operator's contract; a larger one fails.
+    The next representative is the item with most neighbours left, then the greatest sum of similarity to what
+    is left, then the greatest hash; its neighbours leave with it. That order is kept without going one by one:
+    a star only changes the ranks of items within two steps of its centre in the graph of all similar pairs, so
+    in every round each item that outranks all within two steps becomes a star. Items without a neighbour rank
+    below all others and are stars of their own in the end. Pairs come from the tokens they share, so the work
+    follows the pairs of a slice with two tokens in common; no slice is gathered.
     """
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        if len(pdf) > limit:
-            raise ValueError(f"a slice of {len(pdf)} items is above {limit}: slice the input further")
-        sets = {i: frozenset(s) for i, s in zip(pdf["id"], pdf["s"], strict=True)}
-        hashes = dict(zip(pdf["id"], pdf["h"], strict=True))
-        by_token: dict = {}
-        for i, s in sets.items():
-            for t in s:
-                by_token.setdefault(t, []).append(i)
-        sims: dict = {i: {i: 1.0} for i in sets}
-        for i, s in sets.items():
-            for j in {j for t in s for j in by_token[t]}:
-                shared = len(s & sets[j])
-                if j != i and (s == sets[j] or shared >= 2):
-                    sims[i][j] = 1.0 if s == sets[j] else round(shared / len(s | sets[j]), 6)
-        left, out = set(sets), []
-        rank = lambda i: (sum(v >= threshold for j, v in sims[i].items() if j in left), round(sum(v for j, v in sims[i].items() if j in left), 6), hashes[i])
-        while left:
-            best = max(left, key=rank)
-            members = [j for j, v in sims[best].items() if j in left and v >= threshold]
-            out += [(pdf["slice"].iloc[0], j, best, sims[best][j]) for j in members]
-            left -= set(members)
-        return pd.DataFrame(out, columns=["slice", "id", "representative", "similarity"])
-
-    rows = items.select(F.col(slice_col).cast("string").alias("slice"), F.col(id_col).cast("string").alias("id"), F.col(set_col).alias("s"), F.col(hash_col).alias("h")).where(F.size("s") >= 3)
-    return rows.groupBy("slice").applyInPandas(cover, "slice string, id string, representative string, similarity double")
+    rows = items.select(F.col(slice_col).cast("string").alias("slice"), F.col(id_col).cast("string").alias("id"), F.array_distinct(set_col).alias("s"), F.col(hash_col).alias("h"))
+    rows = rows.where(F.size("s") >= 3).dropDuplicates(["slice", "id"])
+    tokens = rows.select("slice", "id", F.size("s").alias("n"), F.explode("s").alias("token"))
+    x, y = tokens.select("slice", "token", F.col("id").alias("a"), F.col("n").alias("na")), tokens.select("slice", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
+    shared = x.join(y, ["slice", "token"]).where("a <> b").groupBy("slice", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    similarity = F.round(half_even(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))) * MICRO).cast("long")
+    edges = checkpoint(shared.select("slice", "a", "b", similarity.alias("m")))
+    left, stars = checkpoint(rows.select("slice", "id", "h")), []
+    near = round(threshold * MICRO)
+    while True:
+        rank = edges.groupBy("slice", "a").agg(F.count_if(F.col("m") >= near).alias("n"), F.sum("m").alias("total")).where("n > 0")
+        rank = checkpoint(rank.join(left.withColumnRenamed("id", "a"), ["slice", "a"]).select("slice", "a", F.struct("n", "total", "h", "a").alias("rank")))
+        if rank.isEmpty():
+            break
+        # the greatest rank within one step, and of those within one more
+        over = lambda r: edges.join(r, ["slice", "a"]).select("slice", F.col("b").alias("a"), "rank").unionByName(r).groupBy("slice", "a").agg(F.max("rank").alias("rank"))
+        most = over(checkpoint(over(rank))).withColumnRenamed("rank", "most")
+        chosen = checkpoint(rank.join(most, ["slice", "a"]).where("rank = most").select("slice", "a"))
+        around = edges.where(F.col("m") >= near).join(chosen, ["slice", "a"]).select("slice", F.col("b").alias("id"), F.col("a").alias("representative"), (F.col("m") / MICRO).alias("similarity"))
+        star = checkpoint(chosen.select("slice", F.col("a").alias("id"), F.col("a").alias("representative"), F.lit(1.0).alias("similarity")).unionByName(around))
+        stars.append(star)
+        gone = star.select("slice", "id")
+        left = checkpoint(left.join(gone, ["slice", "id"], "left_anti"))
+        edges = checkpoint(edges.join(gone.withColumnRenamed("id", "a"), ["slice", "a"], "left_anti").join(gone.withColumnRenamed("id", "b"), ["slice", "b"], "left_anti").select("slice", "a", "b", "m"))
+    alone = left.select("slice", "id", F.col("id").alias("representative"), F.lit(1.0).alias("similarity"))
+    return reduce(DataFrame.unionByName, stars, alone)
+
+
+def describe_clusters(members: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each star: label, signature, fingerprint, sizes, cohesion, first and last date, status.
+
+    members: slice, id, representative, similarity; items: id, text, s (tokens), h (hash), entity, document, at.
+    """
+    m = members.join(items.withColumn("id", F.col("id").cast("string")), "id").withColumn("cluster", F.col("representative"))
+    n = m.groupBy("slice", "cluster").agg(
+        F.count(F.lit(1)).alias("members"), F.count_distinct("entity").alias("entities"), F.count_distinct("document").alias("documents"),
+        F.min("similarity").alias("cohesion_min"), half_even(F.sum("similarity") / F.count(F.lit(1))).alias("cohesion_mean"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.max(F.when(F.col("id") == F.col("representative"), F.left("text", F.lit(500)))).alias("label"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "|"), 256).alias("fingerprint"),
+    )
+    signed = signatures(m.select("cluster", "s"), "cluster", "s").select("cluster", "signature")
+    return n.join(signed, "cluster").withColumn("status", cluster_status(F.col("members"), F.col("entities")))
 
 
 def signatures(members: DataFrame, cluster: str, set_col: str) -> DataFrame:
@@ -105,7 +133,3 @@ def signatures(members: DataFrame, cluster: str, set_col: str) -> DataFrame:
 
 def cluster_status(members: Column, entities: Column) -> Column:
     return F.when(members <= 1, "insufficient_repetition").when(entities <= 1, "within_entity_repeated").otherwise("cross_entity_candidate")
-
-
-def row_number_within(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

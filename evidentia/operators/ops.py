@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.exprs import half_even, micros, ratio
@@ -87,18 +87,17 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
 
 def append_if_changed(log: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before of the same key."""
-    from pyspark.sql import Window
-
     prev = F.lag(value).over(Window.partitionBy(*keys).orderBy(at))
     return log.withColumn("_p", prev).where(~F.col("_p").eqNullSafe(F.col(value)) | F.col("_p").isNull() & F.col(value).isNotNull()).drop("_p")
 
 
 def theme_rollup(docs: DataFrame, theme: str, entity: str, evidence: str, id_col: str, top: int = 5, examples: int = 3) -> DataFrame:
     """Themes by documents, entities and evidence, with their first examples; the first `top`."""
-    agg = docs.groupBy(theme).agg(
-        F.count(F.lit(1)).alias("documents"), F.count_distinct(entity).alias("entities"), F.sum(evidence).cast("long").alias("evidence"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(id_col)), 1, examples), lambda x: x.cast("string")), ",").alias("examples"),
-    )
+    agg = docs.groupBy(theme).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct(entity).alias("entities"), F.sum(evidence).cast("long").alias("evidence"))
+    first = Window.partitionBy(theme).orderBy(id_col)
+    shown = docs.select(theme, id_col).distinct().withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= examples)
+    named = shown.groupBy(theme).agg(F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("examples"))
+    agg = agg.join(named, theme)
     strong = (F.col("documents") >= 3) & (F.col("entities") >= 2) & (F.col("evidence") >= 3)
     return agg.withColumn("verdict", F.when(strong, "weak_signal").otherwise("insufficient")).orderBy(F.col("documents").desc(), F.col("entities").desc(), F.col("evidence").desc(), theme).limit(top)
 

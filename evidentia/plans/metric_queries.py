@@ -137,7 +137,15 @@ def lag_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     return signals.autocorrelation(_daily(spark, sf), ["event_type"], "day", "v", 7)
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM ({DAILY})), g AS (SELECT event_type, (epoch_us(day)-epoch_us(lag(day) OVER (PARTITION BY event_type ORDER BY day)))/86400000000.0 AS gap FROM p),
+ k AS (SELECT event_type, median(gap) AS iv, count(*) AS n FROM g GROUP BY 1), reg AS (SELECT g.event_type, iv, n, bool_and(gap IS NULL OR abs(gap-iv)<=0.2*iv) AS regular FROM g JOIN k ON k.event_type=g.event_type GROUP BY 1,2,3),
+ lg AS (SELECT event_type, n, iv, round_even(x/iv,0)::int AS lag FROM reg, (VALUES (7.0::double),(30.0),(90.0)) t(x) WHERE n>=12 AND regular),
+ z AS (SELECT lg.event_type, lg.lag, var_pop(a.v) AS vx, var_pop(b.v) AS vy, covar_pop(a.v,b.v) AS xy FROM lg JOIN p a ON a.event_type=lg.event_type JOIN p b ON b.event_type=lg.event_type AND b.i=a.i+lg.lag WHERE lg.lag>=2 AND lg.n>=3*lg.lag GROUP BY 1,2),
+ b AS (SELECT event_type, max(struct_pack(r:=xy/sqrt(vx*vy), o:=-lag)) AS best FROM z WHERE vx>0 AND vy>0 GROUP BY 1)
+ SELECT reg.event_type, n::bigint AS n, CASE WHEN n<12 THEN 'insufficient_history' WHEN NOT regular THEN 'irregular_sampling' WHEN best IS NULL THEN 'insufficient_history' WHEN best.r<0.6 THEN 'not_detected' ELSE 'detected' END AS status,
+  round(best.r,6) AS strength, CASE WHEN best.r>=0.6 THEN round_even(-best.o*iv,0)::bigint END AS period_days FROM reg LEFT JOIN b ON b.event_type=reg.event_type"""
+)
 def seasonality_of_daily_series(spark: SparkSession, sf: str) -> DataFrame:
     return signals.seasonality(_daily(spark, sf), ["event_type"], "day", "v")
 

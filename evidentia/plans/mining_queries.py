@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.functions.exprs import digest, set_digest
-from evidentia.operators import evidence, lineage, mining, ops
+from evidentia.operators import evidence, lineage, mining
 from evidentia.plans.registry import query, table, wilson_sql
 from evidentia.sources import ingest, normalize
 
@@ -96,15 +96,14 @@ def token_profile(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources")).where("documents >= 5")
 
 
-@query(f"""WITH s AS (SELECT item_id AS id, {TOKEN_SQL.replace("{t}", "text")} AS s FROM benchmark UNION ALL SELECT 100000+conv_id*100+turn, {TOKEN_SQL.replace("{t}", "text")} FROM conversations WHERE turn=0), k AS (SELECT * FROM s WHERE len(s)>0)
- SELECT a.id AS a, b.id AS b, len(list_intersect(a.s,b.s))::bigint AS shared,
-  CASE WHEN list_sort(a.s)=list_sort(b.s) THEN 1.0 ELSE round_even(len(list_intersect(a.s,b.s))::double/len(list_distinct(list_concat(a.s,b.s))),6) END AS similarity
- FROM k a JOIN k b ON a.id<b.id WHERE list_sort(a.s)=list_sort(b.s) OR (len(list_intersect(a.s,b.s))>=2 AND round_even(len(list_intersect(a.s,b.s))::double/len(list_distinct(list_concat(a.s,b.s))),6)>=0.1)""")
+@query(f"""WITH s AS (SELECT item_id AS id, {TOKEN_SQL.replace("{t}", "text")} AS s FROM benchmark UNION ALL SELECT 100000+conv_id*100+turn, {TOKEN_SQL.replace("{t}", "text")} FROM conversations), k AS (SELECT id, s, len(s) AS n FROM s WHERE len(s)>0),
+ p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s,b.s)) AS shared, a.n AS na, b.n AS nb FROM k a JOIN k b ON a.id<b.id AND least(a.n,b.n) >= 0.6*greatest(a.n,b.n))
+ SELECT a, b, shared::bigint AS shared, round_even(shared::double/(na+nb-shared),6) AS similarity FROM p WHERE ((shared=na AND na=nb) OR shared>=2) AND round_even(shared::double/(na+nb-shared),6)>=0.6""")
 def token_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All similar pairs among benchmark items and first turns, by a prefix-filtered join."""
+    """All similar pairs among benchmark items and turns of conversations, by a prefix-filtered join."""
     t = lambda df, i: df.select(i.alias("id"), X.tokens(F.col("text"), aliases={"": ""}).alias("s"))
-    items = t(table(spark, sf, "benchmark"), F.col("item_id")).unionByName(t(table(spark, sf, "conversations").where("turn = 0"), 100000 + F.col("conv_id") * 100 + F.col("turn")))
-    return mining.similar_pairs(items, "id", "s", threshold=0.1)
+    items = t(table(spark, sf, "benchmark"), F.col("item_id")).unionByName(t(table(spark, sf, "conversations"), 100000 + F.col("conv_id") * 100 + F.col("turn")))
+    return mining.similar_pairs(items, "id", "s")
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,62 +116,47 @@ def star_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _clusters(spark, sf)
 
 
-SIG = "SELECT source AS cluster, lang AS entity, {t} AS s FROM documents WHERE n_chars < 400"
+SIG = "SELECT source AS cluster, lang AS entity, {t} AS s FROM documents"
 
 
 @query(f"""WITH d AS ({SIG.replace("{t}", TOKEN_SQL.replace("{t}", "text"))}), n AS (SELECT cluster, count(*) AS members, count(DISTINCT entity) AS e FROM d GROUP BY 1),
  x AS (SELECT cluster, token, count(*) AS c FROM (SELECT cluster, unnest(s) AS token FROM d) GROUP BY 1,2), g AS (SELECT x.cluster, string_agg(token, ',' ORDER BY token) AS sig FROM x JOIN n USING (cluster) WHERE c=members GROUP BY 1)
  SELECT cluster, members, coalesce(sig,'') AS signature, CASE WHEN members<=1 THEN 'insufficient_repetition' WHEN e<=1 THEN 'within_entity_repeated' ELSE 'cross_entity_candidate' END AS status FROM n LEFT JOIN g USING (cluster)""")
 def cluster_signature(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("n_chars < 400").select(F.col("source").alias("cluster"), F.col("lang").alias("entity"), X.tokens(F.col("text"), aliases={"": ""}).alias("s"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("entity"), X.tokens(F.col("text"), aliases={"": ""}).alias("s"))
     e = d.groupBy("cluster").agg(F.count_distinct("entity").alias("e"))
     return mining.signatures(d, "cluster", "s").join(e, "cluster").select("cluster", "members", "signature", mining.cluster_status(F.col("members"), F.col("e")).alias("status"))
 
 
-@query("""WITH p AS (SELECT DISTINCT lang||(o_custkey%3)::varchar AS cluster, doc_id AS member FROM documents JOIN orders ON o_orderkey=doc_id WHERE doc_id%7<>0), c AS (SELECT DISTINCT lang||(o_custkey%3)::varchar AS cluster, doc_id AS member FROM documents JOIN orders ON o_orderkey=doc_id WHERE doc_id%11<>0 AND lang<>'fr'),
- np AS (SELECT cluster, count(*) n FROM p GROUP BY 1), nc AS (SELECT cluster, count(*) n FROM c GROUP BY 1),
- b AS (SELECT p.cluster AS previous, c.cluster AS current, count(*) AS s FROM p JOIN c USING (member) GROUP BY 1,2), j AS (SELECT previous, current, round_even(s::double/(np.n+nc.n-s),6) AS member_jaccard FROM b JOIN np ON np.cluster=previous JOIN nc ON nc.cluster=current),
- k AS (SELECT * FROM j WHERE member_jaccard>=0.6), d AS (SELECT *, count(*) OVER (PARTITION BY previous) AS dp, count(*) OVER (PARTITION BY current) AS dc FROM k)
- SELECT previous, current, member_jaccard, CASE WHEN dp>1 THEN 'split' WHEN dc>1 THEN 'merged' WHEN member_jaccard>=0.8 THEN 'stable' ELSE 'evolved' END AS relation FROM d
- UNION ALL SELECT NULL, cluster, NULL, 'new' FROM nc WHERE cluster NOT IN (SELECT current FROM k) UNION ALL SELECT cluster, NULL, NULL, 'disappeared' FROM np WHERE cluster NOT IN (SELECT previous FROM k)""")
-def lineage_relations(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("doc_id"))
-    d = d.select(F.concat("lang", (F.col("o_custkey") % 3).cast("string")).alias("cluster"), F.col("doc_id").alias("member"), "lang")
-    return lineage.relations(d.where("member % 7 <> 0").drop("lang"), d.where("member % 11 <> 0 AND lang <> 'fr'").drop("lang"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT event_id AS child, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events WHERE event_type='purchase'),
- w AS (SELECT event_id AS node, event_id AS ancestor, 0 AS steps FROM events WHERE event_type='purchase' AND user_id%7=0 UNION ALL SELECT w.node, e.parent, steps+1 FROM w JOIN e ON e.child=w.ancestor WHERE e.parent IS NOT NULL AND steps<50)
+ w AS (SELECT event_id AS node, event_id AS ancestor, 0 AS steps FROM events WHERE event_type='purchase' UNION ALL SELECT w.node, e.parent, steps+1 FROM w JOIN e ON e.child=w.ancestor WHERE e.parent IS NOT NULL AND steps<50)
  SELECT node, ancestor, steps::bigint AS steps FROM w""")
 def lineage_history_recursive(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     p = table(spark, sf, "events").where("event_type = 'purchase'")
     edges = p.select(F.col("event_id").alias("child"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("parent")).where("parent is not null")
-    return lineage.histories(spark, edges, p.where("user_id % 7 = 0").select(F.col("event_id").alias("node")))
+    return lineage.histories(spark, edges, p.select(F.col("event_id").alias("node")))
 
 
-@query("""WITH o AS (SELECT quality*10+toxic AS cluster, source, lang AS entity FROM documents JOIN labels USING (doc_id) WHERE doc_id%3=0 AND source IN ('src1','src2','src3','src4','src5')),
- s AS (SELECT 'src1' AS source,'a' AS grp,'independent' AS status UNION ALL SELECT 'src2','a','independent' UNION ALL SELECT 'src3','b','independent' UNION ALL SELECT 'src4','c','affiliated' UNION ALL SELECT 'src5','d','independent'),
- b AS (SELECT cluster, count(DISTINCT o.source) AS n_sources, count(DISTINCT grp) AS g, list_distinct(list(CASE WHEN status<>'independent' THEN 'source_status:'||o.source||':'||status END) FILTER (status<>'independent')) AS st FROM o JOIN s USING (source) GROUP BY 1),
- r AS (SELECT DISTINCT x.cluster FROM o x JOIN o y ON x.cluster=y.cluster AND x.entity=y.entity WHERE x.source='src1' AND y.source='src3'),
- k AS (SELECT b.cluster, n_sources, list_sort(list_concat(list_concat(CASE WHEN g<2 THEN ['shared_independence_group'] ELSE [] END, coalesce(st,[])), CASE WHEN r.cluster IS NOT NULL THEN ['relationship:mirror:blocks'] ELSE [] END)) AS bl FROM b LEFT JOIN r ON r.cluster=b.cluster)
- SELECT cluster, n_sources, CASE WHEN n_sources=1 THEN 'E1' WHEN len(bl)=0 THEN 'E2' ELSE 'unverified_cross_source' END AS level, CASE WHEN n_sources=1 THEN 'single_source' ELSE array_to_string(bl,',') END AS blockers FROM k""")
-def independence_level(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where("doc_id % 3 = 0 and source in ('src1','src2','src3','src4','src5')")
-    o = o.select((F.col("quality") * 10 + F.col("toxic")).alias("cluster"), "source", F.col("lang").alias("entity"), F.col("doc_id").alias("content"))
-    sources = spark.createDataFrame([("src1", "a", "independent"), ("src2", "a", "independent"), ("src3", "b", "independent"), ("src4", "c", "affiliated"), ("src5", "d", "independent")], "source string, grp string, status string")
-    rel = spark.createDataFrame([("src1", "src3", "mirror", "blocks", "same_entity"), ("src2", "src5", "owner", "none", "global")], "low string, high string, type string, effect string, scope string")
-    return evidence.independence(o, sources, rel)
+# Sources by number: seven groups, every fourth affiliated, and the first two of each ten mirror each other.
+SOURCE_SQL = "SELECT source, 'g'||(substr(source,4)::int%7) AS grp, CASE WHEN substr(source,4)::int%4=3 THEN 'affiliated' ELSE 'independent' END AS status, substr(source,4)::int AS k FROM (SELECT DISTINCT source FROM documents)"
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)license[a-z]*')) AS x FROM documents) SELECT 'license' AS rule, lower(x) AS matched, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM m GROUP BY 2
- UNION ALL SELECT 'mail', 'any', sum(len(regexp_extract_all(text,'[a-z0-9._]+@[a-z0-9.]+')))::bigint, count(*) FILTER (regexp_matches(text,'[a-z0-9._]+@[a-z0-9.]+')) FROM documents""")
-def rule_hit_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rules = (("license", "license", 0.9, "license[a-z]*"), ("mail", "contact", 0.8, r"[a-z0-9._]+@[a-z0-9.]+"))
-    e = mining.evidence(table(spark, sf, "documents"), fields=("text",), rules=rules, problems=False)
-    matched = F.when(F.col("rule") == "mail", "any").otherwise(F.lower("matched"))
-    return e.groupBy("rule", matched.alias("matched")).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
+@query(f"""WITH o AS (SELECT quality*1000+toxic*100+doc_id%37 AS cluster, source, lang AS entity FROM documents JOIN labels USING (doc_id)), s AS ({SOURCE_SQL}),
+ b AS (SELECT cluster, count(DISTINCT o.source) AS n_sources, count(DISTINCT grp) AS g, list_distinct(list('source_status:'||o.source||':'||status) FILTER (status<>'independent')) AS st FROM o JOIN s USING (source) GROUP BY 1),
+ r AS (SELECT DISTINCT x.cluster FROM o x JOIN s xs ON xs.source=x.source JOIN o y ON x.cluster=y.cluster AND x.entity=y.entity JOIN s ys ON ys.source=y.source WHERE xs.k%10=0 AND ys.k=xs.k+1),
+ q AS (SELECT b.cluster, n_sources, list_sort(list_concat(list_concat(CASE WHEN g<2 THEN ['shared_independence_group'] ELSE [] END, coalesce(st,[])), CASE WHEN r.cluster IS NOT NULL THEN ['relationship:mirror:blocks'] ELSE [] END)) AS bl FROM b LEFT JOIN r ON r.cluster=b.cluster)
+ SELECT cluster, n_sources, CASE WHEN n_sources=1 THEN 'E1' WHEN len(bl)=0 THEN 'E2' ELSE 'unverified_cross_source' END AS level, CASE WHEN n_sources=1 THEN 'single_source' ELSE array_to_string(bl,',') END AS blockers FROM q""")
+def independence_level(spark: SparkSession, sf: str) -> DataFrame:
+    """Level of independence of the sources behind every cluster of labelled documents."""
+    o = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    o = o.select((F.col("quality") * 1000 + F.col("toxic") * 100 + F.col("doc_id") % 37).alias("cluster"), "source", F.col("lang").alias("entity"), F.col("doc_id").alias("content"))
+    number = F.substring("source", 4, 9).cast("int")
+    sources = table(spark, sf, "documents").select("source").distinct().select("source", F.concat(F.lit("g"), (number % 7).cast("string")).alias("grp"), F.when(number % 4 == 3, "affiliated").otherwise("independent").alias("status"), number.alias("k"))
+    mirror = sources.where("k % 10 = 0").select(F.col("source").alias("low"), F.concat(F.lit("src"), (F.col("k") + 1).cast("string")).alias("high"))
+    rel = mirror.select("low", "high", F.lit("mirror").alias("type"), F.lit("blocks").alias("effect"), F.lit("same_entity").alias("scope"))
+    return evidence.independence(o, sources.drop("k"), rel)
 
 
 @query("""WITH d AS (SELECT doc_id, text, regexp_extract(text, '(?i)license[a-z]*') AS m FROM documents) SELECT doc_id, length(string_split(text, m)[1])::bigint AS start, m AS matched FROM d WHERE m<>''""")
@@ -182,17 +166,6 @@ def span_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("doc_id").agg(F.min(F.struct("start", "matched")).alias("m")).select("doc_id", F.col("m.start").cast("long").alias("start"), "m.matched")
 
 
-THEMES = (("license", r"licen[sc]e"), ("contact", r"[a-z0-9._]+@[a-z0-9.]+"), ("digits", r"[0-9]{4}"))
-
-
-@query("""WITH d AS (SELECT doc_id, lang, CASE WHEN regexp_matches(text,'(?i)licen[sc]e') THEN 'license' WHEN regexp_matches(text,'(?i)[a-z0-9._]+@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text,'[0-9]{4}') THEN 'digits' ELSE 'recurring_problem' END AS theme, n_chars%3 AS ev FROM documents),
- a AS (SELECT theme, count(*) AS documents, count(DISTINCT lang) AS entities, sum(ev)::bigint AS evidence, array_to_string(list_slice(list_sort(list(doc_id)),1,3),',') AS examples FROM d GROUP BY 1)
- SELECT *, CASE WHEN documents>=3 AND entities>=2 AND evidence>=3 THEN 'weak_signal' ELSE 'insufficient' END AS verdict FROM a ORDER BY documents DESC, entities DESC, evidence DESC, theme LIMIT 5""")
-def theme_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "lang", X.first_theme(F.col("text"), THEMES).alias("theme"), (F.col("n_chars") % 3).alias("ev"))
-    return ops.theme_rollup(d, "theme", "lang", "ev", "doc_id")
-
-
 @query(r"""SELECT page_id, regexp_extract(url,'^([a-z]+)://',1) AS scheme, regexp_extract(url,'^[a-z]+://([^/?#]+)',1) AS host, regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1) AS path,
  len(list_filter(string_split(regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1),'/'), lambda x: x<>''))::bigint AS segments FROM pages""")
 def url_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,9 +174,13 @@ def url_parse(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("segments", F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("long"))
 
 
-@query(r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,'(?is)<(script|style)\b.*?</(script|style)>',' ','g'),'(?i)</?(?:p|div|br|li|ul|ol|pre|blockquote|h[1-6]|tr|table|section|article)\b[^>]*>',chr(10),'g'),'<[^>]*>','','g'),'[ \t\r\f]+',' ','g'),' ?\n[ \n]*',chr(10),'g')))::bigint AS n_text, length(html)::bigint AS n_html FROM pages""")
+BLOCKS = "|".join(X.BLOCK_TAGS)
+STRIP_SQL = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,'(?s)<!--.*?-->','','g'),'(?i)<(?:{BLOCKS})(?:\s[^>]*)?/>',chr(10)||chr(10),'g'),'(?i)</?(?:{BLOCKS})(?:\s[^>]*)?>',chr(10),'g'),'<[/!?]?[A-Za-z][^>]*>','','g')"""
+
+
+@query(rf"""SELECT page_id, length(trim(regexp_replace({STRIP_SQL},'[ \t\r\f\x0B]+',' ','g'),' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)))::bigint AS n_text, length(html)::bigint AS n_html FROM pages""")
 def html_text_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.length(X.strip_tags(F.col("html"))).cast("long").alias("n_text"), F.length("html").cast("long").alias("n_html"))
+    return table(spark, sf, "pages").select("page_id", F.length(X.collapse_blanks(X.strip_tags(F.col("html")))).cast("long").alias("n_text"), F.length("html").cast("long").alias("n_html"))
 
 
 @query()
@@ -214,14 +191,14 @@ def html_text_decoded(spark: SparkSession, sf: str) -> DataFrame:
 QLOW, QHIGH = wilson_sql("coherent", "sampled")
 
 
-@query(f"""WITH a AS (SELECT user_id AS cluster, arg_max(event_id%11, struct_pack(t:=ts,e:=event_id)) AS coherent FROM events WHERE event_type='view' GROUP BY 1), e AS (SELECT DISTINCT user_id AS cluster FROM events WHERE user_id%2=0),
+@query(f"""WITH a AS (SELECT user_id AS cluster, arg_max(event_id%11, struct_pack(t:=ts,e:=event_id)) AS coherent FROM events GROUP BY 1), e AS (SELECT DISTINCT user_id AS cluster FROM events),
  n AS (SELECT count(*) AS eligible, count(coherent) AS audited, coalesce(sum(CASE WHEN coherent IS NOT NULL THEN 10 END),0)::bigint AS sampled, coalesce(sum(least(coherent,10)),0)::bigint AS coherent, count(*) FILTER (least(a.coherent,10)>=8) AS coherent_clusters FROM e LEFT JOIN a USING (cluster)),
  m AS (SELECT *, round_even(audited::double/eligible,6) AS coverage, round_even(coherent::double/sampled,6) AS purity, {QLOW} AS purity_low, {QHIGH} AS purity_high, round_even(coherent_clusters::double/audited,6) AS coherence FROM n)
  SELECT *, CASE WHEN eligible=0 THEN 'insufficient_clusters' WHEN audited<20 OR coverage<0.2 THEN 'insufficient_audits' WHEN purity<0.8 OR coherence<0.8 THEN 'below_quality_threshold' ELSE 'passed' END AS status FROM m""")
 def quality_gate_wilson(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    audits = e.where("event_type = 'view'").select(F.col("user_id").alias("cluster"), F.col("ts").alias("at"), F.col("event_id").alias("audit_id"), F.lit(10).alias("sampled"), F.least(F.col("event_id") % 11, F.lit(10)).alias("coherent"))
-    return evidence.quality_gate(audits, e.where("user_id % 2 = 0").select(F.col("user_id").alias("cluster")))
+    audits = e.select(F.col("user_id").alias("cluster"), F.col("ts").alias("at"), F.col("event_id").alias("audit_id"), F.lit(10).alias("sampled"), F.least(F.col("event_id") % 11, F.lit(10)).alias("coherent"))
+    return evidence.quality_gate(audits, e.select(F.col("user_id").alias("cluster")))
 
 
 @query("""WITH c AS (SELECT source AS claim, sha256(string_agg(doc_id::varchar,'|' ORDER BY doc_id::varchar)) AS fingerprint FROM documents GROUP BY 1), f AS (SELECT source AS claim, sha256(string_agg(doc_id::varchar,'|' ORDER BY doc_id::varchar)) AS fingerprint FROM documents WHERE source<>'src1' AND NOT (source='src2' AND lang='en') GROUP BY 1)
@@ -230,8 +207,3 @@ def claim_supersession(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     mark = lambda df: df.groupBy(F.col("source").alias("claim")).agg(set_digest(F.col("doc_id").cast("string")).alias("fingerprint"))
     return evidence.claims(mark(d), mark(d.where("source <> 'src1' and not (source = 'src2' and lang = 'en')")))
-
-
-@query()
-def lineage_stability(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.stability(lineage_relations(spark, sf))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,3 +16,14 @@ SETTINGS = {
 
 def session(name: str = "evidentia", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map={**SETTINGS, **more}).getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the folder that spark.checkpoint.dir names; a folder of its own only on a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt_"))
+    return df.checkpoint(eager=True)

@@ -81,9 +81,15 @@ def test_retention_budget_and_schedule(spark):
 
 def test_lineage_and_history(spark):
     c = lambda rows: spark.createDataFrame(rows, "cluster string, member long")
-    prev, cur = c([("p", i) for i in range(5)] + [("gone", 99)]), c([("q", i) for i in range(6)] + [("new", 77)])
-    got = {(r.previous, r.current): (r.relation, r.member_jaccard) for r in lineage.relations(prev, cur).collect()}
-    assert got == {("p", "q"): ("stable", 0.833333), (None, "new"): ("new", None), ("gone", None): ("disappeared", None)}
+    t = lambda rows: spark.createDataFrame(rows, "cluster string, token string")
+    prev, cur = c([("p", i) for i in range(5)] + [("gone", 99), ("alike", 50), ("none", 60)]), c([("q", i) for i in range(6)] + [("new", 77), ("same", 51), ("empty", 61)])
+    tokens = t([("p", "a"), ("p", "b"), ("gone", "g"), ("alike", "x"), ("alike", "y")]), t([("q", "a"), ("new", "n"), ("same", "x"), ("same", "y")])
+    related = lineage.relations(prev, cur, *tokens)
+    got = {(r.previous, r.current): (r.relation, r.member_jaccard, r.signature_jaccard) for r in related.collect()}
+    want = {("p", "q"): ("stable", 0.833333, 0.5), ("alike", "same"): ("evolved", 0.0, 1.0), ("none", "empty"): ("evolved", 0.0, 1.0)}
+    assert got == want | {(None, "new"): ("new", None, None), ("gone", None): ("disappeared", None, None)}
+    n = lineage.stability(related).first()
+    assert (n.matched_clusters, n.current_clusters, n.mean_best_member_jaccard, n.split_relations) == (3, 4, 0.208333, 0)
     edges = spark.createDataFrame([(3, 2), (2, 1), (1, 3)], "child long, parent long")
     assert lineage.histories(spark, edges, spark.createDataFrame([(3,)], "node long"), depth=4).count() == 5
 

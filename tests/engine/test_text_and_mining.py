@@ -49,13 +49,15 @@ def test_digests(spark):
 
 
 def test_html(spark):
-    assert one(spark, X.html_text(F.col("h")), h="<p>a &amp; b</p><div>c<br/>d</div><script>x()</script>") == "a & b\nc\nd"
+    assert one(spark, X.html_text(F.col("h")), h="<p>a &amp; b</p><!-- no --><div>c<br/>d</div><h5>e</h5> \t f") == "a & b\n\nc\n\nd\ne f"
 
 
 def test_problem_reports(spark):
     df = spark.createDataFrame([(1, "App is broken", "daily", ["Type Bug"]), (2, "All fine", "error here", []), (3, " ", "x", ["bug"])], "doc_id long, title string, body string, labels array<string>")
     got = {(r.doc_id, r.rule) for r in mining.evidence(df).collect()}
-    assert got == {(1, "problem_report"), (1, "frequency_repeated")}
+    assert got == {(1, "problem_report"), (1, "frequency_repeated"), (3, "problem_report")}
+    more = spark.createDataFrame([(1, "App is broken", 5, False), (2, "App is broken", None, False), (3, "", 5, False), (4, "App is broken", 5, True)], "doc_id long, title string, entity_id int, is_bot boolean")
+    assert [r.doc_id for r in mining.evidence(more, fields=("title",)).collect()] == [1]
 
 
 def test_similarity_join_is_exact_and_stars_cover(spark):
@@ -74,8 +76,33 @@ def test_similarity_join_is_exact_and_stars_cover(spark):
     items = df.withColumn("h", F.sha2("id", 256)).withColumn("part", F.lit("p"))
     cover = mining.star_clusters(items, "id", "s", "h", "part").collect()
     assert sorted(x.id for x in cover) == sorted(i for i, s in sets if len(s) >= 3)
-    of = dict(sets)
-    assert all(x.id == x.representative or alike(of[x.id], of[x.representative]) for x in cover)
+    assert {(x.id, x.representative) for x in cover} == greedy(sets)
+
+
+def greedy(sets):
+    """One representative after the other."""
+    import hashlib
+
+    sets = {i: frozenset(s) for i, s in sets if len(s) >= 3}
+    sim = {i: {j: round(1e6 * (1.0 if a == b else round(len(a & b) / len(a | b), 6))) for j, b in sets.items() if j != i and (a == b or len(a & b) >= 2)} for i, a in sets.items()}
+    left, out = set(sets), set()
+    while left:
+        rank = lambda i: (sum(v >= 600_000 for j, v in sim[i].items() if j in left), sum(v for j, v in sim[i].items() if j in left), hashlib.sha256(i.encode()).hexdigest())
+        best = max(left, key=rank)
+        star = {best} | {j for j, v in sim[best].items() if j in left and v >= 600_000}
+        out |= {(j, best) for j in star}
+        left -= star
+    return out
+
+
+def test_clusters_are_described(spark):
+    members = spark.createDataFrame([("p", "1", "1", 1.0), ("p", "2", "1", 0.8), ("p", "3", "3", 1.0)], "slice string, id string, representative string, similarity double")
+    items = spark.createDataFrame([(1, "Main text", ["a", "b", "c"], "h2", "x", 10, 5), (2, "Other", ["b", "a"], "h1", "y", 11, 3), (3, "Alone", ["q"], "h3", "x", 12, None)], "id int, text string, s array<string>, h string, entity string, document int, at int")
+    got = {r.cluster: r for r in mining.describe_clusters(members, items).collect()}
+    one, three = got["1"], got["3"]
+    assert (one.members, one.entities, one.cohesion_min, one.cohesion_mean, one.first_at, one.last_at) == (2, 2, 0.8, 0.9, 3, 5)
+    assert (one.label, one.signature, one.status) == ("Main text", "a,b", "cross_entity_candidate") and one.fingerprint == hashlib.sha256(b"h1|h2").hexdigest()
+    assert three.status == "insufficient_repetition" and three.first_at is None
 
 
 def test_star_golden(spark):
