@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.functions.exprs import digest, set_digest
 from evidentia.operators import evidence, lineage, mining
+from evidentia.plans.issue_queries import ISSUE_SQL, issues
 from evidentia.plans.registry import query, table, wilson_sql
 from evidentia.sources import ingest, normalize
 
@@ -85,29 +86,38 @@ def route_items(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.route(items).select("event_id", "reject_reason")
 
 
-TOKEN_SQL = r"""list_distinct(list_filter(list_transform(regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9_.+-]*'), lambda x: regexp_replace(x, '^[._+-]+|[._+-]+$', '', 'g')),
- lambda x: length(x)>=3 AND NOT regexp_matches(x,'^[0-9]+$') AND x NOT IN ({stop})))""".replace("{stop}", ",".join(f"'{w}'" for w in X.STOP_WORDS))
+STEM_SQL = "CASE y " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.ALIASES.items()) + " ELSE y END"
+TOKEN_SQL = r"""list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9_.+-]*'), lambda x: regexp_replace(x, '^[._+-]+|[._+-]+$', '', 'g')), lambda y: {stem}),
+ lambda x: length(x)>=3 AND NOT regexp_matches(x,'^[0-9]+$') AND x NOT IN ({stop})))""".replace("{stop}", ",".join(f"'{w}'" for w in X.STOP_WORDS)).replace("{stem}", STEM_SQL)
 
 
 @query(f"""WITH t AS (SELECT source, unnest({TOKEN_SQL.replace("{t}", "text")}) AS token FROM documents) SELECT token, count(*) AS documents, count(DISTINCT source) AS sources FROM t GROUP BY 1 HAVING count(*) >= 5""")
 def token_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and sources of every token that at least five documents use."""
-    t = table(spark, sf, "documents").select("source", F.explode(X.tokens(F.col("text"), aliases={"": ""})).alias("token"))
+    t = table(spark, sf, "documents").select("source", F.explode(X.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources")).where("documents >= 5")
 
 
-@query(f"""WITH s AS (SELECT item_id AS id, {TOKEN_SQL.replace("{t}", "text")} AS s FROM benchmark UNION ALL SELECT 100000+conv_id*100+turn, {TOKEN_SQL.replace("{t}", "text")} FROM conversations), k AS (SELECT id, s, len(s) AS n FROM s WHERE len(s)>0),
+@query(f"""WITH s AS (SELECT item_id AS id, {TOKEN_SQL.replace("{t}", "text")} AS s FROM benchmark UNION ALL SELECT 100000+conv_id*100+turn, {TOKEN_SQL.replace("{t}", "text")} FROM conversations
+  UNION ALL SELECT id, {TOKEN_SQL.replace("{t}", "t")} FROM (SELECT 10000000+min(document_id) AS id, t FROM (SELECT document_id, title||' '||coalesce(body,'') AS t FROM ({ISSUE_SQL})) GROUP BY t)), k AS (SELECT id, s, len(s) AS n FROM s WHERE len(s)>0),
  p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s,b.s)) AS shared, a.n AS na, b.n AS nb FROM k a JOIN k b ON a.id<b.id AND least(a.n,b.n) >= 0.6*greatest(a.n,b.n))
  SELECT a, b, shared::bigint AS shared, round_even(shared::double/(na+nb-shared),6) AS similarity FROM p WHERE ((shared=na AND na=nb) OR shared>=2) AND round_even(shared::double/(na+nb-shared),6)>=0.6""")
 def token_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All similar pairs among benchmark items and turns of conversations, by a prefix-filtered join."""
-    t = lambda df, i: df.select(i.alias("id"), X.tokens(F.col("text"), aliases={"": ""}).alias("s"))
+    """All similar pairs among benchmark items, turns of conversations and texts of work items, by a prefix-filtered join."""
+    t = lambda df, i: df.select(i.alias("id"), X.tokens(F.col("text")).alias("s"))
     items = t(table(spark, sf, "benchmark"), F.col("item_id")).unionByName(t(table(spark, sf, "conversations"), 100000 + F.col("conv_id") * 100 + F.col("turn")))
-    return mining.similar_pairs(items, "id", "s")
+    return mining.similar_pairs(items.unionByName(t(_issue_texts(spark, sf), F.col("id"))), "id", "s")
+
+
+def _issue_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of a work item once, with the least of its numbers."""
+    d = issues(spark, sf).select("document_id", F.concat("title", F.lit(" "), F.coalesce("body", F.lit(""))).alias("text"))
+    return d.groupBy("text").agg((10_000_000 + F.min("document_id")).alias("id"))
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), X.tokens(F.col("text")).alias("s"), F.lit("benchmark").alias("part"))
+    both = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("benchmark").alias("part")).unionByName(_issue_texts(spark, sf).select("id", "text", F.lit("issues").alias("part")))
+    items = both.select(F.col("id").cast("string").alias("id"), X.tokens(F.col("text")).alias("s"), "part")
     return mining.star_clusters(items.withColumn("h", digest(F.col("id"))), "id", "s", "h", "part")
 
 
@@ -123,7 +133,7 @@ SIG = "SELECT source AS cluster, lang AS entity, {t} AS s FROM documents"
  x AS (SELECT cluster, token, count(*) AS c FROM (SELECT cluster, unnest(s) AS token FROM d) GROUP BY 1,2), g AS (SELECT x.cluster, string_agg(token, ',' ORDER BY token) AS sig FROM x JOIN n USING (cluster) WHERE c=members GROUP BY 1)
  SELECT cluster, members, coalesce(sig,'') AS signature, CASE WHEN members<=1 THEN 'insufficient_repetition' WHEN e<=1 THEN 'within_entity_repeated' ELSE 'cross_entity_candidate' END AS status FROM n LEFT JOIN g USING (cluster)""")
 def cluster_signature(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("entity"), X.tokens(F.col("text"), aliases={"": ""}).alias("s"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("entity"), X.tokens(F.col("text")).alias("s"))
     e = d.groupBy("cluster").agg(F.count_distinct("entity").alias("e"))
     return mining.signatures(d, "cluster", "s").join(e, "cluster").select("cluster", "members", "signature", mining.cluster_status(F.col("members"), F.col("e")).alias("status"))
 
