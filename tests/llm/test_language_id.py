@@ -29,3 +29,36 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(df).collect()] == ["und", "und"]
     assert identify(df.where("false")).count() == 0
+
+
+def test_predictions_against_a_plain_loop(spark):
+    from math import exp
+
+    import numpy as np
+
+    from evidentia.llm import language_id as L
+
+    rows = corpus()
+    model = L.train([(t, lang) for _, t, lang in rows[:90]])
+    langs, table, bias, temperature, least = model
+    texts = [t for _, t, _ in rows[90:]] + ["a", "é!", "ab" * 3000, "12", ""]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    below = 0
+    for i, t in enumerate(texts):
+        clean = L.letters_only(t)
+        if not clean:
+            assert (got[i].lang_pred, got[i].score, got[i].accepted) == ("und", 0.0, False)
+            continue
+        at = [L.of_text(clean[k : k + size])[j] for size, j in ((2, 0), (3, -1), (4, -1)) for k in range(len(clean) - size + 1) if len(L.of_text(clean[k : k + size])) and usable(clean[k : k + size])]
+        raw = [sum(float(table[a][k]) for a in at) / max(1, len(at)) + bias[k] for k in range(len(langs))]
+        e = [exp((x - max(raw)) / temperature) for x in raw]
+        p = [x / sum(e) for x in e]
+        assert got[i].lang_pred == langs[int(np.argmax(p))] and abs(got[i].score - max(p)) < 1e-5
+        assert got[i].accepted == (got[i].score >= least)
+        below += not got[i].accepted
+    assert below
+
+
+def usable(run):
+    """A run of letters, between spaces at most."""
+    return run != "  " and " " not in run[1:-1]
