@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, url_filter
 from evidentia.llm.common import table
+from evidentia.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,4 +72,4 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
