@@ -126,6 +126,13 @@ def profile_fit(df: DataFrame, limits: dict[str, float], excluded: dict[str, lis
     return df.withColumns({"coverage": coverage, "fit": fit, "blockers": F.array_join(b, ","), "unknown": F.array_join(unknown, ",")})
 
 
+# The components of a candidate and the type of claim that each needs.
+COMPONENTS = {
+    "customer": "customer_segment", "job": "job_to_be_done", "problem": "recurring_problem", "context": "problem_context", "current_alternative": "current_alternative",
+    "solution_gap": "solution_gap", "payment_reason": "payment_reason", "entry_product": "entry_product_hypothesis", "distribution_path": "distribution_path", "expansion_path": "expansion_path_hypothesis",
+}
+
+
 def materialise_candidates(links: DataFrame, required: dict[str, str]) -> DataFrame:
     """Candidates whose component claims are complete, of the right type, supported, unrefuted and approved.
 

@@ -46,3 +46,23 @@ def dossier(links: DataFrame, most: int = 50) -> DataFrame:
     n = links.groupBy("candidate", "component").agg(F.count_distinct("claim").alias("claims"))
     parts = n.join(evidence, ["candidate", "component"]).groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("component", "claims", "evidence"))).alias("components"))
     return parts.select("candidate", F.to_json(F.struct("candidate", "components")).alias("dossier"))
+
+
+def period_report(candidates: DataFrame, clusters: DataFrame, outcomes: DataFrame, alerts: DataFrame, costs: DataFrame, scores: DataFrame, top: int = 10) -> DataFrame:
+    """(item, value) of a period, whose rows the first three and the costs are: counts, costs by currency, and the ids of the best scores.
+
+    clusters: cluster; alerts: critical; costs: currency, amount; scores: id, score, of the latest run.
+    """
+    one = lambda df, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("item"), "value")
+    n = F.count(F.lit(1))
+    out = one(candidates, "new_candidates", n).unionByName(one(clusters, "new_clusters", F.count_distinct("cluster"))).unionByName(one(outcomes, "verified_outcomes", n))
+    out = out.unionByName(one(alerts, "open_alerts", n)).unionByName(one(alerts, "critical_alerts", F.count_if("critical")))
+    spent = costs.groupBy("currency").agg(F.sum(F.col("amount").cast("decimal(18,6)")).cast("double").alias("value")).select(F.concat(F.lit("cost:"), "currency").alias("item"), "value")
+    best = scores.orderBy(F.col("score").desc_nulls_last(), "id").limit(top)
+    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "id"))  # of no more than `top` rows
+    return out.unionByName(spent).unionByName(best.select(F.concat(F.lit("top:"), place.cast("string")).alias("item"), F.col("id").cast("double").alias("value")))
+
+
+def report_json(df: DataFrame) -> DataFrame:
+    """Each row as one line of JSON, keys in order of name; write it with df.write.text."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))

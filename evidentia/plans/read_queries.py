@@ -99,3 +99,32 @@ def claim_directions(spark: SparkSession, sf: str) -> DataFrame:
 def research_dossier(spark: SparkSession, sf: str) -> DataFrame:
     """Component, claim and evidence of each candidate as one nested text."""
     return reads.dossier(table(spark, sf, "events").select(F.col("user_id").alias("candidate"), F.col("event_type").alias("component"), (F.col("event_id") % 4).alias("claim"), F.col("event_id").alias("evidence")))
+
+
+REPORT_END = "2001-06-01"
+_SPAN = f"{{at}} >= TIMESTAMP '{REPORT_END}' - to_days(days) AND {{at}} <= TIMESTAMP '{REPORT_END}'"
+
+
+@query(f"""WITH d AS (SELECT * FROM (VALUES ('weekly', 7), ('monthly', 30)) t(period, days)), e AS (SELECT TIMESTAMP '{REPORT_END}' AS t), run AS (SELECT max(o_orderdate) AS r FROM orders, e WHERE o_orderdate <= t),
+ top AS (SELECT period, row_number() OVER (PARTITION BY period ORDER BY o_totalprice DESC, o_orderkey) AS k, o_orderkey FROM orders JOIN run ON o_orderdate=r, d WHERE o_orderstatus<>'F')
+ SELECT period, 'new_candidates' AS item, count(*)::double AS value FROM orders, d WHERE {_SPAN.format(at="o_orderdate")} GROUP BY 1
+ UNION ALL SELECT period, 'new_clusters', count(DISTINCT o_custkey) FROM orders, d WHERE o_orderpriority='1-URGENT' AND {_SPAN.format(at="o_orderdate")} GROUP BY 1
+ UNION ALL SELECT period, 'verified_outcomes', count(*) FROM lineitem, d WHERE l_returnflag='A' AND {_SPAN.format(at="l_shipdate")} GROUP BY 1
+ UNION ALL SELECT period, 'open_alerts', count(*) FROM orders, d WHERE o_orderstatus='P' GROUP BY 1 UNION ALL SELECT period, 'critical_alerts', count(*) FROM orders, d WHERE o_orderstatus='P' AND o_orderpriority='1-URGENT' GROUP BY 1
+ UNION ALL SELECT period, 'cost:'||l_returnflag, sum(l_extendedprice::decimal(18,6))::double FROM lineitem, d WHERE {_SPAN.format(at="l_shipdate")} GROUP BY period, l_returnflag UNION ALL SELECT period, 'top:'||k, o_orderkey FROM top WHERE k<=10""")
+def period_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly and the monthly report as rows: counts, costs by currency, and the ten best of the latest run."""
+    o, li, end = table(spark, sf, "orders"), table(spark, sf, "lineitem"), F.lit(REPORT_END).cast("timestamp")
+    alerts = o.where("o_orderstatus = 'P'").select((F.col("o_orderpriority") == "1-URGENT").alias("critical"))
+    latest_run = o.where(F.col("o_orderdate") <= end).agg(F.max("o_orderdate").alias("o_orderdate"))
+    scores = o.where("o_orderstatus <> 'F'").join(F.broadcast(latest_run), "o_orderdate")  # one row
+    out = None
+    for period, days in (("weekly", 7), ("monthly", 30)):
+        inside = lambda at, n=days: (F.col(at) >= end - F.expr(f"INTERVAL {n} DAYS")) & (F.col(at) <= end)
+        report = reads.period_report(
+            o.where(inside("o_orderdate")), o.where(inside("o_orderdate") & (F.col("o_orderpriority") == "1-URGENT")).select(F.col("o_custkey").alias("cluster")),
+            li.where(inside("l_shipdate") & (F.col("l_returnflag") == "A")), alerts, li.where(inside("l_shipdate")).select(F.col("l_returnflag").alias("currency"), F.col("l_extendedprice").alias("amount")),
+            scores.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")),
+        ).select(F.lit(period).alias("period"), "item", "value")
+        out = report if out is None else out.unionByName(report)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import values
-from evidentia.operators import metrics, writes
+from evidentia.operators import claims, decisions, metrics, writes
 from evidentia.plans.registry import query, table
 
 us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -161,3 +161,62 @@ def checked_values(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(",", both["a"], both["b"]).alias("merged"), values.sampling_frame(F.when(k % 4 == 0, F.lit(" REPO:a/b ")).otherwise(F.lit("repo:a/b bug"))).alias("frame"),
         values.count_or_error(F.when(k % 6 == 0, F.lit("true")).otherwise(k.cast("string")), "count")["error"].alias("count_error"),
     )
+
+
+TYPES = (*claims.CLAIM_TYPES, "recurring_problem", "rumour")
+CLAIM = {
+    "claim": "o_orderkey", "cluster": "o_orderkey % 2", "claim_type": "CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END",
+    "statement": "CASE WHEN o_orderkey % 29 = 0 THEN '  ' ELSE o_orderpriority END", "created_by": "'user' || (o_custkey % 7)", "status": "CASE WHEN o_orderstatus = 'P' THEN 'approved' ELSE 'pending_review' END",
+}
+LINKS = {"claim": "l_orderkey", "kind": "CASE WHEN l_linenumber % 3 = 0 THEN 'commercial' ELSE 'evidence' END", "target": "CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey ELSE l_partkey END", "direction": "CASE WHEN l_returnflag = 'R' THEN 'refutes' ELSE 'supports' END"}
+OUTCOMES = {"outcome": "s_suppkey", "outcome_type": "CASE s_suppkey % 6 WHEN 0 THEN 'sale' WHEN 1 THEN 'contract' WHEN 2 THEN 'interview' ELSE 'meeting' END", "direction": "CASE WHEN s_suppkey % 5 = 0 THEN 'refutes' ELSE 'supports' END"}
+cols = lambda x: ", ".join(f"{v} AS {k}" for k, v in x.items())
+PAID = "otype IN (" + ", ".join(f"'{x}'" for x in metrics.DIRECT_PAYMENT) + ") AND odir='supports'"
+CLAIM_SQL = f"""c AS (SELECT {cols(CLAIM)} FROM orders), l AS (SELECT {cols(LINKS)} FROM lineitem), m AS (SELECT p_partkey%2 AS cluster, p_partkey AS evidence FROM part UNION SELECT 1-p_partkey%2, p_partkey FROM part WHERE p_partkey%10<8),
+ o0 AS (SELECT {cols(OUTCOMES)} FROM supplier), o AS (SELECT outcome, outcome_type AS otype, direction AS odir, k AS cluster FROM o0, (VALUES (0),(1)) t(k) WHERE k=outcome%2 OR outcome%7=0),
+ co AS (SELECT x.claim, count(*) AS n_commercial, bool_or({PAID}) AS paid FROM (SELECT DISTINCT claim, target FROM l WHERE kind='commercial') x JOIN c ON c.claim=x.claim JOIN o ON o.outcome=x.target AND o.cluster=c.cluster GROUP BY 1)"""
+
+
+def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    pick = lambda name, x: table(spark, sf, name).selectExpr(*[f"{v} AS {k}" for k, v in x.items()])
+    part, o = table(spark, sf, "part"), pick("supplier", OUTCOMES)
+    members = part.selectExpr("p_partkey % 2 AS cluster", "p_partkey AS evidence").union(part.where("p_partkey % 10 < 8").selectExpr("1 - p_partkey % 2", "p_partkey"))
+    both = o.withColumn("cluster", F.explode(F.array(F.lit(0), F.lit(1)))).where("cluster = outcome % 2 or outcome % 7 = 0")
+    return pick("orders", CLAIM), pick("lineitem", LINKS), members, both
+
+
+@query(f"""WITH {CLAIM_SQL}, e AS (SELECT claim, target, bool_or(direction='supports') AS s, bool_or(direction='refutes') AS r FROM l WHERE kind='evidence' GROUP BY 1, 2),
+ x AS (SELECT e.claim, bool_or(s AND r) AS both_sides, bool_or(m.evidence IS NULL) AS outside, count(*) FILTER (s) AS n_support FROM e JOIN c ON c.claim=e.claim LEFT JOIN m ON m.cluster=c.cluster AND m.evidence=e.target GROUP BY 1)
+ SELECT c.claim, coalesce(n_support,0) AS n_support, coalesce(n_commercial,0) AS n_commercial, CASE WHEN claim_type NOT IN ({", ".join(f"'{t}'" for t in claims.CLAIM_TYPES)}) THEN 'unsupported_claim_type' WHEN trim(statement)='' THEN 'missing_statement' WHEN both_sides THEN 'evidence_on_both_sides'
+  WHEN outside THEN 'evidence_outside_cluster' WHEN coalesce(n_support,0)=0 AND coalesce(n_commercial,0)=0 THEN 'no_evidence' WHEN claim_type='payment_reason' AND NOT coalesce(paid,false) THEN 'payment_not_direct' ELSE 'pending_review' END AS action
+ FROM c LEFT JOIN x ON x.claim=c.claim LEFT JOIN co ON co.claim=c.claim""")
+def claim_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    return claims.proposals(*_claims(spark, sf)).drop("fingerprint")
+
+
+REVIEWS = {"claim": "o_orderkey", "reviewer": "'user' || (o_orderkey % 7)", "decision": "CASE o_orderkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'later' ELSE 'approved' END"}
+
+
+@query(f"""WITH {CLAIM_SQL}, r AS (SELECT {cols(REVIEWS)} FROM orders), d AS (SELECT claim, bool_or(direction='supports') AS s, bool_or(direction='refutes') AS n FROM l GROUP BY 1)
+ SELECT r.claim, CASE WHEN reviewer=created_by THEN 'reviewer_is_creator' WHEN decision NOT IN ('approved','rejected') THEN 'unsupported_decision' WHEN status<>'pending_review' THEN 'not_pending' WHEN decision='approved' AND NOT coalesce(s,false) THEN 'no_support'
+  WHEN decision='approved' AND coalesce(n,false) THEN 'counter_evidence' WHEN decision='approved' AND claim_type='payment_reason' AND NOT coalesce(paid,false) THEN 'payment_not_direct' ELSE decision END AS action
+ FROM r JOIN c ON c.claim=r.claim LEFT JOIN d ON d.claim=r.claim LEFT JOIN co ON co.claim=r.claim""")
+def claim_approvals(spark: SparkSession, sf: str) -> DataFrame:
+    c, links, _, outcomes = _claims(spark, sf)
+    reviews = table(spark, sf, "orders").selectExpr(*[f"{v} AS {k}" for k, v in REVIEWS.items()])
+    return claims.approvals(c, links, outcomes, reviews)
+
+
+PARTS = {
+    "candidate": f"{I} % 40 + 40 * (user_id % 3)", "component": f"CASE {I} % 10 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(decisions.COMPONENTS)) + " END",
+    "claim_type": f"CASE {I} % 10 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(decisions.COMPONENTS.values())) + " END", "direction": "CASE WHEN user_id % 29 = 0 AND event_type = 'error' THEN 'refutes' ELSE 'supports' END",
+    "is_current": f"{I} % 97 <> 0", "approved": f"{I} % 3 <> 0", "deterministic": f"{I} % 3 = 0",
+}
+
+
+@query(f"""WITH p AS (SELECT {cols(PARTS)} FROM events), g AS (SELECT candidate, component, bool_and(is_current) AS cur, bool_or(direction='supports') AS s, bool_or(direction='refutes') AS r, bool_and(approved OR deterministic) AS ap FROM p GROUP BY 1, 2)
+ SELECT candidate, count(*) FILTER (cur AND s AND NOT r AND ap) AS n_valid, count(*) AS n_components, count(*) FILTER (cur AND s AND NOT r AND ap)=10 AND count(*)=10 AS complete FROM g GROUP BY 1""")
+def candidate_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Which candidates have all ten components, each with a current, supported, unrefuted and approved claim."""
+    links = table(spark, sf, "events").selectExpr(*[f"{v} AS {k}" for k, v in PARTS.items()])
+    return decisions.materialise_candidates(links, decisions.COMPONENTS).select("candidate", "n_valid", "n_components", "complete")
