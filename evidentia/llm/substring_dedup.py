@@ -161,7 +161,7 @@ def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
 
 
 def repeated_units(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """From (row, text) to every place (row, start, edges) of a repeated unit (u1, u2)."""
+    """From (row, text) to a table of every place (row, start, edges) of a repeated unit (u1, u2), and of the unit `before` it if they touch."""
     segments = materialise(texts.mapInArrow(_occurrences(window, k), "row long, start int, edges int, anchor long, u1 long, u2 long"))
     shared = materialise(segments.groupBy("anchor").count().where("count > 1").select("anchor"))  # a plain table, so that a hot anchor's segments can be split
     found = materialise(segments.join(shared, "anchor"))
@@ -179,15 +179,20 @@ def repeated_units(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> D
     edges = materialise(texts.join(looked, "row").select("row", "text", "segments").mapInArrow(_edges(window), "row long, start int, u1 long, u2 long, once boolean"))
     twice = materialise(edges.groupBy("u1", "u2").count().where("count > 1").select("u1", "u2"))
     single = edges.where("once").join(twice, ["u1", "u2"]).select("row", "start", F.lit(1).alias("edges"), "u1", "u2")
-    return straight.unionByName(single)
+    placed = materialise(with_neighbours(straight.unionByName(single)))
+    discard(found, shared, units, several, edges, twice)
+    return placed
 
 
-def compact(units: DataFrame) -> DataFrame:
-    """From the places of repeated units to spans (row, start, edges): the units of a text on one path that does not branch."""
+def with_neighbours(units: DataFrame) -> DataFrame:
     w = Window.partitionBy("row").orderBy("start")
     touching = F.lag("start").over(w) + F.lag("edges").over(w) == F.col("start")
-    before = F.when(touching, F.struct(F.lag("u1").over(w).alias("u1"), F.lag("u2").over(w).alias("u2")))
-    placed = materialise(units.withColumn("before", before))
+    return units.withColumn("before", F.when(touching, F.struct(F.lag("u1").over(w).alias("u1"), F.lag("u2").over(w).alias("u2"))))
+
+
+def compact(placed: DataFrame) -> DataFrame:
+    """From the places of repeated units to spans (row, start, edges): the units of a text on one path that does not branch."""
+    w = Window.partitionBy("row").orderBy("start")
     links = placed.where("before is not null").select("before.*", F.col("u1").alias("v1"), F.col("u2").alias("v2")).distinct()
     links = materialise(links)
     forks = links.groupBy("u1", "u2").count().where("count > 1").select("u1", "u2", F.lit(True).alias("fork"), F.lit(False).alias("meet"))

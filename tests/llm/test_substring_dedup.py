@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from evidentia.llm.substring_dedup import compact, cut_columns, dedup_substrings, digests
+from evidentia.llm.substring_dedup import compact, cut_columns, dedup_substrings, digests, with_neighbours
 
 
 def brute(rows, window):
@@ -67,5 +67,5 @@ def test_rows_of_one_id_do_not_mix_and_names_do_not_clash(spark):
 def test_paths_end_where_the_graph_branches(spark):
     # units a b c in two texts, a b d in a third: b forks, so the path a-b ends there
     rows = [(r, at, 2, ord(u), 0) for r, units in enumerate(["abc", "abc", "abd", "x"]) for at, u in zip(range(0, 9, 2), units)]
-    got = {(x.row, x.start, x.edges) for x in compact(spark.createDataFrame(rows, "row long, start int, edges int, u1 long, u2 long")).collect()}
+    got = {(x.row, x.start, x.edges) for x in compact(with_neighbours(spark.createDataFrame(rows, "row long, start int, edges int, u1 long, u2 long"))).collect()}
     assert got == {(0, 0, 4), (0, 4, 2), (1, 0, 4), (1, 4, 2), (2, 0, 4), (2, 4, 2), (3, 0, 2)}
