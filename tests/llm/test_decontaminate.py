@@ -71,3 +71,14 @@ def test_pieces(spark):
     assert leaks(empty, bench).count() == 0
     one = spark.createDataFrame([(None, "a b"), (3, "c")], "doc_id long, text string")
     assert drop_leaks(one, bench).count() == 2
+
+
+def test_very_long_texts_and_repeated_items(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abdeiklmnorst") for _ in range(r.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    item = prose(40)
+    docs = [(1, f"{prose(300_000)} {item} {prose(50_000)}"), (2, prose(300_000)), (3, item * 3)]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item.upper())], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 7), (1, 8), (3, 7), (3, 8)}

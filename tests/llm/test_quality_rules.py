@@ -109,3 +109,13 @@ def test_outliers_and_odd_rows(spark):
     assert all(by[i].kept for i in range(300)) and not any(by[900 + i].kept for i in range(6))
     assert not by[950].kept and by[950].base_failed and by[952].kept
     assert judge(df.where("false")).count() == 0
+
+
+def test_equal_rows_share_their_verdict_and_long_texts_count_whole(spark):
+    line = "plain words of a usual kind that stand in this line and in no other one of them"
+    rows = [(i, f"{line} {i}\nand {i} more words follow here to make it long enough", "en", "s") for i in range(50)]
+    rows += [(100 + i, " ".join(f"w{i}-{k}" for k in range(60_000)), "en", "s") for i in range(2)] + [(200, rows[0][1], "en", "s")] * 30
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    same = {(x.distance, x.kept) for x in got if x.doc_id in (0, 200)}
+    assert len(got) == len(rows) and len(same) == 1
+    assert {x.n_words for x in got if x.doc_id in (100, 101)} == {60_000}

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from evidentia.llm.sharding import documents, shard
+from evidentia.llm.sharding import cut_bytes, documents, propagate, shard
 
 
 def corpus():
@@ -35,3 +35,23 @@ def test_even_gapless_and_together(spark):
 
 def test_empty(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_propagation_cuts_fewer_links_and_keeps_quotas(spark):
+    rows = corpus()
+    first = documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).cache()
+    linked = propagate(first, 8)
+    before = cut_bytes(first.join(linked.select("row"), "row"))
+    assert cut_bytes(linked) < 0.2 * before
+    total = first.selectExpr("sum(size) as s").first().s
+    assert max(r.s for r in linked.groupBy("shard").agg({"size": "sum"}).toDF("shard", "s").collect()) <= total / 8
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    rows = [(1, "same words")] * 400 + [(2, "x" * 3_000_000)] + [(None, None)] * 100 + [(i, f"text {i}") for i in range(10, 60)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=4).collect()
+    assert len(got) == len(rows) and sorted(g.size for g in got) == sorted(len(t or "") + 16 for _, t in rows)
+    slots = {}
+    for g in got:
+        slots.setdefault(g.shard, []).append(g.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
