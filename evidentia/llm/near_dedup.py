@@ -308,9 +308,9 @@ def _across(crowd: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float
     up, down = (F.lit(x).cast("long") for x in ratio(threshold))
     texts = materialise(_texts(docs, reps.select("rep", "ident").join(crowd, "rep")))
     counts = texts.select("text").mapInArrow(_cells, "cells array<long>, met array<long>").select(F.inline(F.arrays_zip("cells", "met"))).groupBy("cells").agg(F.sum("met").alias("met"))
-    counts = counts.toPandas()  # no more rows than cells
+    counts = counts.toArrow()  # no more rows than cells
     met = np.zeros(CELLS, dtype=np.int64)
-    met[counts["cells"].to_numpy(dtype=np.int64)] = counts["met"].to_numpy(dtype=np.int64)
+    met[counts.column("cells").to_numpy()] = counts.column("met").to_numpy()
     rare = materialise(texts.mapInArrow(_prefixes(threshold, met), "rep long, part long, n int, key long, pos int, place int, short boolean"))
     sized = rare.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mains = materialise(sized.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.max_by("part", F.struct("n", "part")).alias("main")).where("of > 1").select("key", "main"))
