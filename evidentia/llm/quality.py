@@ -64,7 +64,7 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, passes: int = PASSES, a
     memo, made = TokenHash(), []
     for text, label in rows:
         at, count = np.unique(features(text, memo, bits), return_counts=True)
-        made.append((np.append(at, size), np.append(SCALE * count / max(1, count.sum()), 1.0), label))
+        made.append((np.append(at, size).astype(np.int32), np.append(SCALE * count / max(1, count.sum()), 1.0), label))
 
     def weights(at):
         zi = z[at]
