@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, url_filter
+from evidentia.llm import alignment, decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, url_filter
 from evidentia.llm.common import table
 from evidentia.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def piece_model_path() -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model_path() -> str:
+    return vocabulary("piece_bpe_32k.model")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), piece_model_path())
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -70,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
