@@ -1,8 +1,8 @@
 """Alignment of two tokenizers: the groups of tokens that cover the same bytes, and the pairs that they link.
 
-Both tokenizers encode the same bytes, a space and the text. A task splits a text where neither can join tokens
-(before a space that follows a character which is no white space), encodes every chunk that it has not met yet
-and looks the others up in a bounded memo; it returns ids and end offsets, nothing more. All that follows is
+Both tokenizers encode the same bytes, a space and the text. A task splits texts where neither can join tokens
+(before a space that follows a character which is no white space) and encodes each chunk once for some megabytes
+of text; it returns ids and end offsets, nothing more. All that follows is
 higher-order functions: the ends that both share cut the text into groups, found by `array_intersect`; a sort of
 ends and cuts together tells how many tokens end by each cut; slices between those places are the groups, and
 products of a group's ids the links. A pair's count is the number of documents that hold it.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,11 @@ from evidentia.llm.common import docs_of, materialise, ship
 ship(__name__)
 
 SPACE = "▁"
-MEMO_CHUNKS = 400_000
-SLICE = 256
-SLICE_BYTES = 4_000_000
-UNSAFE, UNLIKE = -1, -2
+#: rows and bytes of text that a task takes at once
+SLICE = 4096
+SLICE_BYTES = 8_000_000
+#: chunks that are encoded as one text
+TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
 PAIR = 1 << 20
 WIDE = 1 << 21
@@ -44,84 +46,100 @@ INTS = T.ArrayType(T.IntegerType(), False)
 TOKENS = T.StructType().add("row", "long").add("doc_id", "long").add("a_ids", INTS).add("a_ends", INTS).add("b_ids", INTS).add("b_ends", INTS)
 
 
+#: how byte-level texts are split before merges; a fixed value
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Pair:
-    """Two tokenizers over the same bytes, with the ids of every chunk met so far in flat arrays."""
+    """Two tokenizers over the same bytes: byte-level merges with a pattern, and pieces with a space before the text."""
 
     def __init__(self, a_path: str, b_path: str):
+        import json
+
+        import numpy as np
         import sentencepiece
-        from tokenizers import Tokenizer, decoders
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        if not isinstance(self.a.decoder, decoders.ByteLevel):
-            raise ValueError("the first tokenizer has to be byte-level")
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes = byte_level_entries(self.a.get_vocab(with_added_tokens=True))
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.plain = self.b.encode("a  b") == self.b.encode("a") + self.b.encode(" b") and not any(SPACE in p[1:] and p.strip(SPACE) and SPACE in p.lstrip(SPACE) for p in pieces)
-        self.clear()
-
-    def clear(self) -> None:
-        from array import array
-
-        self.memo: dict[str, int] = {}
-        self.runs: dict[str, int] = {}
-        self.ids, self.starts = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
-
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        return a, self.b.encode(chunks, num_threads=1)
-
-    def spelt(self, chunk: str, a: list[int], b: list[int]) -> bool:
-        raw = b" " + chunk.encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-
-    def learn(self, chunks: list[str], to: dict[str, int]) -> None:
-        """Encode chunks and append them to the arrays; a chunk that its tokens don't spell is marked."""
-        for c, a, b in zip(chunks, *self.encode(chunks), strict=True):
-            if not self.spelt(c, a, b):
-                to[c] = UNLIKE
-                continue
-            to[c] = len(self.starts[0]) - 1
-            for ids, starts, new in zip(self.ids, self.starts, (a, b), strict=True):
-                ids.extend(new)
-                starts.append(len(ids))
-
-    def chunks(self, parts: list[str]) -> list[str]:
-        """Parts between spaces joined again until each ends in a character that is no white space."""
-        out, cur = [], None
-        for p in parts:
-            cur = p if cur is None else f"{cur} {p}"
-            if p and safe(p[-1]):
-                out.append(cur)
-                cur = None
-        if cur is not None:
-            if cur.strip(" ") or not out:
-                out.append(cur)
-            else:
-                out[-1] += f" {cur}"
+        import tiktoken
+
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
+            raise ValueError("the first tokenizer has to be byte-level without a normaliser")
+        special = {t["content"] for t in spec["added_tokens"]}
+        self.a_bytes = byte_level_entries({t: i for t, i in spec["model"]["vocab"].items() if t not in special})
+        ranks = {entry: i for i, entry in enumerate(self.a_bytes) if entry}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        order = [spec["model"]["vocab"][m] for m in merged]
+        if order != sorted(order):
+            raise ValueError("the first tokenizer's ids have to follow the order of its merges")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) or b.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b = lambda texts: b.encode(texts, num_threads=1)
+        # no piece has a space after another character, and the model keeps spaces: a text may be cut before them
+        self.plain = b.decode(b.encode(" a  b ")) == " a  b " and not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.entries = (self.a_bytes, self.b_bytes)
+        self.sizes = [np.array([len(x) for x in entries], dtype=np.int32) for entries in self.entries]
+
+    def both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a space and each text, by either; a text that its tokens don't spell has none."""
+        a, b = [self.a(f" {t}") for t in texts], self.b(texts)
+        raw = "".join(f" {t}" for t in texts).encode()
+        if any(b"".join(map(entries.__getitem__, chain.from_iterable(ids))) != raw for entries, ids in zip(self.entries, (a, b), strict=True)):
+            if len(texts) > 1:
+                each = [self.both([t]) for t in texts]
+                return [x[0][0] for x in each], [x[1][0] for x in each]
+            return [[]], [[]]
+        return a, b
+
+    def encode(self, chunks: pa.StringArray, joinable: bool) -> list[tuple]:
+        """For either tokenizer: the ids of all chunks, where those of each begin, and how many they are.
+
+        Chunks that may stand before any other are encoded as texts of many and told apart by their lengths.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts, lengths = chunks.to_pylist(), pc.binary_length(chunks).to_numpy()
+        joined = np.flatnonzero([joinable or bool(c) and safe(c[-1]) for c in texts]) if self.plain else np.zeros(0, int)
+        ids = self.both([" ".join([texts[i] for i in joined[k : k + TOGETHER]]) for k in range(0, len(joined), TOGETHER)])
+        if not all(ids[0]):
+            joined, ids = joined[:0], ([], [])
+        alone = np.setdiff1d(np.arange(len(texts)), joined)
+        each = self.both([texts[i] for i in alone])
+        ends = np.cumsum(lengths[joined] + 1)
+        out = []
+        for together, rest, size in zip(ids, each, self.sizes, strict=True):
+            together = np.fromiter(chain.from_iterable(together), np.int32)
+            starts = np.concatenate([[0], np.searchsorted(np.cumsum(size[together]), ends, side="right")]).astype(np.int64)
+            later = len(together) + np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int64)
+            begin, end = np.zeros((2, len(texts)), dtype=np.int64)
+            begin[joined], end[joined], begin[alone], end[alone] = starts[:-1], starts[1:], later[:-1], later[1:]
+            out.append((np.concatenate([together, np.fromiter(chain.from_iterable(rest), np.int32)]), begin, end - begin))
         return out
 
-    def places(self, text: str) -> list[int] | None:
-        """Where the memo has each chunk of a text, or None if the tokens don't spell the text."""
-        parts = text.split(" ") if self.plain else [text]
-        known, new = self.memo, set(parts).difference(self.memo)
-        if new:
-            known.update((p, UNSAFE) for p in new if not p or not safe(p[-1]))
-            self.learn([p for p in new if p and safe(p[-1])], known)
-        at = list(map(known.__getitem__, parts))
-        if UNSAFE in at:
-            parts, known = self.chunks(parts), self.runs
-            self.learn(list(set(parts).difference(known)), known)
-            at = list(map(known.__getitem__, parts))
-        return None if UNLIKE in at else at
-
 
 def safe(c: str) -> bool:
+    """Letters, numbers, punctuation, signs and marks: no pattern takes them for white space."""
     return unicodedata.category(c)[0] in "LNPSM"
 
 
+def chunks_of(parts: list[str]) -> list[str]:
+    """Parts between spaces joined again until each ends in a character that is no white space."""
+    out, cur = [], None
+    for p in parts:
+        cur = p if cur is None else f"{cur} {p}"
+        if p and safe(p[-1]):
+            out.append(cur)
+            cur = None
+    if cur is not None:
+        if cur.strip(" ") or not out:
+            out.append(cur)
+        else:
+            out[-1] += f" {cur}"
+    return out
+
+
 def byte_level_entries(vocab: dict[str, int]) -> list[bytes]:
     """The bytes of every entry: printable Latin-1 characters stand for themselves, the other bytes for 256 and on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -134,36 +152,53 @@ def byte_level_entries(vocab: dict[str, int]) -> list[bytes]:
     return out
 
 
+def _tokens(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
+    """The ids and end offsets of rows from their chunks; every chunk that occurs is encoded once."""
+    import numpy as np
+
+    coded = chunks.flatten().dictionary_encode()
+    at, bounds = coded.indices.to_numpy(), chunks.offsets.to_numpy().astype(np.int64)
+    encoded = pair.encode(coded.dictionary, joinable)
+    # a chunk without tokens is one that they don't spell
+    spelt = encoded[0][2][at] > 0
+    if not spelt.all():
+        row = np.repeat(np.arange(len(chunks)), np.diff(bounds))
+        whole = np.bincount(row, weights=~spelt, minlength=len(chunks)) == 0
+        at = at[whole[row]]
+        bounds = np.concatenate([[0], np.cumsum(np.where(whole, np.diff(bounds), 0))])
+    columns = {"row": part.column("row"), "doc_id": part.column("doc_id")}
+    for name, (ids, starts, counts), size in zip("ab", encoded, pair.sizes, strict=True):
+        count = counts[at]
+        before = np.concatenate([[0], np.cumsum(count)])
+        tokens = ids[np.repeat(starts[at] - before[:-1], count) + np.arange(before[-1])]
+        ends = np.concatenate([[0], np.cumsum(size[tokens], dtype=np.int64)])
+        offsets = before[bounds]
+        ends = ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
+        columns[f"{name}_ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
+        columns[f"{name}_ends"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ends.astype(np.int32)))
+    return pa.record_batch(list(columns.values()), names=list(columns))
+
+
 def _tokenise(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
+        import pyarrow.compute as pc
 
         pair = Pair(a_path, b_path)
-        sizes = [np.array([len(x) for x in entries], dtype=np.int32) for entries in (pair.a_bytes, pair.b_bytes)]
-
-        def made(part: pa.RecordBatch) -> pa.RecordBatch:
-            if len(pair.memo) + len(pair.runs) > MEMO_CHUNKS:
-                pair.clear()
-            found = [pair.places(t) or () if t else () for t in part.column("text").to_pylist()]
-            at = np.fromiter((p for f in found for p in f), dtype=np.int64)
-            chunks = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-            columns = {"row": part.column("row"), "doc_id": part.column("doc_id")}
-            for name, ids, starts, size in zip("ab", pair.ids, pair.starts, sizes, strict=True):
-                ids, starts = np.array(ids, dtype=np.int32), np.array(starts, dtype=np.int64)
-                count = (starts[1:] - starts[:-1])[at] if len(at) else at
-                before = np.concatenate([[0], np.cumsum(count)])
-                tokens = ids[np.repeat((starts[at] if len(at) else at) - before[:-1], count) + np.arange(before[-1])]
-                ends = np.cumsum(size[tokens], dtype=np.int64)
-                bounds = before[chunks]
-                base = np.concatenate([[0], ends])[bounds[:-1]]
-                ends = ends - np.repeat(base, np.diff(bounds))
-                offsets = pa.array(bounds.astype(np.int32))
-                columns[f"{name}_ids"] = pa.ListArray.from_arrays(offsets, pa.array(tokens))
-                columns[f"{name}_ends"] = pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))
-            return pa.record_batch(list(columns.values()), names=list(columns))
+
+        def made(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            text = part.column("text")
+            none = pc.fill_null(pc.or_(pc.equal(text, ""), pc.match_substring(text, SPACE)), True)
+            bare, part = part.filter(none), part.filter(pc.invert(none))
+            if bare.num_rows:
+                yield _tokens(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
+            split = pc.split_pattern(part.column("text"), " ") if pair.plain else pa.array([[t] for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            coded = split.flatten().dictionary_encode()
+            unsafe = pc.take(pa.array([not c or not safe(c[-1]) for c in coded.dictionary.to_pylist()], pa.bool_()), coded.indices)
+            odd = pc.is_in(pa.array(range(part.num_rows), pa.int64()), pc.unique(pc.filter(pc.list_parent_indices(split), unsafe)).cast(pa.int64()))
+            for chosen, again in ((pc.invert(odd), False), (odd, True)):
+                rest, chunks = part.filter(chosen), split.filter(chosen)
+                if rest.num_rows:
+                    yield _tokens(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
 
         for batch in batches:
             at = 0
@@ -171,7 +206,7 @@ def _tokenise(a_path: str, b_path: str):
                 n = SLICE
                 while n > 1 and batch.slice(at, n).column("text").nbytes > SLICE_BYTES:
                     n //= 2
-                yield made(batch.slice(at, n))
+                yield from made(batch.slice(at, n))
                 at += n
 
     return run

@@ -1,11 +1,11 @@
-"""SQL that says the same as three of the queries, for DuckDB over the driver's tables.
+"""SQL that says the same as five of the queries, for DuckDB over the driver's tables.
 
 The others have none: SQL has no sentencepiece, no alignment, no training and no iteration to a settled state.
 """
 
 from __future__ import annotations
 
-from evidentia.llm import near_dedup, substring_dedup, url_filter
+from evidentia.llm import divergence, near_dedup, substring_dedup, top_vectors, url_filter
 
 WORDS = r"list_filter(string_split_regex(coalesce(text,''), '[ \t\n\x0B\f\r]+'), lambda x: x<>'')"
 
@@ -71,4 +71,28 @@ def url_sql(rules=url_filter.RULES, depth: int = url_filter.DEPTH) -> str:
  SELECT page_id, d.host, d.path, rule, coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, '/'||array_to_string(template,'/') AS template, round(pure,6) AS template_purity FROM d LEFT JOIN v ON v.host=d.host AND v.segments=d.segments"""
 
 
-ORACLES = {"op1_substring_dedup": substring_sql(), "op3_url_filter": url_sql(), "op7_near_dedup": near_sql()}
+def divergence_sql(least_docs: int = divergence.LEAST_DOCS, top: int = divergence.TOP, scale: int = divergence.SCALE) -> str:
+    """Every kept term under every source of its language, and f for all of them."""
+    p = f"1+{scale}::hugeint*(%s+2)//(%s+2*v)"
+    f = "((%s-%s)*(%s-%s)//(%s+%s))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source,
+   regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ u AS (SELECT r, lang, source, unnest(w) AS term FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM u GROUP BY ALL),
+ k AS (SELECT lang, term, count(*) AS lang_n FROM u GROUP BY ALL HAVING count(DISTINCT r)>={least_docs}), l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY 1),
+ s AS (SELECT g.lang, g.source, coalesce(sum(c.n),0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT c.* FROM c JOIN k ON k.lang=c.lang AND k.term=c.term) c ON c.lang=g.lang AND c.source=g.source GROUP BY ALL),
+ p AS (SELECT s.lang, s.source, k.term, coalesce(c.n,0) AS n, {p % ("coalesce(c.n,0)", "total")} AS p, {p % ("lang_n", "lang_total")} AS q
+   FROM s JOIN k ON k.lang=s.lang JOIN l ON l.lang=s.lang LEFT JOIN c ON c.lang=s.lang AND c.source=s.source AND c.term=k.term),
+ a AS (SELECT x.lang, x.source, y.source AS item, sum({f % (("x.p", "y.p") * 3)}) AS value FROM p x JOIN p y ON y.lang=x.lang AND y.term=x.term AND y.source<>x.source GROUP BY ALL),
+ o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value,0) AS value FROM s x JOIN s y ON y.lang=x.lang AND y.source<>x.source LEFT JOIN a ON a.lang=x.lang AND a.source=x.source AND a.item=y.source
+   UNION ALL SELECT lang, source, 'term', term, {f % (("p", "q") * 3)} FROM p WHERE n>0 AND p>q)
+ SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part='pair' OR rank<={top}"""
+
+
+def vectors_sql(k: int = top_vectors.K, every: int = top_vectors.EVERY, scale: int = top_vectors.SCALE) -> str:
+    """Every query against every other row."""
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale}*x::double)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON c.vec_id<>q.vec_id WHERE q.vec_id%{every}=0)
+ SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank<={k}"""
+
+
+ORACLES = {"op1_substring_dedup": substring_sql(), "op3_url_filter": url_sql(), "op7_near_dedup": near_sql(), "op12_divergence": divergence_sql(), "op13_top_vectors": vectors_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import alignment, decontaminate, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, url_filter
+from evidentia.llm import alignment, decontaminate, divergence, language_id, license_scan, near_dedup, quality, quality_rules, sentencepieces, sharding, substring_dedup, top_vectors, url_filter
 from evidentia.llm.common import table
 from evidentia.llm.oracles import ORACLES
 
@@ -67,6 +67,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), piece_model_path())
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_vectors.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_alignment": op11_alignment,
+    "op12_divergence": op12_divergence,
+    "op13_top_vectors": op13_top_vectors,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
