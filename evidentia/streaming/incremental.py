@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.streaming.keyed import keyed_store
+
 
 def read_stream(spark, path: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
     """A Parquet folder as a stream; the checkpoint of the query is the cursor."""
@@ -24,5 +26,6 @@ def windowed_counts(events: DataFrame, at: str, key: str, value: str, window: st
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Take all that is there in bounded batches, write it to Parquet, and stop; a rerun takes only what is new."""
-    query = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with keyed_store(df.sparkSession):
+        query = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
