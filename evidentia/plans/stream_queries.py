@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.plans.registry import query, table
 from evidentia.session import fresh_dir
-from evidentia.streaming import incremental, keyed
+from evidentia.sources import ingest, paged
+from evidentia.streaming import incremental, keyed, sink
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -77,3 +78,73 @@ def alert_history(spark: SparkSession, sf: str) -> DataFrame:
 def alert_history_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a stream with a state and a timer for each alert."""
     return _streamed(spark, sf, lambda s: keyed.alert_stream(_checks(s), "alert_key", f"{SILENCE_DAYS} days")).select("alert_key", "action", "cause", *us("at", "first_at"), "severity")
+
+
+@query(
+    """WITH e AS (SELECT strftime(ts,'%Y-%m-%d') AS cursor, event_id FROM events), p AS (SELECT cursor, count(*) AS items, sum(event_id)::bigint AS ids FROM e GROUP BY 1)
+ SELECT 'day '||cursor AS cursor, 'day '||lead(cursor) OVER (ORDER BY cursor) AS next_cursor, lead(cursor) OVER (ORDER BY cursor) IS NULL AS is_complete, items::bigint AS items, ids FROM p"""
+)
+def paged_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as stored pages, one a day, read by following the cursors; items as they were read."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd")).alias("cursor"), F.col("event_id"))
+    follow = Window.orderBy("cursor")
+    days = e.select("cursor").distinct().withColumns({"next_cursor": F.lead("cursor").over(follow), "first": F.min("cursor").over(follow)})
+    named = e.join(days, "cursor").select(
+        "cursor", "next_cursor", F.col("next_cursor").isNull().alias("is_complete"), F.lit("succeeded").alias("status"), F.lit(None).cast("long").alias("expected_total"), F.lit(None).cast("int").alias("position"),
+        F.to_json(F.struct("event_id")).alias("item"),
+    )
+    path = fresh_dir(spark, "pages")
+    paged.store_pages(named, path)
+    paged.register(spark)
+    read = spark.read.format("pages").options(path=path, start=days.agg(F.min("first")).first()[0] or paged.START).load()
+    items = read.where("kind = 'item'")
+    return items.groupBy("cursor", "next_cursor", "is_complete").agg(F.count(F.lit(1)).alias("items"), F.sum(F.get_json_object("item", "$.event_id").cast("long")).alias("ids"))
+
+
+PAGE_ROWS = {
+    "kind": "CASE WHEN event_id % 13 = 0 THEN 'event' ELSE 'page' END", "status": "CASE event_id % 211 WHEN 1 THEN 'failed_permanent' WHEN 2 THEN 'failed_transient' WHEN 3 THEN 'rate_limited' ELSE 'succeeded' END",
+    "is_complete": "event_id % 4 = 0", "position": "cast(event_id % 3 as int)", "detail": "CASE WHEN event_id % 299 = 0 THEN 'connector_exception:OSError' WHEN event_id % 169 = 0 THEN 'cursor_not_advancing:x' WHEN event_id % 13 = 0 THEN 'note' END",
+}
+PAGE_LIMIT = 60
+
+
+@query(
+    f"""WITH r AS (SELECT user_id, {", ".join(f"{x} AS {name}" for name, x in PAGE_ROWS.items())} FROM events),
+ s AS (SELECT user_id, count(*) FILTER (kind='page') AS pages, coalesce(sum(position) FILTER (kind='page'),0) AS items, max(status) FILTER (kind='page' AND status<>'succeeded') AS failed,
+  count(*) FILTER (kind='page' AND status<>'succeeded')+count(*) FILTER (kind='event' AND (detail LIKE 'cursor_not_advancing%' OR detail LIKE 'connector_exception%')) AS errors,
+  count(*) FILTER (kind='page' AND status='succeeded' AND is_complete)>0 AS done, count(*) FILTER (kind='event' AND detail LIKE 'connector_exception%')>0 AS broken, count(*) FILTER (kind='event' AND detail LIKE 'cursor_not_advancing%')>0 AS stuck FROM r GROUP BY 1),
+ t AS (SELECT *, CASE WHEN broken THEN CASE WHEN items>0 THEN 'partial' ELSE 'failed_transient' END WHEN failed IN ('failed_transient','failed_permanent') AND items>0 THEN 'partial' WHEN failed IS NOT NULL THEN failed
+  WHEN stuck OR NOT done OR errors>0 THEN 'partial' ELSE 'succeeded' END AS status FROM s)
+ SELECT user_id, status, CASE WHEN broken THEN 'connector_exception' WHEN failed IS NOT NULL THEN failed WHEN stuck THEN 'cursor_not_advancing' WHEN done THEN NULL WHEN pages>={PAGE_LIMIT} THEN 'page_limit' ELSE 'open' END AS reason,
+  pages::bigint AS pages, items::bigint AS items, errors::bigint AS errors, status<>'succeeded' AND coalesce(failed,'')<>'failed_permanent' AS resume_available FROM t"""
+)
+def collection_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """How collections end, with every terminal reason."""
+    rows = table(spark, sf, "events").selectExpr("user_id", *[f"{x} AS {name}" for name, x in PAGE_ROWS.items()])
+    return paged.collection_outcome(rows, ["user_id"], PAGE_LIMIT)
+
+
+ITEMS = {
+    "external_type": "CASE WHEN event_id % 9 = 0 THEN ' ' ELSE event_type END", "external_id": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast(user_id as varchar(20)) END",
+    "payload": "CASE WHEN event_id % 7 = 0 THEN '{}' WHEN event_id % 17 = 0 THEN '{broken' ELSE props END",
+}
+
+
+@query(
+    f"""WITH i AS (SELECT event_id, {", ".join(f"{x} AS {name}" for name, x in ITEMS.items())} FROM events),
+ o AS (SELECT event_id, CASE WHEN trim(external_type)='' THEN 'missing_external_type' WHEN external_id IS NULL THEN 'missing_external_id' WHEN payload IS NULL OR trim(payload) IN ('','{{}}','[]','null') THEN 'empty_payload'
+  WHEN payload='{{broken' THEN 'non_json_payload' END AS error_class FROM i)
+ SELECT 'item' AS part, event_id AS id, error_class FROM o UNION ALL SELECT 'batch', count(*), CASE WHEN count(error_class)=0 THEN 'succeeded' WHEN count(error_class)<count(*) THEN 'partial' ELSE 'failed_permanent' END FROM o"""
+)
+def exactly_once_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of items into the sink that commits rows, rejects and summary together; and the items again, without effect."""
+    events, out, state, again = (fresh_dir(spark, name) for name in ("events", "sink", "state", "state"))
+    table(spark, sf, "events").write.parquet(events)
+    items = incremental.read_stream(spark, events, table(spark, sf, "events"), 1_000_000).selectExpr("event_id", *[f"{x} AS {name}" for name, x in ITEMS.items()])
+    normalise = lambda rows: ingest.route(rows).withColumnRenamed("reject_reason", "error_class")
+    for checkpoint in (state, again):
+        sink.run_batches(items, normalise, out, checkpoint)
+    done = sink.Commits(spark, out)
+    kept = done.read(sink.ROWS).select(F.lit("item").alias("part"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("error_class"))
+    failed = done.read(sink.REJECTS).select(F.lit("item").alias("part"), F.col("event_id").alias("id"), "error_class")
+    return kept.unionByName(failed).unionByName(done.read(sink.SUMMARY).select(F.lit("batch").alias("part"), F.col("input_count").alias("id"), F.col("status").alias("error_class")))
