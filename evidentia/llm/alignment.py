@@ -34,16 +34,17 @@ ship(__name__)
 SPACE = "▁"
 #: rows and bytes of text that a task takes at once
 SLICE = 4096
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: chunks that are encoded as one text
 TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
 PAIR = 1 << 20
-WIDE = 1 << 21
+WIDE = 1 << 16
 HOT = 200_000
 
 INTS = T.ArrayType(T.IntegerType(), False)
-TOKENS = T.StructType().add("row", "long").add("doc_id", "long").add("a_ids", INTS).add("a_ends", INTS).add("b_ids", INTS).add("b_ends", INTS)
+DOC = T.StructType().add("row", "long").add("doc_id", "long").add("n_a", "long").add("n_b", "long").add("chunks", INTS)
+TOKENS = T.StructType().add("a_ids", INTS).add("a_ends", INTS).add("b_ids", INTS).add("b_ends", INTS).add("chunk_ends", INTS).add("docs", T.ArrayType(DOC, False))
 
 
 #: how byte-level texts are split before merges; a fixed value
@@ -152,31 +153,38 @@ def byte_level_entries(vocab: dict[str, int]) -> list[bytes]:
     return out
 
 
-def _tokens(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
-    """The ids and end offsets of rows from their chunks; every chunk that occurs is encoded once."""
+def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
+    """One row for many documents: the tokens of every chunk that occurs, encoded once, and the chunks of each document."""
     import numpy as np
 
     coded = chunks.flatten().dictionary_encode()
-    at, bounds = coded.indices.to_numpy(), chunks.offsets.to_numpy().astype(np.int64)
+    at, sizes = coded.indices.to_numpy(), np.diff(chunks.offsets.to_numpy())
     encoded = pair.encode(coded.dictionary, joinable)
-    # a chunk without tokens is one that they don't spell
-    spelt = encoded[0][2][at] > 0
+    # a chunk without tokens is one that they don't spell; its documents have no chunks
+    spelt = encoded[0][2] > 0
     if not spelt.all():
-        row = np.repeat(np.arange(len(chunks)), np.diff(bounds))
-        whole = np.bincount(row, weights=~spelt, minlength=len(chunks)) == 0
-        at = at[whole[row]]
-        bounds = np.concatenate([[0], np.cumsum(np.where(whole, np.diff(bounds), 0))])
-    columns = {"row": part.column("row"), "doc_id": part.column("doc_id")}
-    for name, (ids, starts, counts), size in zip("ab", encoded, pair.sizes, strict=True):
-        count = counts[at]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        whole = np.bincount(row, weights=~spelt[at], minlength=len(sizes)) == 0
+        at, sizes = at[whole[row]], np.where(whole, sizes, 0)
+    kept = np.flatnonzero(spelt)
+    at = (np.cumsum(spelt) - 1)[at]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
+    columns, counts = {}, {}
+    for name, (ids, starts, count), size in zip("ab", encoded, pair.sizes, strict=True):
+        count = count[kept]
         before = np.concatenate([[0], np.cumsum(count)])
-        tokens = ids[np.repeat(starts[at] - before[:-1], count) + np.arange(before[-1])]
-        ends = np.concatenate([[0], np.cumsum(size[tokens], dtype=np.int64)])
-        offsets = before[bounds]
-        ends = ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
-        columns[f"{name}_ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
-        columns[f"{name}_ends"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ends.astype(np.int32)))
-    return pa.record_batch(list(columns.values()), names=list(columns))
+        tokens = ids[np.repeat(starts[kept] - before[:-1], count) + np.arange(before[-1])]
+        ends = np.cumsum(size[tokens], dtype=np.int64)
+        columns |= {f"{name}_ids": one(tokens), f"{name}_ends": one(ends)}
+        counts[name] = np.diff(np.concatenate([[0], np.cumsum(count[at])])[bounds])
+        columns["chunk_ends"] = one(ends[before[1:] - 1] if len(kept) else ends)
+    docs = pa.StructArray.from_arrays([
+        part.column("row"), part.column("doc_id"), pa.array(counts["a"].astype(np.int64)), pa.array(counts["b"].astype(np.int64)),
+        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32))),
+    ], names=["row", "doc_id", "n_a", "n_b", "chunks"])
+    columns["docs"] = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    return pa.record_batch([columns[f.name] for f in TOKENS.fields], names=TOKENS.names)
 
 
 def _tokenise(a_path: str, b_path: str):
@@ -190,7 +198,7 @@ def _tokenise(a_path: str, b_path: str):
             none = pc.fill_null(pc.or_(pc.equal(text, ""), pc.match_substring(text, SPACE)), True)
             bare, part = part.filter(none), part.filter(pc.invert(none))
             if bare.num_rows:
-                yield _tokens(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
+                yield _bundle(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
             split = pc.split_pattern(part.column("text"), " ") if pair.plain else pa.array([[t] for t in part.column("text").to_pylist()], pa.list_(pa.string()))
             coded = split.flatten().dictionary_encode()
             unsafe = pc.take(pa.array([not c or not safe(c[-1]) for c in coded.dictionary.to_pylist()], pa.bool_()), coded.indices)
@@ -198,7 +206,7 @@ def _tokenise(a_path: str, b_path: str):
             for chosen, again in ((pc.invert(odd), False), (odd, True)):
                 rest, chunks = part.filter(chosen), split.filter(chosen)
                 if rest.num_rows:
-                    yield _tokens(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
+                    yield _bundle(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
 
         for batch in batches:
             at = 0
@@ -213,50 +221,74 @@ def _tokenise(a_path: str, b_path: str):
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (of no meaning outside one run), doc_id, and the ids and end offsets in bytes of both tokenizers."""
+    """Bundles of documents: ids and end offsets in bytes of their chunks by both tokenizers, where chunks end, and
+    docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
     rows = docs_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(_tokenise(a_path, b_path), TOKENS)
 
 
-def _ended(both: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """A value that is computed once, however often and wherever the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _ended(ends: Column, cuts: Column) -> Column:
     """How many ends lie at or before each cut: in the sorted whole of both, a cut is the second of two equals."""
-    twice = F.filter(F.sequence(F.lit(1), F.size(both) - 1), lambda i: F.get(both, i) == F.get(both, i - 1))
-    return F.transform(twice, lambda i, j: i - j)
+    twice = lambda both: F.filter(F.sequence(F.lit(1), F.size(both) - 1), lambda i: F.get(both, i) == F.get(both, i - 1))
+    return F.transform(_let(F.sort_array(F.concat(ends, cuts)), twice), lambda i, j: i - j)
+
 
+def _before(places: Column, j: Column) -> Column:
+    return F.when(j == 0, 0).otherwise(F.get(places, j - 1))
 
-def _between(ids: Column, places: Column, j: Column) -> Column:
-    start = F.when(j == 0, 0).otherwise(F.get(places, j - 1))
-    return F.slice(ids, start + 1, F.get(places, j) - start)
+
+def _between(values: Column, places: Column, j: Column) -> Column:
+    return F.slice(values, _before(places, j) + 1, F.get(places, j) - _before(places, j))
 
 
 def _text(ids: Column) -> Column:
     return F.concat_ws(",", ids.cast("array<string>"))
 
 
-def groups_of(tokens: DataFrame) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, n_links, and the groups of ids, in order: array of struct(a, b)."""
-    some = F.size("a_ids") > 0
-    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # a column of its own for what lambdas look up again and again, or they would make it anew for each element
-    cut = cut.withColumns({f"{x}_both": F.sort_array(F.concat(f"{x}_ends", "cuts")) for x in "ab"})
-    cut = cut.withColumns({f"{x}_at": F.when(some, _ended(F.col(f"{x}_both"))) for x in "ab"})
-    group = lambda _, j: F.struct(_between(F.col("a_ids"), F.col("a_at"), j).alias("a"), _between(F.col("b_ids"), F.col("b_at"), j).alias("b"))
-    grouped = cut.withColumn("groups", F.when(some, F.transform("cuts", group)))
-    links = F.coalesce(F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"])), F.lit(0))
-    count = lambda c: F.size(c).cast("long")
-    return grouped.select("row", "doc_id", count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), count("cuts").alias("n_groups"), links.alias("n_links"), "groups")
+def group_text(group: Column) -> Column:
+    """`a1,a2|b1`."""
+    return F.concat(_text(group["a"]), F.lit("|"), _text(group["b"]))
+
 
+def group_links(group: Column) -> Column:
+    """Every link of a group as a number, a * PAIR + b, repeated as often as it occurs."""
+    return F.flatten(F.transform(group["a"], lambda a: F.transform(group["b"], lambda b: a.cast("long") * PAIR + b)))
 
-def group_text(groups: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`."""
-    return F.concat_ws(";", F.transform(groups, lambda g: F.concat(_text(g["a"]), F.lit("|"), _text(g["b"]))))
 
+def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
+    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links of each document: as numbers in `links`,
+    or as groups of ids in `wide` where there are more than so many.
 
-def links_of(groups: Column) -> Column:
-    """Every link of the groups as a number, a * PAIR + b, repeated as often as it occurs."""
-    number = lambda a, b: a.cast("long") * PAIR + b
-    each = F.transform(groups, lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: number(a, b)))))
-    return F.flatten(each)
+    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order.
+    """
+    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    cut = cut.withColumns({"a_at": _ended(F.col("a_ends"), F.col("cuts")), "b_at": _ended(F.col("b_ends"), F.col("cuts")), "c_at": _ended(F.col("cuts"), F.col("chunk_ends"))})
+    group = lambda _, j: F.struct(_between(F.col("a_ids"), F.col("a_at"), j).alias("a"), _between(F.col("b_ids"), F.col("b_at"), j).alias("b"))
+    grouped = cut.select("docs", "c_at", F.transform("cuts", group).alias("groups"))
+    links_in = lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])
+    made = F.transform("groups", lambda g: F.struct(group_text(g).alias("text"), links_in(g).alias("n"), F.when(links_in(g) <= wide, group_links(g)).alias("links")))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda n, g: n + g["n"])
+    chunk = lambda made, g: F.struct(
+        F.concat_ws(";", F.transform(g, lambda x: x["text"])).alias("text"), F.size(g).cast("long").alias("groups"), total(g).alias("n"), F.when(total(g) <= wide, F.flatten(F.transform(g, lambda x: x["links"]))).alias("links")
+    )
+    chunks = _let(made, lambda m: F.transform("c_at", lambda _, j: _let(_between(m, F.col("c_at"), j), lambda g: chunk(m, g))))
+
+    def of(d: Column, own: Column) -> Column:
+        n = total(own)
+        groups = F.flatten(F.transform(d["chunks"], lambda i: _between(F.col("groups"), F.col("c_at"), i)))
+        return F.struct(
+            *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["groups"]).alias("n_groups"), n.alias("n_links"),
+            F.when(d["n_a"] > 0, F.sha2(F.concat_ws(";", F.transform(own, lambda c: c["text"])), 256)).otherwise("").alias("groups_sha256"),
+            F.when(n <= wide, F.flatten(F.transform(own, lambda c: c["links"]))).alias("links"), F.when(n > wide, groups).alias("wide"),
+        )
+
+    each = lambda known: F.transform("docs", lambda d: _let(F.transform(d["chunks"], lambda i: F.get(known, i)), lambda own: of(d, own)))
+    return grouped.select(F.explode(_let(chunks, each)).alias("d")).select("d.*")
 
 
 def _link_rows(aligned: DataFrame, once: bool) -> DataFrame:
@@ -289,10 +321,7 @@ def least_hot(counts: DataFrame, hot: int = HOT) -> int:
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE, hot: int = HOT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256, one row per row."""
-    groups = groups_of(tokenise(docs, a_path, b_path, id_col, text_col))
-    narrow, some = F.col("n_links") <= wide, F.col("n_a") > 0
-    digest = F.when(some, F.sha2(group_text(F.col("groups")), 256)).otherwise("").alias("groups_sha256")
-    aligned = materialise(groups.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, F.when(narrow, links_of(F.col("groups"))).alias("links"), F.when(~narrow, F.col("groups")).alias("wide")))
+    aligned = materialise(groups_of(tokenise(docs, a_path, b_path, id_col, text_col), wide))
     counts = materialise(pair_counts(aligned))
     least = least_hot(counts, hot)
     rows = _link_rows(aligned, once=False)
