@@ -278,8 +278,7 @@ def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
     )
     chunks = _let(made, lambda m: F.transform("c_at", lambda _, j: _let(_between(m, F.col("c_at"), j), lambda g: chunk(m, g))))
 
-    def of(d: Column, own: Column) -> Column:
-        n = total(own)
+    def of(d: Column, own: Column, n: Column) -> Column:
         groups = F.flatten(F.transform(d["chunks"], lambda i: _between(F.col("groups"), F.col("c_at"), i)))
         return F.struct(
             *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["groups"]).alias("n_groups"), n.alias("n_links"),
@@ -287,7 +286,7 @@ def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
             F.when(n <= wide, F.flatten(F.transform(own, lambda c: c["links"]))).alias("links"), F.when(n > wide, groups).alias("wide"),
         )
 
-    each = lambda known: F.transform("docs", lambda d: _let(F.transform(d["chunks"], lambda i: F.get(known, i)), lambda own: of(d, own)))
+    each = lambda known: F.transform("docs", lambda d: _let(F.transform(d["chunks"], lambda i: F.get(known, i)), lambda own: _let(total(own), lambda n: of(d, own, n))))
     return grouped.select(F.explode(_let(chunks, each)).alias("d")).select("d.*")
 
 
