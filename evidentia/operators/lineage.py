@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.exprs import half_even, ratio
+from evidentia.operators import signals
+from evidentia.session import checkpoint
 
 
 NO_TOKEN = ""
@@ -82,3 +86,52 @@ def histories(spark: SparkSession, edges: DataFrame, start: DataFrame, depth: in
           UNION ALL
           SELECT w.node, e.parent, w.steps + 1 FROM walk w JOIN _lineage_edges e ON e.child = w.ancestor WHERE w.steps < {int(depth)}
         ) SELECT node, ancestor, CAST(steps AS BIGINT) AS steps FROM walk""")
+
+
+def chosen_edges(relations: DataFrame) -> DataFrame:
+    """(child, parent): of the stable and evolved relations of a current cluster that of the run that finished last, then of the greatest id.
+
+    relations: id, finished_at, previous, current, relation.
+    """
+    kept = relations.where(F.col("relation").isin("stable", "evolved") & F.col("previous").isNotNull() & F.col("current").isNotNull())
+    return kept.groupBy(F.col("current").alias("child")).agg(F.max_by("previous", F.struct("finished_at", "id")).alias("parent"))
+
+
+def stable_histories(relations: DataFrame, start: DataFrame, depth: int = 51) -> DataFrame:
+    """node, ancestor, steps: each start node and the clusters it came from, one relation a step.
+
+    A walk ends where no relation leads on, where it would meet itself again, or after `depth` steps. All walks go
+    on together, a join a step; only those that go on are in the next one.
+    """
+    edges = checkpoint(chosen_edges(relations))
+    front = checkpoint(start.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.array("node").alias("path")))
+    done = [front]
+    for _ in range(depth):
+        step = front.join(edges, front["ancestor"] == edges["child"]).where(~F.array_contains("path", F.col("parent")))
+        front = checkpoint(step.select("node", F.col("parent").alias("ancestor"), F.concat("path", F.array("parent")).alias("path")))
+        if front.isEmpty():
+            break
+        done.append(front)
+    return reduce(DataFrame.unionByName, done).select("node", "ancestor", (F.size("path") - 1).cast("long").alias("steps"))
+
+
+def history_points(histories: DataFrame, observations: DataFrame) -> DataFrame:
+    """node, metric, as_of, value: the measured values of a cluster and all it came from, of each time the run that finished last.
+
+    observations: cluster, metric, as_of, finished_at, run_id, status, value.
+    """
+    measured = observations.where((F.col("status") == "measured") & F.col("value").isNotNull())
+    own = histories.select("node", F.col("ancestor").alias("cluster")).join(measured, "cluster")
+    return own.groupBy("node", "metric", "as_of").agg(F.max_by("value", F.struct("finished_at", "run_id")).alias("value"))
+
+
+def history_signals(points: DataFrame) -> DataFrame:
+    """node, metric, points, first_at, last_at, and trend, anomaly and seasonality of the series."""
+    keys = ["node", "metric"]
+    span = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.min("as_of").alias("first_at"), F.max("as_of").alias("last_at"))
+    parts = {
+        "trend": signals.trend(points, keys, "as_of", "value").select(*keys, "slope", "relative_30d", "direction"),
+        "anomaly": signals.anomaly(points, keys, "as_of", "value").select(*keys, F.col("status").alias("anomaly_status"), F.col("score").alias("anomaly_score")),
+        "season": signals.seasonality(points, keys, "as_of", "value").select(*keys, F.col("status").alias("season_status"), "strength", "period_days"),
+    }
+    return reduce(lambda left, right: left.join(right, keys), parts.values(), span)

@@ -119,8 +119,10 @@ def describe_clusters(members: DataFrame, items: DataFrame) -> DataFrame:
         F.min("similarity").alias("cohesion_min"), half_even(F.sum("similarity") / F.count(F.lit(1))).alias("cohesion_mean"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
         F.max(F.when(F.col("id") == F.col("representative"), F.left("text", F.lit(500)))).alias("label"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "|"), 256).alias("fingerprint"),
     )
-    signed = signatures(m.select("cluster", "s"), "cluster", "s").select("cluster", "signature")
-    return n.join(signed, "cluster").withColumn("status", cluster_status(F.col("members"), F.col("entities")))
+    # a representative may stand in several slices
+    both = F.struct("slice", "cluster")
+    signed = signatures(m.select(both.alias("key"), "s"), "key", "s").select("key.slice", "key.cluster", "signature")
+    return n.join(signed, ["slice", "cluster"]).withColumn("status", cluster_status(F.col("members"), F.col("entities")))
 
 
 def signatures(members: DataFrame, cluster: str, set_col: str) -> DataFrame:
