@@ -33,8 +33,8 @@ ship(__name__)
 
 SPACE = "▁"
 #: rows and bytes of text that a task takes at once
-SLICE = 4096
-SLICE_BYTES = 4_000_000
+SLICE = 1024
+SLICE_BYTES = 1_500_000
 #: chunks that are encoded as one text
 TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
@@ -44,7 +44,7 @@ HOT = 200_000
 
 INTS = T.ArrayType(T.IntegerType(), False)
 DOC = T.StructType().add("row", "long").add("doc_id", "long").add("n_a", "long").add("n_b", "long").add("chunks", INTS)
-TOKENS = T.StructType().add("a_ids", INTS).add("a_ends", INTS).add("b_ids", INTS).add("b_ends", INTS).add("chunk_ends", INTS).add("docs", T.ArrayType(DOC, False))
+TOKENS = T.StructType([T.StructField(x, INTS) for x in ("a_ids", "a_ends", "a_by", "b_ids", "b_ends", "b_by", "chunk_ends")]).add("docs", T.ArrayType(DOC, False))
 
 
 #: how byte-level texts are split before merges; a fixed value
@@ -176,7 +176,7 @@ def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bo
         before = np.concatenate([[0], np.cumsum(count)])
         tokens = ids[np.repeat(starts[kept] - before[:-1], count) + np.arange(before[-1])]
         ends = np.cumsum(size[tokens], dtype=np.int64)
-        columns |= {f"{name}_ids": one(tokens), f"{name}_ends": one(ends)}
+        columns |= {f"{name}_ids": one(tokens), f"{name}_ends": one(ends), f"{name}_by": one(np.cumsum(np.bincount(ends, minlength=1)))}
         counts[name] = np.diff(np.concatenate([[0], np.cumsum(count[at])])[bounds])
         columns["chunk_ends"] = one(ends[before[1:] - 1] if len(kept) else ends)
     docs = pa.StructArray.from_arrays([
@@ -221,15 +221,15 @@ def _tokenise(a_path: str, b_path: str):
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bundles of documents: ids and end offsets in bytes of their chunks by both tokenizers, where chunks end, and
-    docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
+    """Bundles of documents: ids and end offsets in bytes of their chunks by both tokenizers, how many tokens end by
+    each byte, where chunks end, and docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
     rows = docs_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(_tokenise(a_path, b_path), TOKENS)
 
 
 def _let(value: Column, body) -> Column:
-    """A value that is computed once, however often and wherever the body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """A value that is computed once, however often and wherever the body uses it, and isn't copied as results of `transform` are."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda v, _: v, body)
 
 
 def _ended(ends: Column, cuts: Column) -> Column:
@@ -238,56 +238,55 @@ def _ended(ends: Column, cuts: Column) -> Column:
     return F.transform(_let(F.sort_array(F.concat(ends, cuts)), twice), lambda i, j: i - j)
 
 
-def _before(places: Column, j: Column) -> Column:
-    return F.when(j == 0, 0).otherwise(F.get(places, j - 1))
+def _within(values: Column, start: Column, end: Column) -> Column:
+    return F.slice(values, start + 1, end - start)
 
 
-def _between(values: Column, places: Column, j: Column) -> Column:
-    return F.slice(values, _before(places, j) + 1, F.get(places, j) - _before(places, j))
-
-
-def _text(ids: Column) -> Column:
-    return F.concat_ws(",", ids.cast("array<string>"))
-
-
-def group_text(group: Column) -> Column:
-    """`a1,a2|b1`."""
-    return F.concat(_text(group["a"]), F.lit("|"), _text(group["b"]))
-
-
-def group_links(group: Column) -> Column:
+def _product(a_ids: Column, b_ids: Column) -> Column:
     """Every link of a group as a number, a * PAIR + b, repeated as often as it occurs."""
-    return F.flatten(F.transform(group["a"], lambda a: F.transform(group["b"], lambda b: a.cast("long") * PAIR + b)))
+    return F.flatten(F.transform(a_ids, lambda a: F.transform(b_ids, lambda b: a.cast("long") * PAIR + b)))
 
 
 def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links of each document: as numbers in `links`,
     or as groups of ids in `wide` where there are more than so many.
 
-    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order.
+    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order. What
+    lambdas look up is a column of its own that is used more than once, or bound by `_let`: Spark would make it anew
+    for every element else.
     """
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    cut = cut.withColumns({"a_at": _ended(F.col("a_ends"), F.col("cuts")), "b_at": _ended(F.col("b_ends"), F.col("cuts")), "c_at": _ended(F.col("cuts"), F.col("chunk_ends"))})
-    group = lambda _, j: F.struct(_between(F.col("a_ids"), F.col("a_at"), j).alias("a"), _between(F.col("b_ids"), F.col("b_at"), j).alias("b"))
-    grouped = cut.select("docs", "c_at", F.transform("cuts", group).alias("groups"))
-    links_in = lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])
-    made = F.transform("groups", lambda g: F.struct(group_text(g).alias("text"), links_in(g).alias("n"), F.when(links_in(g) <= wide, group_links(g)).alias("links")))
-    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda n, g: n + g["n"])
-    chunk = lambda made, g: F.struct(
-        F.concat_ws(";", F.transform(g, lambda x: x["text"])).alias("text"), F.size(g).cast("long").alias("groups"), total(g).alias("n"), F.when(total(g) <= wide, F.flatten(F.transform(g, lambda x: x["links"]))).alias("links")
-    )
-    chunks = _let(made, lambda m: F.transform("c_at", lambda _, j: _let(_between(m, F.col("c_at"), j), lambda g: chunk(m, g))))
-
-    def of(d: Column, own: Column, n: Column) -> Column:
-        groups = F.flatten(F.transform(d["chunks"], lambda i: _between(F.col("groups"), F.col("c_at"), i)))
+    # the tokens that end by each cut, from none: group j has those from place j to place j + 1
+    by = lambda ended: F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: F.coalesce(F.get(ended, c), F.lit(0))))
+    cut = cut.withColumns({"a_at": by(F.col("a_by")), "b_at": by(F.col("b_by")), "c_at": _ended(F.col("cuts"), F.col("chunk_ends")), "a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>")})
+    span = lambda x, j: (F.get(F.col(f"{x}_at"), j), F.get(F.col(f"{x}_at"), j + 1))
+    part = lambda x, name, j: _within(F.col(f"{x}_{name}"), *span(x, j))
+    size = lambda x, j: span(x, j)[1] - span(x, j)[0]
+    first = lambda x, name, j: F.get(F.col(f"{x}_{name}"), span(x, j)[0])
+    single = lambda j: (size("a", j) == 1) & (size("b", j) == 1)
+    text = lambda _, j: F.when(single(j), F.concat(first("a", "text", j), F.lit("|"), first("b", "text", j))).otherwise(F.concat(F.concat_ws(",", part("a", "text", j)), F.lit("|"), F.concat_ws(",", part("b", "text", j))))
+    product = lambda j: F.when(size("a", j).cast("long") * size("b", j) <= wide, _product(part("a", "ids", j), part("b", "ids", j)))
+    links = lambda _, j: F.when(single(j), F.array(first("a", "ids", j).cast("long") * PAIR + first("b", "ids", j))).otherwise(product(j))
+    many = lambda start, end: F.aggregate(F.sequence(start, end - 1), F.lit(0).cast("long"), lambda n, j: n + size("a", j).cast("long") * size("b", j))
+    ends = F.col("c_at")
+    start = lambda j: F.when(j == 0, 0).otherwise(F.get(ends, j - 1))
+    texts = _let(F.transform("cuts", text), lambda each: F.transform(ends, lambda e, j: F.concat_ws(";", _within(each, start(j), e))))
+    linked = _let(F.transform("cuts", links), lambda each: F.transform(ends, lambda e, j: F.flatten(_within(each, start(j), e))))
+    counts = lambda own: F.transform(ends, lambda e, j: F.when(F.get(own, j).isNull(), many(start(j), e)).otherwise(F.size(F.get(own, j)).cast("long")))
+    known = _let(linked, lambda own: F.struct(texts.alias("texts"), own.alias("links"), counts(own).alias("n"), F.transform(ends, lambda e, j: e - start(j)).alias("groups")))
+
+    def of(d: Column, chunks: Column, n: Column) -> Column:
+        group = lambda j: F.struct(part("a", "ids", j).alias("a"), part("b", "ids", j).alias("b"))
+        groups = F.flatten(F.transform(d["chunks"], lambda i: F.transform(F.sequence(start(i), F.get(ends, i) - 1), group)))
+        own = lambda x: F.transform(d["chunks"], lambda i: F.get(chunks[x], i))
         return F.struct(
-            *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["groups"]).alias("n_groups"), n.alias("n_links"),
-            F.when(d["n_a"] > 0, F.sha2(F.concat_ws(";", F.transform(own, lambda c: c["text"])), 256)).otherwise("").alias("groups_sha256"),
-            F.when(n <= wide, F.flatten(F.transform(own, lambda c: c["links"]))).alias("links"), F.when(n > wide, groups).alias("wide"),
+            *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["groups"], i)).alias("n_groups"), n.alias("n_links"),
+            F.when(d["n_a"] > 0, F.sha2(F.concat_ws(";", own("texts")), 256)).otherwise("").alias("groups_sha256"), F.when(n <= wide, F.flatten(own("links"))).alias("links"), F.when(n > wide, groups).alias("wide"),
         )
 
-    each = lambda known: F.transform("docs", lambda d: _let(F.transform(d["chunks"], lambda i: F.get(known, i)), lambda own: _let(total(own), lambda n: of(d, own, n))))
-    return grouped.select(F.explode(_let(chunks, each)).alias("d")).select("d.*")
+    count = lambda d, chunks: F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["n"], i))
+    each = lambda chunks: F.transform("docs", lambda d: _let(count(d, chunks), lambda n: of(d, chunks, n)))
+    return cut.select(F.explode(_let(known, each)).alias("d")).select("d.*")
 
 
 def _link_rows(aligned: DataFrame, once: bool) -> DataFrame:
