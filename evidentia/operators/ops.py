@@ -106,3 +106,19 @@ def export_rows(df: DataFrame, key: str) -> DataFrame:
     """Each row as JSON with its digest and an idempotency key; write it with df.write.json."""
     body = F.to_json(F.struct(*sorted(df.columns)))
     return df.select(F.col(key).cast("string").alias("export_key"), body.alias("payload")).withColumn("payload_sha256", F.sha2("payload", 256))
+
+
+def operations_summary(alerts: DataFrame, costs: DataFrame, now: Column, daily_budget: float, monthly_budget: float, currency: str = "USD") -> DataFrame:
+    """One row: open alerts by severity, what the day and the month have cost so far, and whether that blocks more.
+
+    alerts: status, severity; costs: occurred_at, amount, currency. A budget of nought sets no limit; a spent one
+    blocks, else an open critical alert asks for attention.
+    """
+    open_ = alerts.where(F.col("status") == "open").agg(
+        F.count(F.lit(1)).alias("open_alert_count"), F.count_if(F.col("severity") == "critical").alias("critical_alert_count"), F.count_if(F.col("severity") == "warning").alias("warning_alert_count")
+    )
+    spent = lambda unit: F.coalesce(F.sum(F.when(F.col("occurred_at") >= F.date_trunc(unit, now), F.col("amount").cast("decimal(18,6)"))), F.lit(0)).cast("decimal(28,6)")
+    sums = costs.where((F.col("currency") == currency) & (F.col("occurred_at") < now)).agg(spent("day").alias("daily_cost"), spent("month").alias("monthly_cost"))
+    over = lambda cost, budget: F.lit(budget > 0) & (F.col(cost) >= F.lit(budget))
+    status = F.when(over("daily_cost", daily_budget) | over("monthly_cost", monthly_budget), "blocked").when(F.col("critical_alert_count") > 0, "attention").otherwise("ok")
+    return open_.join(F.broadcast(sums)).withColumn("budget_status", status)  # one row each

@@ -94,3 +94,20 @@ def total_changes(pages: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """Pages whose expected total differs from the last known one of their collection."""
     before = F.last("expected_total", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return pages.withColumn("previous_total", before).where(F.col("expected_total").isNotNull() & F.col("previous_total").isNotNull() & (F.col("expected_total") != F.col("previous_total")))
+
+
+OPPORTUNITY_DECISIONS = ("investigate", "validate", "watch", "reject", "archive")
+
+
+def opportunity_reviews(requests: DataFrame, versions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(reviews to append, audit rows of all requests).
+
+    requests: request_id, key, decision, reviewer, notes, at; a version may be reviewed again and again. An audit row
+    tells what was asked for and how it ended, also where nothing was written.
+    """
+    known = versions.select(key).distinct().withColumn("_known", F.lit(True))
+    outcome = F.when(F.col("_known").isNull(), "version_not_found").when(~F.coalesce(F.col("decision").isin(*OPPORTUNITY_DECISIONS), F.lit(False)), "unsupported_decision").otherwise("created")
+    judged = requests.join(known, key, "left").withColumn("outcome", outcome).drop("_known")
+    reviews = judged.where("outcome = 'created'").select("request_id", key, "decision", F.trim("reviewer").alias("reviewer"), F.trim("notes").alias("notes"), F.col("at").alias("created_at"))
+    audit = judged.select("request_id", F.lit("opportunity_review").alias("action"), F.col(key).cast("string").alias("target"), F.trim("reviewer").alias("actor"), "outcome", F.col("at").alias("occurred_at"))
+    return reviews, audit
