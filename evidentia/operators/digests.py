@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.session import ship
+
+ship(__name__)
+
 
 def _running(n_keys: int, sep: bytes):
     """Digest the parts of rows that come in order, key after key; what is held is one digest and one key."""

@@ -12,6 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from evidentia.session import ship
+
+ship(__name__)
+
 DAY = 86_400_000_000
 FEW = 4000
 BLOCK = 32

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -15,6 +17,11 @@ SETTINGS = {
 }
 
 
+def ship(module_name: str) -> None:
+    """Pickle a module's functions and classes by value, so that executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def session(name: str = "evidentia", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map={**SETTINGS, **more}).getOrCreate()
 

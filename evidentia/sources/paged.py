@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from evidentia.session import ship
+
+ship(__name__)
+
 SCHEMA = "kind string, cursor string, next_cursor string, status string, is_complete boolean, expected_total long, position int, item string, detail string"
 START = "start"
 OPEN, COMPLETE, STOPPED, FAILED = "open", "complete", "stopped", "failed"
@@ -193,11 +197,6 @@ class Pages(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Pages)
 
 
