@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
+def _rounded(x: Column, digits: int, whole) -> Column:
+    """The value times 10^digits, rounded to a whole number: a sum of decimals that ends in a 5 is a tie, though its double may lie just off it."""
+    x, scale = x.cast("double"), 10.0**digits
+    return F.when(F.abs(x) < 1e300 / scale, whole(x * scale, 0) / scale).otherwise(x)
+
+
 def half_even(x: Column, digits: int = 6) -> Column:
-    return F.bround(x.cast("double"), digits)
+    return _rounded(x, digits, F.bround)
 
 
 def half_up(x: Column, digits: int = 6) -> Column:
-    return F.round(x.cast("double"), digits)
+    return _rounded(x, digits, F.round)
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.exprs import half_even, half_up
 from evidentia.operators import digests, lineage, mining, order_statistics, retention
 from evidentia.plans.registry import query, table
 from evidentia.session import fresh_dir
@@ -61,7 +62,7 @@ QUARTILES = {"low": 0.25, "mid": 0.5, "high": 0.75}
 def quartiles_of_large_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles of three groups that hold all rows, narrowed from the sketch's brackets; no state holds more than a few values."""
     out = order_statistics.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_extendedprice").cast("double"), QUARTILES, limit=2000)
-    return out.select("l_returnflag", *[F.round(name, 6).alias(name) for name in QUARTILES])
+    return out.select("l_returnflag", *[half_up(F.col(name)).alias(name) for name in QUARTILES])
 
 
 @query("SELECT median(abs(l_extendedprice::double - m)) AS spread FROM lineitem, (SELECT median(l_extendedprice::double) AS m FROM lineitem)")
@@ -127,5 +128,5 @@ def cluster_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     items = d.select(F.col("doc_id").alias("id"), "text", F.array_distinct(F.filter(F.split("text", " "), lambda x: x != "")).alias("s"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"), F.col("source").alias("entity"), F.col("doc_id").alias("document"), F.col("doc_id").alias("at"))
     least = F.min("doc_id").over(Window.partitionBy("lang", "source")) % 7
-    members = d.select(F.col("lang").alias("slice"), F.col("doc_id").cast("string").alias("id"), least.cast("string").alias("representative"), F.bround((F.col("doc_id") % 100) / F.lit(100.0), 2).alias("similarity"))
+    members = d.select(F.col("lang").alias("slice"), F.col("doc_id").cast("string").alias("id"), least.cast("string").alias("representative"), half_even((F.col("doc_id") % 100) / F.lit(100.0), 2).alias("similarity"))
     return mining.describe_clusters(members, items).drop("label")

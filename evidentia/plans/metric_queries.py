@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.exprs import days_between
+from evidentia.functions.exprs import days_between, half_even
 from evidentia.operators import decisions, metrics, signals
 from evidentia.operators.metrics import MetricSpec
 from evidentia.plans.registry import query, table, wilson_sql
@@ -103,7 +103,7 @@ def trailing_30d_rate(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("event_type").orderBy(F.unix_date("day")).rangeBetween(-29, 0)
     s = F.sum("n").over(w)
-    return d.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), s.alias("in_30d"), F.bround(s / F.lit(30.0), 6).alias("rate_30d"))
+    return d.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), s.alias("in_30d"), half_even(s / F.lit(30.0)).alias("rate_30d"))
 
 
 @query(
@@ -160,7 +160,7 @@ SCORE_SQL = """WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     kind = lambda k: F.count_if(F.col("event_type") == k)
     u = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), kind("click").alias("c"), kind("view").alias("w"), kind("error").alias("e"))
-    share = lambda x: F.bround(F.col(x) / F.col("n"), 6)
+    share = lambda x: half_even(F.col(x) / F.col("n"))
     u = u.withColumns({"c_value": share("c"), "w_value": share("w"), "e_value": F.when(F.col("e") > 0, share("e"))})
     none = F.lit(None).cast("double")
     u = u.withColumns({f"{m}_{p}": none for m in "cwe" for p in ("low", "high")} | {f"{m}_n": F.col("n") for m in "cwe"})

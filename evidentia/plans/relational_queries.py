@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.exprs import set_digest
+from evidentia.functions.exprs import half_up, set_digest
 from evidentia.operators import decisions, latest, ops
 from evidentia.plans.registry import query, table
 
@@ -93,7 +93,7 @@ def brier_backtest(spark: SparkSession, sf: str) -> DataFrame:
 def smoothed_base_rate(spark: SparkSession, sf: str) -> DataFrame:
     j = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("lang")
     g = j.agg(F.count_distinct("doc_id").alias("n"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("positives"))
-    return g.withColumn("rate", F.round(decisions.smoothed_rate(F.col("positives"), F.col("n")), 6))
+    return g.withColumn("rate", half_up(decisions.smoothed_rate(F.col("positives"), F.col("n"))))
 
 
 @query("""SELECT c_mktsegment AS currency, round(sum(l_extendedprice::decimal(18,6)),2)::double AS total, count(*) AS entries FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey
