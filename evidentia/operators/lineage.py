@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.exprs import half_even, ratio
 from evidentia.operators import signals
-from evidentia.session import checkpoint
+from evidentia.session import materialise
 
 
 NO_TOKEN = ""
@@ -73,19 +73,34 @@ def stability(related: DataFrame, least: int = 20, pass_rate: float = 0.8) -> Da
     return n.withColumn("status", F.when(few, "insufficient_history").when(F.coalesce("stability_rate", F.lit(0.0)) < pass_rate, "below_stability_threshold").otherwise("passed"))
 
 
+def _walks(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """node, ancestor, steps: walks of up to `depth` steps from each start node along (child, parent) edges, one parent a child.
+
+    The length doubles each round: where a walk of some steps ends, the edges of twice that many go on. Rows of a
+    round are written once; what is shuffled follows the result.
+    """
+    jump = materialise(edges)
+    parts = [materialise(start.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps")))]
+    span = 1
+    while span <= depth:
+        on = jump.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
+        known = reduce(DataFrame.unionByName, parts).where(F.col("steps") + span <= depth)
+        more = materialise(known.join(on, "ancestor").select("node", F.col("_next").alias("ancestor"), (F.col("steps") + span).alias("steps")))
+        if more.isEmpty():
+            break
+        parts.append(more)
+        span *= 2
+        if span <= depth:
+            jump = materialise(jump.select("child", F.col("parent").alias("ancestor")).join(on, "ancestor").select("child", F.col("_next").alias("parent")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def histories(spark: SparkSession, edges: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
     """Walk back from each start node along (child, parent) edges: node, ancestor, steps. One parent per child.
 
-    The walk ends after `depth` steps, which also ends a cycle.
+    The walk ends after `depth` steps, which also ends a cycle. It has no limit on rows, as recursion in SQL has.
     """
-    edges.groupBy("child").agg(F.max("parent").alias("parent")).createOrReplaceTempView("_lineage_edges")
-    start.select("node").distinct().createOrReplaceTempView("_lineage_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, ancestor, steps) AS (
-          SELECT node, node, 0 FROM _lineage_start
-          UNION ALL
-          SELECT w.node, e.parent, w.steps + 1 FROM walk w JOIN _lineage_edges e ON e.child = w.ancestor WHERE w.steps < {int(depth)}
-        ) SELECT node, ancestor, CAST(steps AS BIGINT) AS steps FROM walk""")
+    return _walks(edges.groupBy("child").agg(F.max("parent").alias("parent")), start, depth)
 
 
 def chosen_edges(relations: DataFrame) -> DataFrame:
@@ -100,19 +115,10 @@ def chosen_edges(relations: DataFrame) -> DataFrame:
 def stable_histories(relations: DataFrame, start: DataFrame, depth: int = 51) -> DataFrame:
     """node, ancestor, steps: each start node and the clusters it came from, one relation a step.
 
-    A walk ends where no relation leads on, where it would meet itself again, or after `depth` steps. All walks go
-    on together, a join a step; only those that go on are in the next one.
+    A walk ends where no relation leads on, where it would meet itself again, or after `depth` steps. As each node has
+    one parent, all that follows the first ancestor met twice has been met before: what counts is its least step.
     """
-    edges = checkpoint(chosen_edges(relations))
-    front = checkpoint(start.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.array("node").alias("path")))
-    done = [front]
-    for _ in range(depth):
-        step = front.join(edges, front["ancestor"] == edges["child"]).where(~F.array_contains("path", F.col("parent")))
-        front = checkpoint(step.select("node", F.col("parent").alias("ancestor"), F.concat("path", F.array("parent")).alias("path")))
-        if front.isEmpty():
-            break
-        done.append(front)
-    return reduce(DataFrame.unionByName, done).select("node", "ancestor", (F.size("path") - 1).cast("long").alias("steps"))
+    return _walks(chosen_edges(relations), start, depth).groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
 
 
 def history_points(histories: DataFrame, observations: DataFrame) -> DataFrame:

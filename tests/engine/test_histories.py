@@ -27,6 +27,23 @@ def test_one_relation_a_step_newest_run_first(spark):
     assert max(x.steps for x in lineage.stable_histories(r, start, depth=1).collect()) == 1
 
 
+def test_histories_have_no_limit_on_rows_and_take_few_rounds(spark):
+    """A chain, and a cycle behind a tail, under a limit on recursion that is lower than the rows."""
+    chain = [(i, i - 1) for i in range(1, 130)] + [(1000, 1001), (1001, 1002), (1002, 1001)]
+    edges = spark.createDataFrame(chain, "child long, parent long")
+    start = spark.createDataFrame([(129,), (60,), (1000,)], "node long")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 40)
+    try:
+        got = sorted((r.node, r.steps, r.ancestor) for r in lineage.histories(spark, edges, start, depth=100).collect())
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    cycle = [1000, *[1001 + i % 2 for i in range(100)]]
+    assert got == [*[(60, i, 60 - i) for i in range(61)], *[(129, i, 129 - i) for i in range(101)], *[(1000, i, x) for i, x in enumerate(cycle)]]
+    r = edges.selectExpr("child as id", "child as finished_at", "parent as previous", "child as current", "'stable' as relation")
+    got = sorted((x.node, x.steps, x.ancestor) for x in lineage.stable_histories(r, start).collect())
+    assert got == [*[(60, i, 60 - i) for i in range(52)], *[(129, i, 129 - i) for i in range(52)], (1000, 0, 1000), (1000, 1, 1001), (1000, 2, 1002)]
+
+
 def test_last_run_of_each_time_counts(spark):
     h = spark.createDataFrame([("n", "n"), ("n", "old")], "node string, ancestor string")
     o = [("n", "m", day(3), day(3), 1, "measured", 3.0), ("n", "m", day(3), day(4), 2, "measured", 4.0), ("old", "m", day(1), day(1), 3, "measured", 1.0), ("old", "m", day(2), day(2), 4, "insufficient_sample", 9.0), ("other", "m", day(5), day(5), 5, "measured", 7.0)]
