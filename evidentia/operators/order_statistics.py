@@ -4,7 +4,8 @@ Spark's own median keeps every distinct value of a group in one state. Here a gr
 narrowed instead: a mergeable sketch brackets the wanted ranks, the values below and inside the bracket are counted,
 both summed before anything is shuffled, and what lies inside is narrowed again until it is one value or few enough
 to sort. The sketch only proposes brackets, the counts decide, so the result is exact whatever the sketch's error. A
-round reads the rows once, and leaves a hundredth or less of them in a bracket.
+round leaves a hundredth or less of the rows in a bracket. Brackets are a few rows for each group of more than `limit`
+values and are broadcast, so that the rows stay where they are read and no task gets a group.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _same(keys: list[str]) -> Column:
 
 
 def _inside(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    joined = rows.alias("x").join(state.alias("s"), _same(keys))
+    joined = rows.alias("x").join(F.broadcast(state).alias("s"), _same(keys))
     return joined.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).select(*[F.col(f"x.{k}") for k in keys], "v", "rank", "low", "high", "inside")
 
 
@@ -54,7 +55,7 @@ def order_values(rows: DataFrame, wanted: DataFrame, keys: list[str], limit: int
         at = F.col("rank") / F.col("inside")
         pick = lambda share: F.get("q", F.least(F.greatest(share * 200, F.lit(0.0)), F.lit(200.0)).cast("int"))
         ends = ends.withColumns({"from": pick(F.floor((at - margin) * 200) / 200), "to": pick(F.ceil((at + margin) * 200) / 200)}).drop("q", "rank", "inside")
-        both = held.drop("low", "high", "inside").alias("x").join(ends.alias("s"), _same(name)).select(*[F.col(f"x.{k}") for k in name], F.col("x.rank").alias("rank"), "v", "low", "high", "from", "to")
+        both = held.drop("low", "high", "inside").alias("x").join(F.broadcast(ends).alias("s"), _same(name)).select(*[F.col(f"x.{k}") for k in name], F.col("x.rank").alias("rank"), "v", "low", "high", "from", "to")
         below, within = F.col("v") < F.col("from"), (F.col("v") >= F.col("from")) & (F.col("v") <= F.col("to"))
         sums = both.groupBy(*name).agg(
             F.first("rank").alias("rank"), F.count_if(below).alias("below"), F.count_if(within).alias("within"), F.count(F.lit(1)).alias("all"), F.max(F.when(below, F.col("v"))).alias("under"), F.min(F.when(F.col("v") > F.col("to"), F.col("v"))).alias("over"),
@@ -102,7 +103,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, quantil
     wide = ends.select(*keys, "p.name", mixed.alias("value")).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in quantiles])
     if not keys:
         return wide
-    return plain(rows.alias("x").join(large.alias("s"), _same(keys), "left_anti")).unionByName(wide)
+    return plain(rows.alias("x").join(F.broadcast(large).alias("s"), _same(keys), "left_anti")).unionByName(wide)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str | Column, out: str, limit: int = LIMIT) -> DataFrame:

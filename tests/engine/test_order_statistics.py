@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.operators import order_statistics, signals, slopes
 
@@ -92,3 +93,17 @@ def test_trend_equals_all_pairs(spark):
         own = [(int((t - start) / timedelta(microseconds=1)), v) for kk, t, v in rows if kk == k]
         assert got[k].slope == round(statistics.median(all_slopes(*zip(*own, strict=True))), 9)
     assert got["short"].status == "insufficient_history" and got["short"].slope is None
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_rows_stay_where_they_are_read(spark, keys):
+    """Brackets go to the rows, however large Spark takes them to be: no join deals rows out by group."""
+    rows = spark.range(1000).selectExpr("id % 2 as k", "cast(id as double) as v").select(*keys, "v")
+    state = rows.groupBy(*keys).agg(F.lit(1).alias("rank"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("inside"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = order_statistics._inside(rows, state, keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
