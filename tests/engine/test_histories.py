@@ -88,6 +88,20 @@ def test_row_under_a_wrong_day_is_an_error(spark, tmp_path):
     assert {r.id: r.payload for r in retention.stored(spark, path).collect()} == {1: "x", 2: None}
 
 
+def test_digest_task_sorts_chunks_and_not_rows(spark):
+    """Keys that go on over several ranges and chunks, with empty and null parts; the task of a chain gets joined text alone."""
+    df = spark.range(30_000).selectExpr("id % 2 as k", "id * 7919 % 30000 as o", "case id % 5 when 0 then '' when 1 then null else cast(id as string) end as v")
+    rows = sorted(df.collect(), key=lambda r: r.o)
+    for keys in (["k"], []):
+        found = digests.ordered_digest(df, keys, ["o"], F.col("v"))
+        assert "_o0" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.k if keys else None: (r.digest, r.parts) for r in found.collect()}
+        for k in (0, 1) if keys else (None,):
+            parts = [r.v for r in rows if r.v is not None and k in (None, r.k)]
+            assert got[k] == (hashlib.sha256("|".join(parts).encode()).hexdigest(), len(parts))
+        assert len(got) == len(keys) + 1
+
+
 def test_ordered_digest(spark):
     rows = [("a", 2, "y"), ("a", 1, "x"), ("b", 1, None), ("b", 2, "ä|"), (None, 1, "n"), ("a", 3, "z")]
     df = spark.createDataFrame(rows, "k string, o int, v string").repartition(3)
