@@ -134,6 +134,7 @@ def history_points(histories: DataFrame, observations: DataFrame) -> DataFrame:
 def history_signals(points: DataFrame) -> DataFrame:
     """node, metric, points, first_at, last_at, and trend, anomaly and seasonality of the series."""
     keys = ["node", "metric"]
+    points = materialise(points)  # every part reads them
     span = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.min("as_of").alias("first_at"), F.max("as_of").alias("last_at"))
     parts = {
         "trend": signals.trend(points, keys, "as_of", "value").select(*keys, "slope", "relative_30d", "direction"),

@@ -22,11 +22,11 @@ def _series(points: DataFrame, keys: list[str], at: str, value: str) -> DataFram
 def trend(points: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Median of all pairwise slopes per day and its share of the median value over 30 days.
 
-    A series goes to one task, sixteen bytes a point, and no pair of its points is formed.
+    A series goes to one task, sixteen bytes a point; only short ones form their pairs, and a task takes series after series.
     """
     p = points.select(*keys, micros(F.col(at)).alias("us"), F.col(value).cast("double").alias("v")).where("us is not null and v is not null")
     schema = T.StructType([*[points.schema[k] for k in keys], T.StructField("slope", T.DoubleType())])
-    slopes_of = p.groupBy(*keys).applyInPandas(slopes.medians(keys), schema)
+    slopes_of = p.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "us", "v").mapInArrow(slopes.medians(len(keys)), schema)
     base = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     j = base.join(exact_median(points, keys, value, "mid"), keys, "left").join(slopes_of, keys, "left")
     enough = F.col("n") >= 4

@@ -107,3 +107,15 @@ def test_rows_stay_where_they_are_read(spark, keys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Broadcast" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_short_series_share_a_task(spark):
+    """Many short series by their pairs, none with a call of its own, give what the counted inversions give."""
+    r = random.Random(5)
+    rows = [(k, r.randrange(20) * 1000, float(r.randrange(9))) for k in range(60) for _ in range(k % 7 + 1)]
+    want = {k: slopes.Slopes([t for i, t, _ in rows if i == k], [v for i, _, v in rows if i == k]).median() for k in range(60)}
+    df = spark.createDataFrame(rows, "k long, us long, v double").repartition(2, "k").sortWithinPartitions("k")
+    got = {x.k: x.slope for x in df.mapInArrow(slopes.medians(1), "k long, slope double").collect()}
+    assert got == want
+    points = df.select("k", F.timestamp_micros("us").alias("at"), "v")
+    assert "FlatMapGroupsInPandas" not in signals.trend(points, ["k"], "at", "v")._jdf.queryExecution().optimizedPlan().toString()
