@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.exprs import digest, half_even, token_similarity
 from evidentia.functions.text import EVIDENCE_RULES, excerpt, is_problem, spans
-from evidentia.session import checkpoint
+from evidentia.session import checkpoint, materialise
 
 MICRO = 1_000_000
 
@@ -50,9 +50,13 @@ def similar_pairs(items: DataFrame, id_col: str, set_col: str, threshold: float
     """(a, b, shared, similarity) of all pairs whose sets are similar: an exact join by prefix, length and count.
 
     Sets are taken in order of how rare their tokens are; a pair in reach of the threshold shares a token
-    among the first of both, so only those meet.
+    among the first of both, so only those meet. Equal sets are one class that is joined once; its copies come in at
+    the end, in joins of ids alone whose rows are the result, so that no set is dealt out for a pair of copies.
     """
-    sets = items.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("s")).where(F.size("s") > 0)
+    each = items.select(F.col(id_col).alias("item"), F.array_sort(F.array_distinct(set_col)).alias("s")).where(F.size("s") > 0)
+    each = each.select("item", F.sha2(F.to_json("s"), 256).alias("id"), "s")
+    sets = materialise(each.groupBy("id").agg(F.first("s").alias("s")))
+    members = materialise(each.select("item", "id", F.size("s").cast("long").alias("n")))
     freq = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
     counts = freq.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     ranked = freq.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
@@ -66,8 +70,12 @@ def similar_pairs(items: DataFrame, id_col: str, set_col: str, threshold: float
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = both.select("a", "b", shared.cast("long").alias("shared"), token_similarity(F.col("sa"), F.col("sb")).alias("similarity"), (F.array_sort("sa") == F.array_sort("sb")).alias("equal"))
-    return out.where((F.col("equal") | (F.col("shared") >= least_shared)) & (F.col("similarity") >= threshold)).select("a", "b", "shared", "similarity")
+    out = both.select("a", "b", shared.cast("long").alias("shared"), token_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
+    alike = materialise(out.where((F.col("shared") >= least_shared) & (F.col("similarity") >= threshold)).select("a", "b", "shared", "similarity"))
+    left, right = members.select(F.col("id").alias("a"), F.col("item").alias("i")), members.select(F.col("id").alias("b"), F.col("item").alias("j"))
+    apart = alike.join(left, "a").join(right, "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "similarity")
+    copies = members.join(right, F.col("id") == F.col("b")).where("item < j").select(F.col("item").alias("a"), F.col("j").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("similarity"))
+    return apart.unionByName(copies)
 
 
 def star_clusters(items: DataFrame, id_col: str, set_col: str, hash_col: str, slice_col: str, threshold: float = 0.6) -> DataFrame:

@@ -115,3 +115,13 @@ def test_star_golden(spark):
     assert sorted(map(len, groups.values())) == [1, 2]
     assert all(x.similarity == 1.0 for g in groups.values() for x in g)
     assert sorted(sorted(x.id for x in g) for g in groups.values()) == [["0", "1"], ["2"]]
+
+
+def test_copies_are_joined_once(spark):
+    """Copies of two like sets and of an empty one: every pair of rows comes out, but sets meet once a class and not for copies."""
+    rows = [(i, ["a", "b", "c", "d"]) for i in range(30)] + [(i, ["d", "c", "b", "a", "e"]) for i in range(30, 50)] + [(60, ["z"]), (61, ["z"]), (62, []), (63, ["y", "z"])]
+    found = mining.similar_pairs(spark.createDataFrame(rows, "id long, s array<string>"), "id", "s")
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.a, r.b, r.shared, r.similarity) for r in found.collect())
+    want = [(a, b, 4 if a < 30 else 5, 1.0 if (a < 30) == (b < 30) else 0.8) for a in range(50) for b in range(a + 1, 50)]
+    assert got == [*want, (60, 61, 1, 1.0)]
