@@ -20,7 +20,8 @@ Every pair of different groups that meets in a band is decided, but never by lis
    side suffices for m (positional filter); its places in the texts differ by no more than the unmatched
    shingles allowed; and bits in which the parity codes of the texts differ are no more than those, as every
    differing bit takes an unmatched shingle. Under one shingle only texts outside its main group are paired,
-   with all others, so that a group however large is never paired with itself.
+   with all others, so that a group however large is never paired with itself. Of the pairs that two groups
+   have, one is verified at first; the others are only while their groups are apart.
 
 A candidate is verified by alignment in a diagonal band: equal labelled shingles whose places differ by no
 more than the unmatched shingles allowed, in the longest chain that is increasing in both texts, counted
@@ -55,6 +56,7 @@ MINIMA = 3
 THRESHOLD = 0.8
 FIRST_BANDS = 3
 LEADER_ROUNDS = 2
+SINGLE_ROUNDS = 2
 CELLS = 1 << 18
 CODE_WORDS = 16
 LINK = "a long, b long, similarity double"
@@ -279,7 +281,16 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     crowd = materialise(_crowd(reps, parts))
     if not crowd.isEmpty():
         pairs = materialise(_across(crowd, docs, reps, threshold).join(tested, ["a", "b"], "left_anti"))
-        links, parts = _joined(links, parts, pairs, docs, reps, threshold)
+        for nth in range(SINGLE_ROUNDS + 1):
+            if pairs.isEmpty():
+                break
+            pairs = materialise(_apart(pairs, parts))
+            chosen = pairs.select("a", "b")
+            if nth < SINGLE_ROUNDS:
+                one = F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(nth))).alias("pair")
+                chosen = materialise(pairs.groupBy("part_a", "part_b").agg(one).select("pair.a", "pair.b"))
+            links, parts = _joined(links, parts, chosen, docs, reps, threshold)
+            pairs = pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti")
     return rows, reps.drop("bands"), links, parts
 
 
@@ -292,8 +303,19 @@ def _joined(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame,
         return more, components(more)
     if more.isEmpty():
         return links, parts
-    edges = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
-    return links.unionByName(more), components(edges)
+    # groups are what is linked now, not their texts
+    moved = components(_apart(more, parts).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+    known = parts.union(moved.select("id", F.col("id").alias("component"))).distinct()
+    roots = moved.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return links.unionByName(more), materialise(known.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """a, b, part_a, part_b (the lesser part first) of the pairs whose ends are in different groups."""
+    of = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    own = [F.coalesce(f"of_{x}", x) for x in "ab"]
+    placed = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return placed.select("a", "b", F.least(*own).alias("part_a"), F.greatest(*own).alias("part_b")).where("part_a <> part_b")
 
 
 def _crowd(reps: DataFrame, parts: DataFrame) -> DataFrame:
