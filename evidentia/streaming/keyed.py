@@ -2,8 +2,9 @@
 
 Each flow has a batch form with windows and a streaming form with state and event-time timers, and both give the
 same rows for the same items, as long as no item is later than the watermark allows. A key's items are taken in
-order of time; state is a few numbers a key (and the runs that have counted it), and a timer a key. A rerun from
-the same checkpoint goes on where the last one ended.
+order of time; state is a few numbers a key (and the runs that have counted it), and a timer a key. Every access to
+state is a call to the JVM, so that a key's state is read once and written once a batch, whatever its items are. A
+rerun from the same checkpoint goes on where the last one ended.
 """
 
 from __future__ import annotations
@@ -81,33 +82,40 @@ class Snapshots(StatefulProcessor):
 
     def __init__(self, keys: list[str], days: int):
         self.keys, self.span = keys, days * 86_400_000_000
+        self.columns = (*keys, *SNAPSHOT)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", T.StructType().add("until", "long").add("purged", "boolean"))
-        self.runs = handle.getMapState("runs", T.StructType().add("run", "string"), T.StructType().add("seen", "boolean"))
+        self.runs = handle.getListState("counted_runs", T.StructType().add("run", "string"))
+        self.made = Row(*self.columns)
 
     def row(self, key, event, item, run, at, until, counted) -> Row:
-        return Row(**dict(zip(self.keys, key, strict=True)), event=event, item=item, run=run, at=at, retention_until=until, counted=counted)
+        return self.made(*key, event, item, run, at, until, counted)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        until, purged = self.kept.get() if self.kept.exists() else (None, False)
+        kept = self.kept.get()
+        until, purged = kept or (None, False)
         timer, new = until if until is not None and not purged else None, []
+        known, first = {name for (name,) in self.runs.get()} if kept else set(), []
         for at, item, run in sorted(((r.us, r.item, r.run) for r in rows), key=lambda r: r[:2]):
             event = "new" if until is None else "restored" if purged or until < at else "duplicate"
             if event == "restored" and not purged:
                 new.append(self.row(key, "purged", None, None, until, until, False))
             until, purged = at + self.span if until is None else max(until, at + self.span), False
-            name = (run if run is not None else "",)
-            counted = not self.runs.containsKey(name)
+            name = run if run is not None else ""
+            counted = name not in known
             if counted:
-                self.runs.updateValue(name, (True,))
+                known.add(name)
+                first.append((name,))
             new.append(self.row(key, event, item, run, at, until, counted))
         if timer != until:
             if timer is not None:
                 self.handle.deleteTimer(tick(timer))
             self.handle.registerTimer(tick(until))
         self.kept.update((until, purged))
+        if first:
+            self.runs.appendList(first)
         yield from new
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
@@ -158,12 +166,13 @@ class Alerts(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.alert = handle.getValueState("alert", T.StructType().add("open", "boolean").add("first", "long").add("last", "long").add("severity", "string"))
+        self.made = Row(self.key, "action", "cause", "at", "first_at", "severity")
 
     def row(self, key, action, cause, at, first, severity) -> Row:
-        return Row(**{self.key: key[0]}, action=action, cause=cause, at=at, first_at=first, severity=severity)
+        return self.made(key[0], action, cause, at, first, severity)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        state = self.alert.get() if self.alert.exists() else None
+        state = self.alert.get()
         is_open, first, last, severity = state or (False, None, None, None)
         timer, known, new = last if is_open else None, state is not None, []
         for at, _, wanted, named in sorted(((r.us, r.seq, bool(r.wanted), r.severity) for r in rows), key=lambda r: r[:2]):
