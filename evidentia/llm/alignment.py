@@ -3,9 +3,9 @@
 Both tokenizers encode the same bytes, a space and the text. A task splits texts where neither can join tokens
 (before a space that follows a character which is no white space) and encodes each chunk once for some megabytes
 of text; it returns ids and end offsets, nothing more. All that follows is
-higher-order functions: the ends that both share cut the text into groups, found by `array_intersect`; a sort of
-ends and cuts together tells how many tokens end by each cut; slices between those places are the groups, and
-products of a group's ids the links. A pair's count is the number of documents that hold it.
+array functions: the ends that both share cut the text into groups, found by `array_intersect`; a sort of tokens
+and cuts together puts a mark between the groups, at which the ids are split; both sides of a group are zipped,
+and products of its ids are the links. A pair's count is the number of documents that hold it.
 
 Links come back to their documents by a broadcast of the commonest pairs, at most `HOT` of them, which a
 histogram of the counts picks; the others meet in a join by pair. A document of more than `WIDE` links never holds
@@ -35,16 +35,23 @@ SPACE = "▁"
 #: rows and bytes of text that a task takes at once
 SLICE = 1024
 SLICE_BYTES = 1_500_000
+#: a task remembers so many different chunks, and those of one slice besides
+CHUNKS = 400_000
 #: chunks that are encoded as one text
 TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
 PAIR = 1 << 20
+#: a token's number is its end * TOKEN + its id; ids are below the last one, which marks a cut
+TOKEN = 1 << 21
 WIDE = 1 << 16
 HOT = 200_000
 
 INTS = T.ArrayType(T.IntegerType(), False)
 DOC = T.StructType().add("row", "long").add("doc_id", "long").add("n_a", "long").add("n_b", "long").add("chunks", INTS)
-TOKENS = T.StructType([T.StructField(x, INTS) for x in ("a_ids", "a_ends", "a_by", "b_ids", "b_ends", "b_by", "chunk_ends")]).add("docs", T.ArrayType(DOC, False))
+LONGS = T.ArrayType(T.LongType(), False)
+TOKENS = T.StructType().add("a_tokens", LONGS).add("a_ends", INTS).add("b_tokens", LONGS).add("b_ends", INTS).add("chunk_ends", INTS).add("first", "integer").add("docs", T.ArrayType(DOC, False))
+GROUPS = T.StructType([T.StructField(x, INTS) for x in "ab"])
+ALIGNED = T.StructType([T.StructField(x, T.LongType()) for x in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")]).add("groups_sha256", "string").add("links", LONGS).add("wide", T.ArrayType(GROUPS, False))
 
 
 #: how byte-level texts are split before merges; a fixed value
@@ -153,31 +160,44 @@ def byte_level_entries(vocab: dict[str, int]) -> list[bytes]:
     return out
 
 
-def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
-    """One row for many documents: the tokens of every chunk that occurs, encoded once, and the chunks of each document."""
+class Seen:
+    """The chunks that a task has met since it last began anew: the number of each, -1 if tokens don't spell it, and its tokens by either."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.number, self.counts = {}, {x: np.zeros(0, dtype=np.int64) for x in "ab"}
+
+
+def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, seen: Seen, joinable: bool = False) -> pa.RecordBatch:
+    """One row for many documents: the tokens of every chunk not seen before, encoded once, and the chunks of each document."""
     import numpy as np
 
     coded = chunks.flatten().dictionary_encode()
     at, sizes = coded.indices.to_numpy(), np.diff(chunks.offsets.to_numpy())
-    encoded = pair.encode(coded.dictionary, joinable)
+    words, first = coded.dictionary.to_pylist(), len(seen.counts["a"])
+    new = [i for i, w in enumerate(words) if w not in seen.number]
+    encoded = pair.encode(coded.dictionary.take(pa.array(new, pa.int32())), joinable)
     # a chunk without tokens is one that they don't spell; its documents have no chunks
     spelt = encoded[0][2] > 0
-    if not spelt.all():
+    seen.number.update(zip((words[i] for i in new), np.where(spelt, first + np.cumsum(spelt) - 1, -1).tolist(), strict=True))
+    at = np.fromiter(map(seen.number.__getitem__, words), np.int64, len(words))[at]
+    if (at < 0).any():
         row = np.repeat(np.arange(len(sizes)), sizes)
-        whole = np.bincount(row, weights=~spelt[at], minlength=len(sizes)) == 0
+        whole = np.bincount(row, weights=at < 0, minlength=len(sizes)) == 0
         at, sizes = at[whole[row]], np.where(whole, sizes, 0)
     kept = np.flatnonzero(spelt)
-    at = (np.cumsum(spelt) - 1)[at]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
-    columns, counts = {}, {}
+    one = lambda values, kind=np.int32: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(kind)))
+    columns, counts = {"first": pa.array([first], pa.int32())}, {}
     for name, (ids, starts, count), size in zip("ab", encoded, pair.sizes, strict=True):
         count = count[kept]
         before = np.concatenate([[0], np.cumsum(count)])
         tokens = ids[np.repeat(starts[kept] - before[:-1], count) + np.arange(before[-1])]
         ends = np.cumsum(size[tokens], dtype=np.int64)
-        columns |= {f"{name}_ids": one(tokens), f"{name}_ends": one(ends), f"{name}_by": one(np.cumsum(np.bincount(ends, minlength=1)))}
-        counts[name] = np.diff(np.concatenate([[0], np.cumsum(count[at])])[bounds])
+        columns |= {f"{name}_tokens": one(ends * TOKEN + tokens, np.int64), f"{name}_ends": one(ends)}
+        seen.counts[name] = np.concatenate([seen.counts[name], count])
+        counts[name] = np.diff(np.concatenate([[0], np.cumsum(seen.counts[name][at])])[bounds])
         columns["chunk_ends"] = one(ends[before[1:] - 1] if len(kept) else ends)
     docs = pa.StructArray.from_arrays([
         part.column("row"), part.column("doc_id"), pa.array(counts["a"].astype(np.int64)), pa.array(counts["b"].astype(np.int64)),
@@ -187,18 +207,21 @@ def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bo
     return pa.record_batch([columns[f.name] for f in TOKENS.fields], names=TOKENS.names)
 
 
-def _tokenise(a_path: str, b_path: str):
+def _tokenise(a_path: str, b_path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        pair = Pair(a_path, b_path)
+        pair, seen = Pair(a_path, b_path), Seen()
 
         def made(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            if len(seen.number) > limit:
+                seen = Seen()
             text = part.column("text")
             none = pc.fill_null(pc.or_(pc.equal(text, ""), pc.match_substring(text, SPACE)), True)
             bare, part = part.filter(none), part.filter(pc.invert(none))
             if bare.num_rows:
-                yield _bundle(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
+                yield _bundle(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())), seen)
             split = pc.split_pattern(part.column("text"), " ") if pair.plain else pa.array([[t] for t in part.column("text").to_pylist()], pa.list_(pa.string()))
             coded = split.flatten().dictionary_encode()
             unsafe = pc.take(pa.array([not c or not safe(c[-1]) for c in coded.dictionary.to_pylist()], pa.bool_()), coded.indices)
@@ -206,7 +229,7 @@ def _tokenise(a_path: str, b_path: str):
             for chosen, again in ((pc.invert(odd), False), (odd, True)):
                 rest, chunks = part.filter(chosen), split.filter(chosen)
                 if rest.num_rows:
-                    yield _bundle(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
+                    yield _bundle(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, seen, not again)
 
         for batch in batches:
             at = 0
@@ -220,11 +243,11 @@ def _tokenise(a_path: str, b_path: str):
     return run
 
 
-def tokenise(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bundles of documents: ids and end offsets in bytes of their chunks by both tokenizers, how many tokens end by
-    each byte, where chunks end, and docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
+def tokenise(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNKS) -> DataFrame:
+    """Bundles of documents: end offsets in bytes of their chunks by both tokenizers, the ids with them, where chunks
+    end, the number of the first (later bundles of the task refer to them, until it begins anew from 0), and docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
     rows = docs_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(_tokenise(a_path, b_path), TOKENS)
+    return rows.mapInArrow(_tokenise(a_path, b_path, limit), TOKENS)
 
 
 def _let(value: Column, body) -> Column:
@@ -232,61 +255,94 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda v, _: v, body)
 
 
-def _ended(ends: Column, cuts: Column) -> Column:
-    """How many ends lie at or before each cut: in the sorted whole of both, a cut is the second of two equals."""
-    twice = lambda both: F.filter(F.sequence(F.lit(1), F.size(both) - 1), lambda i: F.get(both, i) == F.get(both, i - 1))
-    return F.transform(_let(F.sort_array(F.concat(ends, cuts)), twice), lambda i, j: i - j)
-
-
 def _within(values: Column, start: Column, end: Column) -> Column:
     return F.slice(values, start + 1, end - start)
 
 
-def _product(a_ids: Column, b_ids: Column) -> Column:
+def _ids(group: Column, kind: str = "long") -> Column:
+    return F.split(group, ",").cast(f"array<{kind}>")
+
+
+def _product(a: Column, b: Column) -> Column:
     """Every link of a group as a number, a * PAIR + b, repeated as often as it occurs."""
-    return F.flatten(F.transform(a_ids, lambda a: F.transform(b_ids, lambda b: a.cast("long") * PAIR + b)))
+    return _let(_ids(b), lambda b_ids: F.flatten(F.transform(_ids(a), lambda a: F.transform(b_ids, lambda b: a * PAIR + b))))
+
+
+def _lay_out(wide: int):
+    """Texts and links of chunks, kept while the task refers to them, put together for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import numpy as np
+
+        texts, links, known = [], np.zeros(0, np.int64), {x: np.zeros(0, np.int64) for x in ("sizes", "n", "groups")}
+        ends = lambda values: np.concatenate([[0], np.cumsum(values)])
+        ids = lambda side: list(map(int, side.split(b",")))
+        for one in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            column = {name: one.column(name).flatten() for name in ("texts", "links", "n", "groups", "docs")}
+            if one.column("first")[0].as_py() == 0:
+                texts, links, known = [], links[:0], {x: v[:0] for x, v in known.items()}
+            texts += column["texts"].cast(pa.binary()).to_pylist()
+            links = np.concatenate([links, column["links"].flatten().to_numpy()])
+            sizes = column["links"].value_lengths().fill_null(0).to_numpy()
+            known = {x: np.concatenate([known[x], v]) for x, v in (("sizes", sizes), ("n", column["n"].to_numpy()), ("groups", column["groups"].to_numpy()))}
+            docs = column["docs"]
+            chunks = docs.field("chunks")
+            at, bounds = chunks.flatten().to_numpy(), ends(chunks.value_lengths().to_numpy())
+            total = {x: np.diff(ends(known[x][at])[bounds]) for x in ("n", "groups")}
+            narrow = total["n"] <= wide
+            own = [texts[i] for i in at.tolist()]
+            said = [b";".join(own[i:j]) for i, j in zip(bounds, bounds[1:])]
+            # links of the documents that aren't too wide, in their order
+            used = at[np.repeat(narrow, np.diff(bounds))]
+            sizes, starts = known["sizes"][used], ends(known["sizes"])[used]
+            flat = links[np.repeat(starts - ends(sizes)[:-1], sizes) + np.arange(sizes.sum())]
+            none = pa.array(np.append(~narrow, False))
+            offsets = pa.array(ends(np.where(narrow, total["n"], 0)).astype(np.int32))
+            large = [None if few else [{"a": ids(x), "b": ids(y)} for x, y in (g.split(b"|") for g in text.split(b";"))] for few, text in zip(narrow, said, strict=True)]
+            pairs = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+            yield pa.record_batch([
+                *[docs.field(x) for x in ("row", "doc_id", "n_a", "n_b")], pa.array(total["groups"], pa.int64()), pa.array(total["n"], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in said]),
+                pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()), mask=none.slice(0, len(said))), pa.array(large, pairs),
+            ], names=ALIGNED.names)
+
+    return run
 
 
 def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links of each document: as numbers in `links`,
     or as groups of ids in `wide` where there are more than so many.
 
-    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order. What
-    lambdas look up is a column of its own that is used more than once, or bound by `_let`: Spark would make it anew
-    for every element else.
+    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order. Lambdas
+    are interpreted node by node, so that they are kept short: a mark is sorted in behind the tokens that end at a cut,
+    and the joined ids are split at the marks. What lambdas look up is a column of its own that is used more than
+    once, or bound by `_let`: Spark would make it anew for every element else.
     """
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # the tokens that end by each cut, from none: group j has those from place j to place j + 1
-    by = lambda ended: F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: F.coalesce(F.get(ended, c), F.lit(0))))
-    cut = cut.withColumns({"a_at": by(F.col("a_by")), "b_at": by(F.col("b_by")), "c_at": _ended(F.col("cuts"), F.col("chunk_ends")), "a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>")})
-    span = lambda x, j: (F.get(F.col(f"{x}_at"), j), F.get(F.col(f"{x}_at"), j + 1))
-    part = lambda x, name, j: _within(F.col(f"{x}_{name}"), *span(x, j))
-    size = lambda x, j: span(x, j)[1] - span(x, j)[0]
-    first = lambda x, name, j: F.get(F.col(f"{x}_{name}"), span(x, j)[0])
-    single = lambda j: (size("a", j) == 1) & (size("b", j) == 1)
-    text = lambda _, j: F.when(single(j), F.concat(first("a", "text", j), F.lit("|"), first("b", "text", j))).otherwise(F.concat(F.concat_ws(",", part("a", "text", j)), F.lit("|"), F.concat_ws(",", part("b", "text", j))))
-    product = lambda j: F.when(size("a", j).cast("long") * size("b", j) <= wide, _product(part("a", "ids", j), part("b", "ids", j)))
-    links = lambda _, j: F.when(single(j), F.array(first("a", "ids", j).cast("long") * PAIR + first("b", "ids", j))).otherwise(product(j))
-    many = lambda start, end: F.aggregate(F.sequence(start, end - 1), F.lit(0).cast("long"), lambda n, j: n + size("a", j).cast("long") * size("b", j))
+    # between groups: the last cut has none behind it
+    inner = F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0)))
+    cut = cut.withColumn("marks", F.transform(inner, lambda c: c.cast("long") * TOKEN + (TOKEN - 1)))
+    # sorted outside of lambdas, where Spark sorts plain numbers
+    cut = cut.withColumns({x: F.sort_array(F.concat(*of)) for x, of in {"a_marked": ("a_tokens", "marks"), "b_marked": ("b_tokens", "marks"), "c_both": ("cuts", "chunk_ends")}.items()})
+    said = lambda x: F.concat_ws(",", F.transform(f"{x}_marked", lambda v: v.bitwiseAND(TOKEN - 1)).cast("array<string>"))
+    parts = lambda x: F.when(F.size("cuts") > 0, F.split(said(x), f",{TOKEN - 1},")).otherwise(F.array().cast("array<string>"))
+    # the cuts that lie at or before the end of each chunk: in the sorted whole of both, an end is the second of two equals
+    twice = F.filter(F.sequence(F.lit(1), F.size("c_both") - 1), lambda i: F.get("c_both", i) == F.get("c_both", i - 1))
+    ended = F.when(F.size("c_both") > 1, F.transform(twice, lambda i, j: i - j)).otherwise(F.array().cast("array<int>"))
+    cut = cut.select("docs", "first", parts("a").alias("a"), parts("b").alias("b"), ended.alias("c_at"))
+    one = lambda g: ~F.contains(g, F.lit(","))
+    size = lambda g: F.size(F.split(g, ",")).cast("long")
+    product = lambda a, b: F.when(size(a) * size(b) <= wide, _product(a, b))
+    links = lambda a, b: F.when(one(a) & one(b), F.array(a.cast("long") * PAIR + b.cast("long"))).otherwise(product(a, b))
+    many = lambda start, end: F.aggregate(F.sequence(start, end - 1), F.lit(0).cast("long"), lambda n, j: n + size(F.get("a", j)) * size(F.get("b", j)))
     ends = F.col("c_at")
     start = lambda j: F.when(j == 0, 0).otherwise(F.get(ends, j - 1))
-    texts = _let(F.transform("cuts", text), lambda each: F.transform(ends, lambda e, j: F.concat_ws(";", _within(each, start(j), e))))
-    linked = _let(F.transform("cuts", links), lambda each: F.transform(ends, lambda e, j: F.flatten(_within(each, start(j), e))))
-    counts = lambda own: F.transform(ends, lambda e, j: F.when(F.get(own, j).isNull(), many(start(j), e)).otherwise(F.size(F.get(own, j)).cast("long")))
-    known = _let(linked, lambda own: F.struct(texts.alias("texts"), own.alias("links"), counts(own).alias("n"), F.transform(ends, lambda e, j: e - start(j)).alias("groups")))
-
-    def of(d: Column, chunks: Column, n: Column) -> Column:
-        group = lambda j: F.struct(part("a", "ids", j).alias("a"), part("b", "ids", j).alias("b"))
-        groups = F.flatten(F.transform(d["chunks"], lambda i: F.transform(F.sequence(start(i), F.get(ends, i) - 1), group)))
-        own = lambda x: F.transform(d["chunks"], lambda i: F.get(chunks[x], i))
-        return F.struct(
-            *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["groups"], i)).alias("n_groups"), n.alias("n_links"),
-            F.when(d["n_a"] > 0, F.sha2(F.concat_ws(";", own("texts")), 256)).otherwise("").alias("groups_sha256"), F.when(n <= wide, F.flatten(own("links"))).alias("links"), F.when(n > wide, groups).alias("wide"),
-        )
-
-    count = lambda d, chunks: F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["n"], i))
-    each = lambda chunks: F.transform("docs", lambda d: _let(count(d, chunks), lambda n: of(d, chunks, n)))
-    return cut.select(F.explode(_let(known, each)).alias("d")).select("d.*")
+    texts = _let(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), lambda each: F.transform(ends, lambda e, j: F.concat_ws(";", _within(each, start(j), e))))
+    linked = _let(F.zip_with("a", "b", links), lambda each: F.transform(ends, lambda e, j: F.flatten(_within(each, start(j), e))))
+    counts = F.transform(ends, lambda e, j: F.when(F.get("links", j).isNull(), many(start(j), e)).otherwise(F.size(F.get("links", j)).cast("long")))
+    chunks = cut.withColumns({"texts": texts, "links": linked}).select("first", "texts", "links", counts.alias("n"), F.transform(ends, lambda e, j: e - start(j)).alias("groups"), "docs")
+    return chunks.mapInArrow(_lay_out(wide), ALIGNED)
 
 
 def _link_rows(aligned: DataFrame, once: bool) -> DataFrame:
