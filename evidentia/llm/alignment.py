@@ -34,9 +34,9 @@ ship(__name__)
 SPACE = "▁"
 #: rows and bytes of text that a task takes at once
 SLICE = 1024
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 #: a task remembers so many different chunks, and those of one slice besides
-CHUNKS = 400_000
+CHUNKS = 200_000
 #: chunks that are encoded as one text
 TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
