@@ -14,6 +14,8 @@ CLAIM_TYPES = (
     "entry_product_hypothesis", "distribution_path", "expansion_path_hypothesis",
 )
 PAYMENT_CLAIM = "payment_reason"
+# Links that a task takes on average; the number of tasks follows the input, so that their memory does not.
+ROWS = 500_000
 
 
 def _commercial(links: DataFrame, claims: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -30,10 +32,12 @@ def proposals(claims: DataFrame, links: DataFrame, members: DataFrame, outcomes:
     claims: claim, cluster, claim_type, statement; links: claim, kind (evidence or commercial), target,
     direction; members: cluster, evidence; outcomes: cluster, outcome, outcome_type, direction, verified ones only.
     """
+    n = links.count() // ROWS + 1
+    links, claims = links.repartition(n, "claim"), claims.repartition(n, "claim")
     e = links.where("kind = 'evidence'").groupBy("claim", F.col("target").alias("evidence")).agg(F.bool_or(F.col("direction") == "supports").alias("s"), F.bool_or(F.col("direction") == "refutes").alias("r"))
-    inside = members.select("cluster", "evidence").distinct().withColumn("inside", F.lit(True))
-    placed = e.join(claims.select("claim", "cluster"), "claim").join(inside, ["cluster", "evidence"], "left")
-    per = placed.groupBy("claim").agg(
+    inside = members.select("cluster", "evidence").repartition(n, "cluster", "evidence").distinct().withColumn("inside", F.lit(True))
+    placed = e.join(claims.select("claim", "cluster"), "claim").repartition(n, "cluster", "evidence").join(inside, ["cluster", "evidence"], "left")
+    per = placed.repartition(n, "claim").groupBy("claim").agg(
         F.bool_or(F.col("s") & F.col("r")).alias("both"), F.bool_or(F.col("inside").isNull()).alias("outside"), F.count_if("s").alias("n_support"),
         # order does not matter to a sum, so a claim with many links is not gathered
         F.sum(F.xxhash64("evidence", "s", "r").cast("decimal(38,0)")).alias("mark"),
