@@ -35,16 +35,22 @@ SPACE = "▁"
 #: rows and bytes of text that a task takes at once
 SLICE = 1024
 SLICE_BYTES = 1_500_000
+#: different chunks whose tokens a task keeps
+KEPT = 100_000
 #: chunks that are encoded as one text
 TOGETHER = 100
 #: ids of the second tokenizer in a pair's number are below this
 PAIR = 1 << 20
+#: a token's number is its end * TOKEN + its id; ids are below the last one, which marks an end
+TOKEN = 1 << 21
+MARK = TOKEN - 1
 WIDE = 1 << 16
 HOT = 200_000
 
-INTS = T.ArrayType(T.IntegerType(), False)
-DOC = T.StructType().add("row", "long").add("doc_id", "long").add("n_a", "long").add("n_b", "long").add("chunks", INTS)
-TOKENS = T.StructType([T.StructField(x, INTS) for x in ("a_ids", "a_ends", "a_by", "b_ids", "b_ends", "b_by", "chunk_ends")]).add("docs", T.ArrayType(DOC, False))
+LONGS = T.ArrayType(T.LongType(), False)
+TOKENS = T.StructType().add("row", "long").add("doc_id", "long")
+for _column in ("a_tokens", "a_marks", "b_tokens", "b_marks"):
+    TOKENS = TOKENS.add(_column, LONGS)
 
 
 #: how byte-level texts are split before merges; a fixed value
@@ -120,6 +126,36 @@ class Pair:
         return out
 
 
+class Kept:
+    """The tokens of the first chunks that a task meets, at most so many, which are encoded once a task."""
+
+    def __init__(self, pair: Pair, limit: int):
+        import numpy as np
+
+        self.pair, self.limit, self.number = pair, limit, {}
+        self.tokens = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+
+    def encode(self, chunks: pa.StringArray, joinable: bool) -> list[tuple]:
+        """As the tokenizers' own encode, for chunks that differ."""
+        import numpy as np
+
+        texts = chunks.to_pylist()
+        at = np.fromiter((self.number.get(t, -1) for t in texts), np.int64, len(texts))
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        more = new[: self.limit - len(self.number)]
+        out, tokens = [], []
+        for (ids, begin, count), (new_ids, new_begin, new_count) in zip(self.tokens, self.pair.encode(chunks.take(pa.array(new)), joinable), strict=True):
+            begins, counts = np.zeros((2, len(texts)), dtype=np.int64)
+            begins[old], counts[old], begins[new], counts[new] = begin[at[old]], count[at[old]], new_begin + len(ids), new_count
+            out.append((np.concatenate([ids, new_ids]), begins, counts))
+            n = counts[more]
+            own = out[-1][0][np.repeat(begins[more] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            tokens.append((np.concatenate([ids, own]), np.concatenate([begin, len(ids) + np.cumsum(n) - n]), np.concatenate([count, n])))
+        self.tokens = tokens
+        self.number.update((texts[i], k) for k, i in enumerate(more.tolist(), len(self.number)))
+        return out
+
+
 def safe(c: str) -> bool:
     """Letters, numbers, punctuation, signs and marks: no pattern takes them for white space."""
     return unicodedata.category(c)[0] in "LNPSM"
@@ -153,37 +189,29 @@ def byte_level_entries(vocab: dict[str, int]) -> list[bytes]:
     return out
 
 
-def _bundle(pair: Pair, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
-    """One row for many documents: the tokens of every chunk that occurs, encoded once, and the chunks of each document."""
+def _rows(kept: Kept, part: pa.RecordBatch, chunks: pa.ListArray, joinable: bool = False) -> pa.RecordBatch:
+    """Tokens of documents: every chunk that occurs is encoded once and its ids are laid out where it stands."""
     import numpy as np
 
     coded = chunks.flatten().dictionary_encode()
     at, sizes = coded.indices.to_numpy(), np.diff(chunks.offsets.to_numpy())
-    encoded = pair.encode(coded.dictionary, joinable)
+    encoded = kept.encode(coded.dictionary, joinable)
     # a chunk without tokens is one that they don't spell; its documents have no chunks
     spelt = encoded[0][2] > 0
     if not spelt.all():
         row = np.repeat(np.arange(len(sizes)), sizes)
         whole = np.bincount(row, weights=~spelt[at], minlength=len(sizes)) == 0
         at, sizes = at[whole[row]], np.where(whole, sizes, 0)
-    kept = np.flatnonzero(spelt)
-    at = (np.cumsum(spelt) - 1)[at]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
-    columns, counts = {}, {}
-    for name, (ids, starts, count), size in zip("ab", encoded, pair.sizes, strict=True):
-        count = count[kept]
-        before = np.concatenate([[0], np.cumsum(count)])
-        tokens = ids[np.repeat(starts[kept] - before[:-1], count) + np.arange(before[-1])]
-        ends = np.cumsum(size[tokens], dtype=np.int64)
-        columns |= {f"{name}_ids": one(tokens), f"{name}_ends": one(ends), f"{name}_by": one(np.cumsum(np.bincount(ends, minlength=1)))}
-        counts[name] = np.diff(np.concatenate([[0], np.cumsum(count[at])])[bounds])
-        columns["chunk_ends"] = one(ends[before[1:] - 1] if len(kept) else ends)
-    docs = pa.StructArray.from_arrays([
-        part.column("row"), part.column("doc_id"), pa.array(counts["a"].astype(np.int64)), pa.array(counts["b"].astype(np.int64)),
-        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32))),
-    ], names=["row", "doc_id", "n_a", "n_b", "chunks"])
-    columns["docs"] = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    columns = {x: part.column(x) for x in ("row", "doc_id")}
+    for name, (ids, starts, count), size in zip("ab", encoded, kept.pair.sizes, strict=True):
+        before = np.concatenate([[0], np.cumsum(count[at])])
+        tokens = ids[np.repeat(starts[at] - before[:-1], count[at]) + np.arange(before[-1])]
+        offsets = before[bounds]
+        ends = np.concatenate([[0], np.cumsum(size[tokens], dtype=np.int64)])
+        ends = (ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))) * TOKEN
+        of_rows = lambda values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))  # noqa: B023, E731
+        columns |= {f"{name}_tokens": of_rows(ends + tokens), f"{name}_marks": of_rows(ends + MARK)}
     return pa.record_batch([columns[f.name] for f in TOKENS.fields], names=TOKENS.names)
 
 
@@ -192,13 +220,14 @@ def _tokenise(a_path: str, b_path: str):
         import pyarrow.compute as pc
 
         pair = Pair(a_path, b_path)
+        kept = Kept(pair, KEPT)
 
         def made(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             text = part.column("text")
             none = pc.fill_null(pc.or_(pc.equal(text, ""), pc.match_substring(text, SPACE)), True)
             bare, part = part.filter(none), part.filter(pc.invert(none))
             if bare.num_rows:
-                yield _bundle(pair, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
+                yield _rows(kept, bare, pa.array([[]] * bare.num_rows, pa.list_(pa.string())))
             split = pc.split_pattern(part.column("text"), " ") if pair.plain else pa.array([[t] for t in part.column("text").to_pylist()], pa.list_(pa.string()))
             coded = split.flatten().dictionary_encode()
             unsafe = pc.take(pa.array([not c or not safe(c[-1]) for c in coded.dictionary.to_pylist()], pa.bool_()), coded.indices)
@@ -206,7 +235,7 @@ def _tokenise(a_path: str, b_path: str):
             for chosen, again in ((pc.invert(odd), False), (odd, True)):
                 rest, chunks = part.filter(chosen), split.filter(chosen)
                 if rest.num_rows:
-                    yield _bundle(pair, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
+                    yield _rows(kept, rest, pa.array(map(chunks_of, chunks.to_pylist()), chunks.type) if again and pair.plain else chunks, not again)
 
         for batch in batches:
             at = 0
@@ -221,78 +250,63 @@ def _tokenise(a_path: str, b_path: str):
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bundles of documents: ids and end offsets in bytes of their chunks by both tokenizers, how many tokens end by
-    each byte, where chunks end, and docs with row (of no meaning outside one run), doc_id, n_a, n_b and the chunks of each."""
+    """row (of no meaning outside one run), doc_id, and by both tokenizers every token as its end in bytes * TOKEN + its id,
+    with the mark of each end, which stands behind the tokens that end there."""
     rows = docs_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(_tokenise(a_path, b_path), TOKENS)
 
 
-def _let(value: Column, body) -> Column:
-    """A value that is computed once, however often and wherever the body uses it, and isn't copied as results of `transform` are."""
-    return F.aggregate(F.array(F.lit(0)), value, lambda v, _: v, body)
-
-
-def _ended(ends: Column, cuts: Column) -> Column:
-    """How many ends lie at or before each cut: in the sorted whole of both, a cut is the second of two equals."""
-    twice = lambda both: F.filter(F.sequence(F.lit(1), F.size(both) - 1), lambda i: F.get(both, i) == F.get(both, i - 1))
-    return F.transform(_let(F.sort_array(F.concat(ends, cuts)), twice), lambda i, j: i - j)
-
-
-def _within(values: Column, start: Column, end: Column) -> Column:
-    return F.slice(values, start + 1, end - start)
+def _ids(group: Column, kind: str = "long") -> Column:
+    return F.split(group, ",").cast(f"array<{kind}>")
 
 
-def _product(a_ids: Column, b_ids: Column) -> Column:
-    """Every link of a group as a number, a * PAIR + b, repeated as often as it occurs."""
-    return F.flatten(F.transform(a_ids, lambda a: F.transform(b_ids, lambda b: a.cast("long") * PAIR + b)))
+def _product(group: Column) -> Column:
+    """Every link of a group in words, a1,a2|b1,b2, as a number, a * PAIR + b, repeated as often as it occurs."""
+    a, b = (F.substring_index(group, "|", k) for k in (1, -1))
+    return F.flatten(F.transform(_ids(a), lambda a: F.transform(_ids(b), lambda b: a * PAIR + b)))
 
 
 def groups_of(tokens: DataFrame, wide: int = WIDE) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links of each document: as numbers in `links`,
-    or as groups of ids in `wide` where there are more than so many.
+    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links of each document: as numbers in `links`
+    (null for a group that has more than one, whose links follow), or as groups of ids in `wide` where there are more than so many.
 
-    Both tokenizers end where a chunk ends, so that the groups of a document are those of its chunks in order. What
-    lambdas look up is a column of its own that is used more than once, or bound by `_let`: Spark would make it anew
-    for every element else.
+    Spark interprets lambdas node by node, so that they are few and short, and works on plain numbers outside of them
+    alone. A column that a lambda takes is used twice, as Spark would move it into the lambda's function else.
     """
-    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # the tokens that end by each cut, from none: group j has those from place j to place j + 1
-    by = lambda ended: F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: F.coalesce(F.get(ended, c), F.lit(0))))
-    cut = cut.withColumns({"a_at": by(F.col("a_by")), "b_at": by(F.col("b_by")), "c_at": _ended(F.col("cuts"), F.col("chunk_ends")), "a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>")})
-    span = lambda x, j: (F.get(F.col(f"{x}_at"), j), F.get(F.col(f"{x}_at"), j + 1))
-    part = lambda x, name, j: _within(F.col(f"{x}_{name}"), *span(x, j))
-    size = lambda x, j: span(x, j)[1] - span(x, j)[0]
-    first = lambda x, name, j: F.get(F.col(f"{x}_{name}"), span(x, j)[0])
-    single = lambda j: (size("a", j) == 1) & (size("b", j) == 1)
-    text = lambda _, j: F.when(single(j), F.concat(first("a", "text", j), F.lit("|"), first("b", "text", j))).otherwise(F.concat(F.concat_ws(",", part("a", "text", j)), F.lit("|"), F.concat_ws(",", part("b", "text", j))))
-    product = lambda j: F.when(size("a", j).cast("long") * size("b", j) <= wide, _product(part("a", "ids", j), part("b", "ids", j)))
-    links = lambda _, j: F.when(single(j), F.array(first("a", "ids", j).cast("long") * PAIR + first("b", "ids", j))).otherwise(product(j))
-    many = lambda start, end: F.aggregate(F.sequence(start, end - 1), F.lit(0).cast("long"), lambda n, j: n + size("a", j).cast("long") * size("b", j))
-    ends = F.col("c_at")
-    start = lambda j: F.when(j == 0, 0).otherwise(F.get(ends, j - 1))
-    texts = _let(F.transform("cuts", text), lambda each: F.transform(ends, lambda e, j: F.concat_ws(";", _within(each, start(j), e))))
-    linked = _let(F.transform("cuts", links), lambda each: F.transform(ends, lambda e, j: F.flatten(_within(each, start(j), e))))
-    counts = lambda own: F.transform(ends, lambda e, j: F.when(F.get(own, j).isNull(), many(start(j), e)).otherwise(F.size(F.get(own, j)).cast("long")))
-    known = _let(linked, lambda own: F.struct(texts.alias("texts"), own.alias("links"), counts(own).alias("n"), F.transform(ends, lambda e, j: e - start(j)).alias("groups")))
-
-    def of(d: Column, chunks: Column, n: Column) -> Column:
-        group = lambda j: F.struct(part("a", "ids", j).alias("a"), part("b", "ids", j).alias("b"))
-        groups = F.flatten(F.transform(d["chunks"], lambda i: F.transform(F.sequence(start(i), F.get(ends, i) - 1), group)))
-        own = lambda x: F.transform(d["chunks"], lambda i: F.get(chunks[x], i))
-        return F.struct(
-            *[d[x].alias(x) for x in ("row", "doc_id", "n_a", "n_b")], F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["groups"], i)).alias("n_groups"), n.alias("n_links"),
-            F.when(d["n_a"] > 0, F.sha2(F.concat_ws(";", own("texts")), 256)).otherwise("").alias("groups_sha256"), F.when(n <= wide, F.flatten(own("links"))).alias("links"), F.when(n > wide, groups).alias("wide"),
-        )
-
-    count = lambda d, chunks: F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, i: n + F.get(chunks["n"], i))
-    each = lambda chunks: F.transform("docs", lambda d: _let(count(d, chunks), lambda n: of(d, chunks, n)))
-    return cut.select(F.explode(_let(known, each)).alias("d")).select("d.*")
+    cut = tokens.withColumn("cuts", F.array_intersect("a_marks", "b_marks"))
+    # marks between groups: none stands behind the last
+    marks = F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0)))
+    marked = lambda x: F.sort_array(F.concat(f"{x}_tokens", marks)).alias(f"{x}_marked")
+    size = lambda values, name: F.size(values).cast("long").alias(name)
+    cut = cut.select("row", "doc_id", size("a_marks", "n_a"), size("b_marks", "n_b"), size("cuts", "n_groups"), marked("a"), marked("b"))
+    said = lambda x: F.concat_ws(",", F.transform(f"{x}_marked", lambda v: v.bitwiseAND(MARK)).cast("array<string>"))
+    parts = lambda x: F.when(F.size(f"{x}_marked") > 0, F.split(F.replace(said(x), F.lit(f",{MARK},"), F.lit(";")), ";")).alias(x)
+    cut = cut.select("row", "doc_id", "n_a", "n_b", "n_groups", parts("a"), parts("b"))
+    groups = F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)).alias("groups")
+    # a link of two sides of one id is a sum, and null stands for the other groups
+    one = lambda x: ~F.contains(x, F.lit(","))
+    single = F.zip_with("a", "b", lambda a, b: F.when(one(a) & one(b), a.cast("long") * PAIR + b.cast("long"))).alias("single")
+    cut = cut.select("row", "doc_id", "n_a", "n_b", "n_groups", groups, single)
+    # the most links that there can be: all other tokens in one group
+    more = [F.col(n) - F.col("n_groups") for n in ("n_a", "n_b")]
+    most = F.col("n_groups") + more[0] + more[1] + more[0] * more[1]
+    size = lambda g, k: F.size(F.split(F.substring_index(g, "|", k), ",")).cast("long")
+    counted = F.when(most > wide, F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + size(g, 1) * size(g, -1)))
+    fans = F.filter("groups", lambda g: F.contains(g, F.lit(","))).alias("fans")
+    cut = cut.select("*", F.when(F.col("n_a") > 0, F.sha2(F.concat_ws(";", "groups"), 256)).otherwise("").alias("groups_sha256"), counted.alias("counted"), fans)
+    narrow = F.coalesce("counted", F.lit(0)) <= wide
+    links = F.concat("single", F.flatten(F.transform("fans", _product)))
+    side = lambda g, k, name: _ids(F.substring_index(g, "|", k), "int").alias(name)
+    each = F.transform("groups", lambda g: F.struct(side(g, 1, "a"), side(g, -1, "b")))
+    cut = cut.select("*", F.when(narrow, links).alias("links"), F.when(~narrow, each).alias("wide"))
+    n_links = F.when(F.col("n_a") == 0, 0).otherwise(F.coalesce("counted", F.size("links") - F.size("fans"))).cast("long")
+    return cut.select("row", "doc_id", "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups_sha256", "links", "wide")
 
 
 def _link_rows(aligned: DataFrame, once: bool) -> DataFrame:
     """(row, pair) for every link, or every pair once a document."""
     narrow, wide = aligned.where(F.col("links").isNotNull()), aligned.where(F.col("wide").isNotNull())
-    few = narrow.select("row", F.explode(F.array_distinct("links") if once else F.col("links")).alias("pair"))
+    few = narrow.select("row", F.explode(F.array_distinct("links") if once else F.col("links")).alias("pair")).where(F.col("pair").isNotNull())
     many = wide.select("row", F.explode("wide").alias("g")).select("row", F.explode("g.a").alias("a"), F.col("g.b").alias("bs"))
     many = many.select("row", "a", F.explode("bs").alias("b")).select("row", (F.col("a").cast("long") * PAIR + F.col("b")).alias("pair"))
     return few.unionByName(many.distinct() if once else many)

@@ -102,3 +102,27 @@ def test_random_texts_in_small_slices(spark):
     docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA).repartition(7)
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs, A, B, wide=9).collect()}
     assert [got[i] for i in range(3000)] == plain(texts)
+
+
+def test_documents_stay_rows_and_sorts_stay_plain(spark):
+    """Tokens come a document a row, whatever is encoded together, and no sort or set function is interpreted in a lambda."""
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(TEXTS)], SCHEMA).coalesce(1)
+    tokens = alignment.tokenise(docs, A, B)
+    assert sorted(r.doc_id for r in tokens.collect()) == list(range(len(TEXTS)))
+    plan = alignment.groups_of(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_intersect(" in plan
+    assert all(f"{call}(" not in line for line in plan.splitlines() if "lambdafunction" in line for call in ("sort_array", "array_intersect"))
+
+
+@pytest.mark.parametrize("limit", [0, 3, 1000])
+def test_kept_chunks_have_the_same_tokens(limit):
+    """Chunks met again, in part or not at all within the limit, have the ids that the tokenizers give."""
+    import pyarrow as pa
+
+    pair = alignment.Pair(A, B)
+    kept = alignment.Kept(pair, limit)
+    for chunks in (["one", "naïve", "two"], ["two", "x" * 99, "one"], [], ["🙂", "naïve", "mark ▁ of", "three"], ["three", "mark ▁ of"]):
+        got, want = (e.encode(pa.array(chunks, pa.string()), False) for e in (kept, pair))
+        for x, y in zip(got, want, strict=True):
+            assert [x[0][b : b + n].tolist() for b, n in zip(x[1], x[2])] == [y[0][b : b + n].tolist() for b, n in zip(y[1], y[2])]
+        assert len(kept.number) <= limit
