@@ -1,11 +1,11 @@
 """Alignment of two tokenizers: the groups of tokens that cover the same bytes, and the pairs that they link.
 
 Both tokenizers encode the same bytes, a space and the text. A task splits texts where neither can join tokens
-(before a space that follows a character which is no white space) and encodes each chunk once for some megabytes
-of text; it returns ids and end offsets, nothing more. All that follows is
-higher-order functions: the ends that both share cut the text into groups, found by `array_intersect`; a sort of
-ends and cuts together tells how many tokens end by each cut; slices between those places are the groups, and
-products of a group's ids the links. A pair's count is the number of documents that hold it.
+(before a space that follows a character which is no white space), encodes each chunk once for some megabytes of
+text, keeps the tokens of its first chunks, and returns documents as ends with ids, nothing more. All that follows
+is array functions: the ends that both share cut the text into groups, found by `array_intersect`; a sort of tokens
+and cuts together puts a mark between groups, at which the ids are split; both sides of a group are zipped, and
+products of its ids are the links. A pair's count is the number of documents that hold it.
 
 Links come back to their documents by a broadcast of the commonest pairs, at most `HOT` of them, which a
 histogram of the counts picks; the others meet in a join by pair. A document of more than `WIDE` links never holds
