@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.exprs import digest, half_even, token_similarity
 from evidentia.functions.text import EVIDENCE_RULES, excerpt, is_problem, spans
+from evidentia.operators import prefixes
 from evidentia.session import checkpoint, materialise
 
 MICRO = 1_000_000
@@ -47,28 +49,21 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", fields=("title", "body"),
 
 
 def similar_pairs(items: DataFrame, id_col: str, set_col: str, threshold: float = 0.6, least_shared: int = 2) -> DataFrame:
-    """(a, b, shared, similarity) of all pairs whose sets are similar: an exact join by prefix, length and count.
+    """(a, b, shared, similarity) of all pairs whose sets are similar: an exact join by prefix, length, place and code.
 
-    Sets are taken in order of how rare their tokens are; a pair in reach of the threshold shares a token
-    among the first of both, so only those meet. Equal sets are one class that is joined once; its copies come in at
-    the end, in joins of ids alone whose rows are the result, so that no set is dealt out for a pair of copies.
+    Equal sets are one class that is joined once; its copies come in at the end, in joins of ids alone whose rows are
+    the result, so that no set is dealt out for a pair of copies. Of different sets only those that are in a candidate
+    pair are dealt out.
     """
     each = items.select(F.col(id_col).alias("item"), F.array_sort(F.array_distinct(set_col)).alias("s")).where(F.size("s") > 0)
-    each = each.select("item", F.sha2(F.to_json("s"), 256).alias("id"), "s")
-    sets = materialise(each.groupBy("id").agg(F.first("s").alias("s")))
-    members = materialise(each.select("item", "id", F.size("s").cast("long").alias("n")))
-    freq = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
-    counts = freq.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    ranked = freq.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
-    prefix = F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    keyed = ranked.select("id", "n", F.posexplode(prefix).alias("pos", "x")).select("id", "n", "pos", F.col("x.token").alias("token"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    lengths = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    # what stands behind the shared token on either side has to suffice for the overlap that the threshold asks
-    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (1 + threshold) + 1e-9 >= threshold * (F.col("x.n") + F.col("y.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & lengths & behind)
-    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    each = materialise(each.select("item", F.unhex(F.sha2(F.to_json("s"), 256)).alias("digest"), "s"))
+    sets = each.groupBy("digest").agg(F.first("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "digest", F.size("s").alias("n"), "s")
+    sets = materialise(sets)
+    members = materialise(each.select("item", "digest").join(sets.select("digest", "id", F.col("n").cast("long").alias("n")), "digest").select("item", "id", "n"))
+    pairs = materialise(candidates(sets, threshold))
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = materialise(sets.select("id", "s").join(ends, "id", "left_semi"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = both.select("a", "b", shared.cast("long").alias("shared"), token_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
     alike = materialise(out.where((F.col("shared") >= least_shared) & (F.col("similarity") >= threshold)).select("a", "b", "shared", "similarity"))
@@ -78,6 +73,37 @@ def similar_pairs(items: DataFrame, id_col: str, set_col: str, threshold: float
     return apart.unionByName(copies)
 
 
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of the different sets (id, s) that can reach the threshold, all of those and hardly any other.
+
+    Sets are taken in order of how rare their tokens are; a pair in reach of the threshold shares a token among the
+    first of both, so only those meet. Whether two sets that meet can reach it is decided in the join by their sizes,
+    by what stands behind the shared token and by parity codes: every bit in which these differ takes a token that
+    only one set has. So the pairs that leave the join follow the similar ones and not those that share a token.
+    """
+    low = threshold - 1e-6  # similarities are rounded to six digits
+    hashed = sets.select("id", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
+    counts = hashed.select(F.explode("h").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(prefixes.CELLS - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # no more rows than cells
+    met = np.zeros(prefixes.CELLS, dtype=np.int64)
+    met[counts.column("cell").to_numpy()] = counts.column("c").to_numpy()
+    keyed = hashed.mapInArrow(prefixes.postings(low, met), prefixes.POSTING)
+    x, y = keyed.alias("x"), keyed.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    # what stands behind the shared token on either side has to suffice for the overlap that the threshold asks
+    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (1 + low) + 1e-9 >= both * low
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))) for i in range(prefixes.CODE_WORDS)))
+    meet = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.id") < F.col("y.id"))
+        & F.when(shorter, F.col("x.short")).otherwise(F.col("y.short"))
+        & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
+        & behind
+        & (differ * (1 + low) <= both * (1 - low) + 1e-9)
+    )
+    return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def star_clusters(items: DataFrame, id_col: str, set_col: str, hash_col: str, slice_col: str, threshold: float = 0.6) -> DataFrame:
     """Greedy cover of each slice by stars: slice, id, representative, similarity to it.
 

@@ -21,3 +21,12 @@ def test_pickles_load_without_the_package(tmp_path):
 
 def test_udf_in_a_session(spark):
     assert spark.range(1).select(digests.canonical_json_text(F.lit('{"b":1, "a":2}'))).first()[0] == '{"a":2,"b":1}'
+
+
+def test_postings_load_without_the_package(tmp_path):
+    from evidentia.operators import prefixes
+
+    (tmp_path / "things").write_bytes(cloudpickle.dumps(prefixes.postings(0.6, None)))
+    code = "import pickle, sys; sys.path[:] = [p for p in sys.path if p and 'repo' not in p]\ntry:\n import evidentia\nexcept ImportError:\n print(pickle.load(open('things', 'rb')).__name__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": ""}, capture_output=True, text=True, check=False)
+    assert out.stdout.strip() == "run", out.stderr

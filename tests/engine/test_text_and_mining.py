@@ -125,3 +125,28 @@ def test_copies_are_joined_once(spark):
     got = sorted((r.a, r.b, r.shared, r.similarity) for r in found.collect())
     want = [(a, b, 4 if a < 30 else 5, 1.0 if (a < 30) == (b < 30) else 0.8) for a in range(50) for b in range(a + 1, 50)]
     assert got == [*want, (60, 61, 1, 1.0)]
+
+
+def test_sets_that_share_tokens_but_are_not_alike_are_not_dealt_out(spark):
+    """Sets over a small vocabulary: every rare token is in many, so pairs that meet are thousands and similar ones are few."""
+    import random
+
+    def written():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    r = random.Random(3)
+    sets = [(i, r.sample([f"w{k}" for k in range(60)], 10)) for i in range(600)]
+    sets += [(1000 + i, [*s[:8], "other", "more"][: 8 + i % 3]) for i, s in sets[::20]] + [(2000, ["w1", "w2"]), (2001, ["w1", "w2", "w3"]), (2002, ["w9"])]
+    before = written()
+    found = mining.similar_pairs(spark.createDataFrame(sets, "id long, s array<string>").repartition(4), "id", "s")
+    got = sorted((x.a, x.b, x.shared, x.similarity) for x in found.collect())
+    want = []
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            n = len(set(x) & set(y))
+            if n >= 2 and round(n / len(set(x) | set(y)), 6) >= 0.6:
+                want.append((a, b, n, round(n / len(set(x) | set(y)), 6)))
+    assert got == sorted(want) and len(got) >= 30
+    assert written() - before < 30 * len(sets)
