@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import docs_of, fresh_name, materialise, ship
+from evidentia.llm.common import discard, docs_of, fresh_name, materialise, ship
 from evidentia.llm.graph import components
-from evidentia.llm.rolling import Doc, WordHash, chunked, mix, words
+from evidentia.llm.rolling import Doc, chunked, mix, words
 
 ship(__name__)
 
@@ -138,11 +138,10 @@ def _each(columns: list[str], made):
     """Run made(shingles) over the texts of a batch and keep the named columns beside its result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for batch in batches:
             done = 0
             for ids, docs in chunked(list(range(batch.num_rows)), batch.column("text").to_pylist()):
-                d = Doc(docs, memo)
+                d = Doc(docs)
                 part = batch.slice(done, len(ids))
                 done += len(ids)
                 yield made([part.column(c) for c in columns], [labelled_shingles(d, i) for i in range(len(ids))])
@@ -207,14 +206,13 @@ def _codes(columns, shingles):
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         last, kept = None, None
         for batch in batches:
             sims = []
             for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if left != last:
-                    last, kept = left, labelled_shingles(Doc([words(left)], memo), 0)
-                sims.append(aligned_similarity(kept, labelled_shingles(Doc([words(right)], memo), 0), threshold))
+                    last, kept = left, labelled_shingles(Doc([words(left)]), 0)
+                sims.append(aligned_similarity(kept, labelled_shingles(Doc([words(right)]), 0), threshold))
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
     return run
@@ -235,10 +233,8 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts.join(chosen, "ident").dropDuplicates(["ident"]).drop("ident")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that meet the threshold; only texts that are in some pair are shuffled."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = materialise(_texts(docs, reps.select("rep", "ident").join(ends, "rep")))
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that meet the threshold."""
     left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     found = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(threshold), LINK)
@@ -259,6 +255,13 @@ def _with_parts(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
 
 
+def _meeting(reps: DataFrame) -> DataFrame:
+    """(rep, key, first) of every text in a bucket of two or more; first where it is of the bands of the first round."""
+    each = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    shared = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))  # a plain table, so that a large bucket can be split
+    return materialise(each.join(shared, "key", "left_semi").select("rep", "key", (F.col("band") < FIRST_BANDS).alias("first")))
+
+
 def _leaders(members: DataFrame, nth: int) -> DataFrame:
     """From (key, rep, part) to pairs of a text of each group in a bucket with the bucket's leader, where they are of different groups."""
     rank = F.xxhash64("rep", "key", F.lit(nth))
@@ -271,16 +274,19 @@ def _leaders(members: DataFrame, nth: int) -> DataFrame:
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows (row, doc_id, digest), classes (rep, class_id, ident, digest), verified links (a, b, similarity) between reps, and the groups (id, component) they make."""
     rows, reps = classes(docs, bands, minima)
+    # what meets no other text in any band is in no pair: all that follows reads only the others, whose texts are dealt out once
+    met = _meeting(reps)
+    texts = materialise(_texts(docs, reps.select("rep", "ident").join(met.select("rep").distinct(), "rep")))
     links, parts, tested = None, None, None
     for nth in range(LEADER_ROUNDS + 1):
-        keys = F.slice("bands", 1, FIRST_BANDS) if nth == 0 else F.col("bands")
-        pairs = _leaders(_with_parts(reps.select("rep", F.explode(keys).alias("key")), parts), nth)
+        members = met.where("first") if nth == 0 else met
+        pairs = _leaders(_with_parts(members.select("rep", "key"), parts), nth)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        links, parts = _joined(links, parts, pairs, docs, reps, threshold)
+        links, parts = _joined(links, parts, pairs, texts, threshold)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    crowd = materialise(_crowd(reps, parts))
+    crowd = materialise(_crowd(met, parts))
     if not crowd.isEmpty():
-        pairs = materialise(_across(crowd, docs, reps, threshold).join(tested, ["a", "b"], "left_anti"))
+        pairs = materialise(_across(crowd, texts, threshold).join(tested, ["a", "b"], "left_anti"))
         for nth in range(SINGLE_ROUNDS + 1):
             if pairs.isEmpty():
                 break
@@ -289,18 +295,24 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
             if nth < SINGLE_ROUNDS:
                 one = F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(nth))).alias("pair")
                 chosen = materialise(pairs.groupBy("part_a", "part_b").agg(one).select("pair.a", "pair.b"))
-            links, parts = _joined(links, parts, chosen, docs, reps, threshold)
+            links, parts = _joined(links, parts, chosen, texts, threshold)
             pairs = pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    discard(met, texts)
     return rows, reps.drop("bands"), links, parts
 
 
-def _joined(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _joined(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The links and groups with those that the pairs add."""
     if links is not None and pairs.isEmpty():
         return links, parts
-    more = _verified(pairs, docs, reps, threshold)
     if links is None:
+        more = _verified(pairs, texts, threshold)
         return more, components(more)
+    # later pairs are few, and so are their texts
+    ends = materialise(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    chosen = materialise(texts.join(ends, "rep", "left_semi"))
+    more = _verified(pairs, chosen, threshold)
+    discard(ends, chosen)
     if more.isEmpty():
         return links, parts
     # groups are what is linked now, not their texts
@@ -318,17 +330,17 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.select("a", "b", F.least(*own).alias("part_a"), F.greatest(*own).alias("part_b")).where("part_a <> part_b")
 
 
-def _crowd(reps: DataFrame, parts: DataFrame) -> DataFrame:
+def _crowd(met: DataFrame, parts: DataFrame) -> DataFrame:
     """(rep, part) of the texts in buckets of three or more that still span several groups."""
-    members = materialise(_with_parts(reps.select("rep", F.explode("bands").alias("key")), parts))
+    members = materialise(_with_parts(met.select("rep", "key"), parts))
     open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("n > 2 and least < most").select("key")
     return members.join(open_keys, "key", "left_semi").groupBy("rep").agg(F.first("part").alias("part"))
 
 
-def _across(crowd: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _across(crowd: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of different parts, all that can reach the threshold among the crowd."""
     up, down = (F.lit(x).cast("long") for x in ratio(threshold))
-    texts = materialise(_texts(docs, reps.select("rep", "ident").join(crowd, "rep")))
+    texts = materialise(texts.join(crowd, "rep"))
     counts = texts.select("text").mapInArrow(_cells, "cells array<long>, met array<long>").select(F.inline(F.arrays_zip("cells", "met"))).groupBy("cells").agg(F.sum("met").alias("met"))
     counts = counts.toArrow()  # no more rows than cells
     met = np.zeros(CELLS, dtype=np.int64)

@@ -1,12 +1,13 @@
 """Words, word hashes and rolling hashes over many documents at once, in numpy.
 
-Words are maximal runs of bytes other than space and the controls 9 to 13. Their 64-bit hashes are kept in
-a bounded memo; a rolling hash of n words is put together from those of powers of two.
+Words are maximal runs of bytes other than space and the controls 9 to 13. A rolling hash of n words is put
+together from those of powers of two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -16,17 +17,6 @@ from evidentia.llm.common import ship
 ship(__name__)
 
 CHUNK_BYTES = 1 << 20
-MEMO_ENTRIES = 200_000
-
-
-class WordHash(dict):
-    """64-bit hash of a word; forgets all beyond a bound, as words are unbounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
 
 
 def words(text: str | None) -> list[bytes]:
@@ -56,12 +46,12 @@ def chunked(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[lis
 class Doc:
     """The words of several documents in a row: hashes, the document of each word and its place there."""
 
-    def __init__(self, docs: list[list[bytes]], memo: WordHash):
+    def __init__(self, docs: list[list[bytes]]):
         self.sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.n = int(self.starts[-1])
         self.made: dict = {}
-        self.powers = {1: np.fromiter((memo[w] for d in docs for w in d), dtype=np.uint64, count=self.n)}
+        self.powers = {1: np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(docs)), dtype=np.uint64, count=self.n)}
 
     def of_power(self, p: int):
         if p not in self.powers:

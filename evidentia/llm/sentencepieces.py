@@ -6,6 +6,8 @@ bytes it came from. Byte-pair merges then run on the normalised text, and every
 to the span of source bytes it covers. Texts are spread over tasks by Spark; a task works unit by unit (a
 run of letters, or of other characters, with the spaces before it) with a bounded memo, which is exact
 because no piece of the vocabulary spans such a border; where one does, units are words or whole texts.
+Units that are new to a slice of texts are merged together, a merge of each at a time, and the ids and spans of all
+texts of the slice are laid out at once.
 
 Defined results: a null text encodes as an empty one; an empty text is the begin and end id alone;
 repeated rows stay repeated; extra columns are ignored.
@@ -16,10 +18,11 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from operator import concat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,10 @@ ship(__name__)
 SPACE = "▁"
 MEMO_ENTRIES = 300_000
 SLICE = 500
+SLICE_CHARS = 1 << 22
 LONG = 64
+WIDTHS = (8, 16, 32, LONG)
+NONE = np.iinfo(np.int32).max
 NEVER = float("inf")
 LETTER = re.compile(r"[^\W\d_]")
 BY_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -90,6 +96,88 @@ class CharMap:
             i += size
 
 
+class Pairs:
+    """What two neighbours merge to, for pieces that are numbers."""
+
+    def __init__(self, known: dict[str, tuple[int, int]], costs: dict[str, float], n_pieces: int):
+        self.base = n_pieces + 1
+        rank = {c: i for i, c in enumerate(sorted(set(costs.values())))}
+        made = {}
+        for piece, (i, _) in known.items():
+            for k in range(1, len(piece)):
+                if (a := known.get(piece[:k])) and (b := known.get(piece[k:])):
+                    made[a[0] * self.base + b[0]] = (rank[costs[piece]], i)
+        keys = sorted(made)
+        # a last key that no pair has, for what is sought behind all others
+        self.keys = np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64)
+        self.ranks = np.array([*(made[k][0] for k in keys), NONE], dtype=np.int32)
+        self.made = np.array([*(made[k][1] for k in keys), -1], dtype=np.int32)
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
+        self.sizes, self.moves = np.zeros(n_pieces, dtype=np.int32), np.zeros(n_pieces, dtype=np.int32)
+        for piece, (i, size) in known.items():
+            if len(piece) == 1:
+                self.chars[ord(piece)] = i
+            self.sizes[i], self.moves[i] = size, size - 2 * piece.count(SPACE)
+
+    def of(self, a, b):
+        """Rank of the merge of each a with its b, NONE without one, and the piece it makes."""
+        key = a.astype(np.int64) * self.base + b
+        at = np.searchsorted(self.keys, key)
+        hit = self.keys[at] == key
+        return np.where(hit, self.ranks[at], NONE), self.made[at]
+
+    def merge(self, sym):
+        """Merge the pair of best rank, leftmost first, in every row of pieces (-1 behind its end) until none has one; the pieces, and which are left."""
+        n, width = sym.shape
+        sym = np.concatenate([sym, np.full((n, 1), -1, dtype=sym.dtype)], axis=1)
+        left = sym[:, :-1] >= 0
+        rank, made = self.of(sym[:, :-1], sym[:, 1:])
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        rows = np.arange(n)
+        while True:
+            best = rank[rows]
+            i = best.argmin(axis=1)
+            go = best[np.arange(len(rows)), i] < NONE
+            rows, i = rows[go], i[go]
+            if not len(rows):
+                return sym[:, :-1], left
+            j = after[rows, i]
+            k = after[rows, j]
+            both = made[rows, i]
+            sym[rows, i], left[rows, j], rank[rows, j] = both, False, NONE
+            after[rows, i], before[rows, k] = k, i
+            rank[rows, i], made[rows, i] = self.of(both, sym[rows, k])
+            h = before[rows, i]
+            some = h >= 0
+            at, h = rows[some], h[some]
+            rank[at, h], made[at, h] = self.of(sym[at, h], both[some])
+
+
+class Units(dict):
+    """A number for every unit met. For each unit where its tokens begin and how many they are, and its decoded bytes; for each
+    token its id, its length in normalised bytes and in those of a source that has a space for a mark."""
+
+    def __init__(self):
+        super().__init__()
+        self.begin = self.count = np.zeros(0, dtype=np.int64)
+        self.decoded: list[bytes] = []
+        self.tokens = np.zeros((3, 0), dtype=np.int32)
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        got = self[unit] = len(self)
+        self.new.append(unit)
+        return got
+
+    def add(self, begin, count, decoded: list[bytes], tokens) -> None:
+        self.begin = np.concatenate([self.begin, begin + self.tokens.shape[1]])
+        self.count = np.concatenate([self.count, count])
+        self.decoded += decoded
+        self.tokens = np.concatenate([self.tokens, tokens], axis=1)
+        self.new = []
+
+
 class Model:
     """The pieces and the normaliser of a SentencePiece BPE model file."""
 
@@ -122,7 +210,8 @@ class Model:
         other = rf"[^\w{SPACE}]|[\d_{re.escape(''.join(sorted(glue)))}]"
         by_letters = re.compile(f"{SPACE}*(?:{letter.pattern}+|(?:{other})+)|{SPACE}+")
         self.units = (by_letters if by_class else BY_WORD if by_word else WHOLE).findall
-        self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.pairs = Pairs(self.known, self.costs, len(proto.pieces))
+        self.memo = Units()
 
     def merge(self, text: str) -> list[str]:
         """Merge the adjacent pair of best score, leftmost first, until no pair is a piece."""
@@ -161,21 +250,50 @@ class Model:
                 heapq.heappush(heap, (c, h, i, sym[h] + both))
         return [x for x in sym if x is not None]
 
-    def unit(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """Ids, lengths in normalised bytes (both packed as unsigned 32-bit integers) and decoded bytes of a unit."""
-        ids, sizes, known = [], [], self.known
+    def unit(self, text: str) -> tuple[list[tuple[int, int, int]], bytes]:
+        """The tokens (as in Units) and decoded bytes of a unit."""
+        out = []
         for piece in self.merge(text):
-            if (got := known.get(piece)) is not None:
-                ids.append(got[0])
-                sizes.append(got[1])
+            raw = piece.encode()
+            moved = len(raw) - 2 * piece.count(SPACE)
+            if (got := self.known.get(piece)) is not None:
+                out.append((got[0], got[1], moved))
             elif self.byte_ids:
-                raw = piece.encode()
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += [1] * len(raw)
+                # a mark that has no piece ends with its last byte
+                out += [(self.byte_ids[b], 1, 1) for b in raw[:-1]] + [(self.byte_ids[raw[-1]], 1, moved - len(raw) + 1)]
             else:
-                ids.append(self.unk)
-                sizes.append(len(piece.encode()))
-        return array("I", ids).tobytes(), array("I", sizes).tobytes(), b"".join(map(self.surface.__getitem__, ids))
+                out.append((self.unk, len(raw), moved))
+        return out, b"".join([self.surface[i] for i, _, _ in out])
+
+    def learn(self) -> None:
+        """Encode the units that are new to the memo: those of known characters together, others and long ones by themselves."""
+        new = self.memo.new
+        if not new:
+            return
+        n = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        begin = np.cumsum(n) - n
+        sym = self.pairs.chars[np.frombuffer("".join(new).encode("utf-32-le"), dtype=np.uint32)]
+        plain = (n <= LONG) & (np.minimum.reduceat(sym, begin) >= 0)
+        decoded = [u.replace(SPACE, " ").encode() for u in new]
+        first, count, tokens, done = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64), [], 0
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            rows = np.flatnonzero(plain & (n > low) & (n <= width))
+            if len(rows):
+                inside = np.arange(width) < n[rows, None]
+                placed = np.full((len(rows), width), -1, dtype=np.int32)
+                placed[inside] = sym[(begin[rows, None] + np.arange(width))[inside]]
+                placed, left = self.pairs.merge(placed)
+                ids = placed[left]
+                count[rows] = left.sum(axis=1)
+                first[rows] = done + np.cumsum(count[rows]) - count[rows]
+                tokens.append(np.stack([ids, self.pairs.sizes[ids], self.pairs.moves[ids]]))
+                done += len(ids)
+        for i in np.flatnonzero(~plain).tolist():
+            made, decoded[i] = self.unit(new[i])
+            first[i], count[i] = done, len(made)
+            tokens.append(np.array(made, dtype=np.int32).T)
+            done += len(made)
+        self.memo.add(first, count, decoded, np.concatenate(tokens, axis=1))
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text and, where the map changed anything but spaces, the source byte before each of its bytes.
@@ -209,49 +327,79 @@ class Model:
 
     def encode(self, text: str) -> tuple[bytes, bytes, bytes]:
         """Packed ids with begin and end, packed (start, end) source byte spans of all ids, decoded UTF-8."""
-        import numpy as np
-
-        norm, places = self.normalise(text)
-        memo, parts = self.memo, []
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for c in self.units(norm):
-            if (got := memo.get(c)) is None:
-                got = memo[c] = self.unit(c)
-            parts.append(got)
-        ids = b"".join([struct.pack("<I", self.bos), *[p[0] for p in parts], struct.pack("<I", self.eos)])
-        decoded = b"".join([p[2] for p in parts])
-        if self.prefix and decoded[:1] == b" ":
-            decoded = decoded[1:]
-        ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), dtype="<u4"))
-        size = len(text.encode())
-        if places is not None:
-            ends = np.asarray(places, dtype=np.int64)[ends]
-        elif len(ends):
-            # each space mark takes three bytes where the source has one, and the first none
-            raw = np.frombuffer(norm.encode(), dtype=np.uint8)
-            mark = np.zeros(len(raw) + 1, dtype=np.int64)
-            hit = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))
-            np.add.at(mark, hit + 3, 2)
-            ends = np.maximum(ends - np.cumsum(mark)[ends] - (1 if self.prefix else 0), 0)
-        spans = np.empty((len(ends) + 2, 2), dtype="<u4")
-        spans[0], spans[-1] = 0, size
-        spans[1:-1, 1] = ends
-        spans[1:-1, 0] = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return ids, spans.tobytes(), decoded
+        at, ids, spans, decoded = self.encode_all([text])
+        return ids.tobytes(), spans.tobytes(), decoded[0]
+
+    def encode_all(self, texts: list[str]):
+        """Where each text's tokens begin, with the end of the last; ids with begin and end, (start, end) source byte spans of them, decoded UTF-8 of each text."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo = Units()
+        norms = [self.normalise(t) for t in texts]
+        units = [self.units(norm) for norm, _ in norms]
+        bounds = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)
+        numbers = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(bounds[-1]))
+        self.learn()
+        count = self.memo.count[numbers]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids, sizes, moves = self.memo.tokens[:, np.repeat(self.memo.begin[numbers] - upto[:-1], count) + np.arange(upto[-1])]
+        begin = upto[bounds]
+        lengths = np.diff(begin)
+        of = np.repeat(np.arange(len(texts)), lengths)
+        # each text has a row before and behind its tokens
+        at = begin + 2 * np.arange(len(texts) + 1)
+        place = np.arange(len(ids)) + 2 * of + 1
+        out = np.empty(int(at[-1]), dtype="<u4")
+        out[at[:-1]], out[at[1:] - 1], out[place] = self.bos, self.eos, ids
+        # each space mark takes three bytes where the source has one, and the first none
+        ends = np.cumsum(moves, dtype=np.int64)
+        ends = np.maximum(ends - np.concatenate([[0], ends])[begin[:-1]][of] - (1 if self.prefix else 0), 0)
+        for i, (_, places) in enumerate(norms):
+            if places is not None:
+                a, b = begin[i], begin[i + 1]
+                ends[a:b] = np.asarray(places, dtype=np.int64)[np.cumsum(sizes[a:b], dtype=np.int64)]
+        whole = [len(t.encode()) for t in texts]
+        spans = np.zeros((len(out), 2), dtype="<u4")
+        spans[place, 1] = ends
+        spans[1:, 0] = spans[:-1, 1]
+        spans[at[:-1]] = 0
+        spans[at[1:] - 1] = np.array(whole, dtype=np.int64)[:, None]
+        each, surface = numbers.tolist(), self.memo.decoded
+        decoded = [b"".join(map(surface.__getitem__, each[a:b])) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        if self.prefix:
+            decoded = [d[1:] if d[:1] == b" " else d for d in decoded]
+        return at, out, spans, decoded
+
+
+def _packed(at, values) -> pa.Array:
+    """A binary for each text from the rows of values between its places."""
+    offsets = (at * values.itemsize * (values.size // max(1, len(values)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """From and to of at most SLICE texts and, but for a single one, SLICE_CHARS characters."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and j < i + SLICE and (j == i or size + len(texts[j] or "") <= SLICE_CHARS):
+            size += len(texts[j] or "")
+            j += 1
+        yield i, j
+        i = j
 
 
 def _encode(model_path: str, text_col: str, keep_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [model.encode(t or "") for t in part.column(text_col).to_pylist()]
+            texts = batch.column(text_col).to_pylist()
+            for a, b in slices(texts):
+                part = batch.slice(a, b - a)
+                at, ids, spans, decoded = model.encode_all([t or "" for t in texts[a:b]])
                 made = {
-                    "ids_le": pa.array([r[0] for r in rows], pa.binary()),
-                    "spans_le": pa.array([r[1] for r in rows], pa.binary()),
-                    "decoded": pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string()),
+                    "ids_le": _packed(at, ids),
+                    "spans_le": _packed(at, spans),
+                    "decoded": pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()),
                 }
                 kept = {n: part.column(n) for n in part.schema.names if n not in made and (keep_text or n != text_col)}
                 yield pa.record_batch(list((kept | made).values()), names=list(kept | made))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.common import discard, docs_of, fresh_name, materialise, ship
-from evidentia.llm.rolling import Doc, WordHash, chunked, leftmost_min, mix, words
+from evidentia.llm.rolling import Doc, chunked, leftmost_min, mix, words
 
 ship(__name__)
 
@@ -64,10 +64,9 @@ def word_digests(ws: list[bytes], starts: list[int], ends: list[int]):
 
 def _occurrences(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for batch in batches:
             for rows, docs in chunked(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                d = Doc(docs, memo)
+                d = Doc(docs)
                 start, count, anchors = _segments(d, window, k)
                 doc = d.doc_at(start)
                 flat = [w for ws in docs for w in ws]

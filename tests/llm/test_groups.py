@@ -53,3 +53,19 @@ def test_edges_between_groups_are_few(spark, counted):
     groups = {g.group_id for g in near_dedup.near_groups(docs).collect()}
     # with all links and the edges of all groups again in every round there were 2,611
     assert len(groups) == 132 and counted["edges"] <= 3 * 600
+
+
+def test_texts_are_dealt_out_once_and_only_those_that_meet(spark, monkeypatch):
+    asked, texts, verified, rounds = [], near_dedup._texts, near_dedup._verified, []
+
+    def counted(docs, chosen):
+        asked.append(chosen.count())
+        return texts(docs, chosen)
+
+    monkeypatch.setattr(near_dedup, "_texts", counted)
+    monkeypatch.setattr(near_dedup, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    r = random.Random(9)
+    rows = loose_group(300) + [" ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for _ in range(100)]
+    got = {g.doc_id: g.group_id for g in near_dedup.near_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == i for i in range(300, 400)) and len(set(got.values())) < 300
+    assert len(rounds) > 2 and len(asked) == 1 and asked[0] <= 300

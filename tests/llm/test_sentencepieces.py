@@ -57,3 +57,30 @@ def test_empty_table_and_clashing_columns(spark):
     two = spark.createDataFrame([(1, "a", 5), (1, "a", 5)], "doc_id long, text string, decoded int")
     assert [r.decoded for r in encode(two, PATH).collect()] == ["a", "a"]
     assert encode(two, PATH).where(F.col("decoded") == "a").count() == 2
+
+
+def test_words_of_a_slice_are_merged_together(monkeypatch):
+    """Random texts in slices that share a memo: as the library, and only units with unknown characters or of great length are merged alone."""
+    import random
+
+    from evidentia.llm import sentencepieces
+
+    alone, merge = [], Model.merge
+    monkeypatch.setattr(Model, "merge", lambda self, text: alone.append(text) or merge(self, text))
+    monkeypatch.setattr(sentencepieces, "MEMO_ENTRIES", 400)
+    r = random.Random(4)
+    parts = ["the", "an", "ti", "qu", "é", "Zz", " ", " ", "  ", "\n", "7", ".", "▁", "中", "\U0001f600", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(300)] + ["theanti" * 40, "", "plain words only"] * 2
+    m, lib = Model(PATH), sp.SentencePieceProcessor(model_file=PATH)
+    for a, b in sentencepieces.slices([None, *texts]):
+        at, ids, spans, decoded = m.encode_all([t or "" for t in [None, *texts][a:b]])
+        assert len(decoded) == b - a and len(spans) == len(ids) == at[-1]
+    for i in range(0, len(texts), 50):
+        some = texts[i : i + 50]
+        at, ids, spans, decoded = m.encode_all(some)
+        for k, t in enumerate(some):
+            want = lib.encode(t, add_bos=True, add_eos=True)
+            assert ids[at[k] : at[k + 1]].tolist() == want and decoded[k].decode() == lib.decode(want)
+            own = spans[at[k] : at[k + 1]].tolist()[1:-1]
+            assert b"".join(t.encode()[x:y] for x, y in own) == t.encode()
+    assert not any(u.isascii() and len(u) <= sentencepieces.LONG and u.isalpha() for u in (x.strip("▁") for x in alone))
