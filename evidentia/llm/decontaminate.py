@@ -42,6 +42,8 @@ MIN_LETTERS = 40
 BLOCK_LETTERS = 1_000_000
 CHUNK = 1 << 20
 TABLE_BITS = 22
+#: Segments that are aligned together.
+ALIGNED = 4096
 OTHER = re.compile(r"[\W_]+")
 HITS = "doc_id long, item_id long, segments long, edits long, first_letter long"
 
@@ -115,20 +117,46 @@ class Segments:
         return seen
 
 
-def band_edits(segment, text, start: int, width: int) -> tuple[int, int]:
-    """Least edits of the segment against the text with its first letter `start` to `start + width` off, and where it ends."""
-    n = len(segment)
-    padded = np.full(n + width, 0xFFFFFFFF, dtype=np.uint32)
-    lo, hi = max(0, start), min(len(text), start + n + width)
-    padded[lo - start : hi - start] = text[lo:hi]
+def aligned_edits(segments, windows, width: int):
+    """Least edits of each segment against its window with its first letter up to `width` off, and how many letters of the window that takes.
+
+    A row is a segment of n letters and a window of n + width.
+    """
+    n = segments.shape[1]
     slots = np.arange(width + 1)
-    row = np.zeros(width + 1, dtype=np.int64)
+    row = np.zeros((len(segments), width + 1), dtype=np.int64)
     for i in range(n):
-        new = np.full(width + 1, n, dtype=np.int64)
-        new[:width] = row[:width] + (padded[i : i + width] != segment[i])
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        row = np.minimum.accumulate(new - slots) + slots
-    return int(row.min()), start + n + int(row.argmin())
+        new = np.full(row.shape, n, dtype=np.int64)
+        new[:, :width] = row[:, :width] + (windows[:, i : i + width] != segments[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - slots, axis=1) + slots
+    return row.min(axis=1), n + row.argmin(axis=1)
+
+
+def _windows(texts: list, starts: list[int], size: int):
+    """The letters of each text from its start on, with no letter before its first and behind its last."""
+    out = np.full((len(texts), size), 0xFFFFFFFF, dtype=np.uint32)
+    for row, text, start in zip(out, texts, starts, strict=True):
+        lo, hi = max(0, start), min(len(text), start + size)
+        row[lo - start : hi - start] = text[lo:hi]
+    return out
+
+
+def band_edits(segment, text, start: int, width: int) -> tuple[int, int]:
+    """Least edits of the segment against the text with its first letter `start` to `start + width` off, and where it ends."""
+    edits, used = aligned_edits(segment[None], _windows([text], [start], len(segment) + width), width)
+    return int(edits[0]), start + int(used[0])
+
+
+def _counted(doc, seg, low):
+    """The different (doc, seg, low) in order, and how often each is met; as one number each where that has room."""
+    if not len(low):
+        return np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    least, segs, lows = int(low.min()), int(seg.max()) + 1, int(low.max()) - int(low.min()) + 1
+    if (int(doc.max()) + 1) * segs * lows >= 1 << 63:
+        return np.unique(np.stack([doc, seg, low], 1), axis=0, return_counts=True)
+    keys, hits = np.unique((doc * segs + seg) * lows + (low - least), return_counts=True)
+    return np.stack([keys // lows // segs, keys // lows % segs, keys % lows + least], 1), hits
 
 
 def _stands_alone(text, at: int, n: int) -> bool:
@@ -162,18 +190,30 @@ def _hits(segs: Segments):
         diagonal = np.repeat(near, count) - begins[doc] - segs.place[posting]
         step = segs.edits[seg] + 1
         low = diagonal // step
-        keys = np.concatenate([np.stack([doc, seg, low], 1), np.stack([doc, seg, low - 1], 1)])
-        bands, hits = np.unique(keys, axis=0, return_counts=True)
+        bands, hits = _counted(np.concatenate([doc, doc]), np.concatenate([seg, seg]), np.concatenate([low, low - 1]))
         found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-        for d, s, b in bands[hits >= segs.need[bands[:, 1]]].tolist():
+        text_of = lambda d: codes[begins[d] : begins[d] + len(norms[d])]
+        bands = bands[hits >= segs.need[bands[:, 1]]].tolist()
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i, (_, s, _) in enumerate(bands):
+            alike.setdefault((len(segs.codes[s]), int(segs.edits[s])), []).append(i)
+        aligned = {}
+        for (n, e), all_of in alike.items():
+            for k in range(0, len(all_of) if n >= MIN_LETTERS else 0, ALIGNED):
+                some = all_of[k : k + ALIGNED]
+                starts = [bands[i][2] * (e + 1) for i in some]
+                windows = _windows([text_of(bands[i][0]) for i in some], starts, n + 2 * (e + 1))
+                edits, used = aligned_edits(np.stack([segs.codes[bands[i][1]] for i in some]), windows, 2 * (e + 1))
+                aligned |= zip(some, zip(edits.tolist(), (used + starts).tolist(), strict=True), strict=True)
+        for i, (d, s, b) in enumerate(bands):
             e, n = int(segs.edits[s]), len(segs.codes[s])
-            text = codes[begins[d] : begins[d] + len(norms[d])]
             if n < MIN_LETTERS:  # the two diagonals of the band, letter by letter
+                text = text_of(d)
                 for at in (b, b + 1):
                     if 0 <= at <= len(text) - n and _stands_alone(text, at, n) and (text[at : at + n] == segs.codes[s]).all():
                         found.setdefault((d, segs.item[s]), {})[s] = (0, at)
                 continue
-            edits, end = band_edits(segs.codes[s], text, b * (e + 1), 2 * (e + 1))
+            edits, end = aligned[i]
             if edits <= e:
                 own = found.setdefault((d, segs.item[s]), {})
                 own[s] = min(own.get(s, (edits, end - n)), (edits, end - n))

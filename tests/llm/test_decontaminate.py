@@ -82,3 +82,33 @@ def test_very_long_texts_and_repeated_items(spark):
     bench = spark.createDataFrame([(7, item), (7, item), (8, item.upper())], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 7), (1, 8), (3, 7), (3, 8)}
+
+
+def test_segments_of_a_chunk_are_aligned_together(monkeypatch):
+    """Leaks are those of a text by itself, in any size of group, and the alignment is called for groups and not for segments."""
+    import numpy as np
+
+    from evidentia.llm import decontaminate as D
+
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(n))
+    items = [(i, prose(r.randrange(6, 40))) for i in range(20)] + [(90, "one short item")]
+    texts = [prose(20), None, ""]
+    for k in range(60):
+        t = list(items[k % 21][1])
+        for _ in range(r.randrange(4)):
+            t[r.randrange(len(t))] = "z"
+        texts.append(" ".join([prose(5), "".join(t), prose(5)]))
+    segs, calls, run = Segments(items), [], D.aligned_edits
+    alone = [(i, *rest) for i, t in enumerate(texts) for _, *rest in D._hits(segs)([t])]
+    monkeypatch.setattr(D, "aligned_edits", lambda *a: calls.append(len(a[0])) or run(*a))
+    assert sorted(D._hits(segs)(texts)) == sorted(alone) and len(alone) > 30
+    assert len(calls) <= 20 < sum(calls)
+    calls.clear()
+    monkeypatch.setattr(D, "ALIGNED", 3)
+    assert sorted(D._hits(segs)(texts)) == sorted(alone) and max(calls) <= 3
+    doc, seg, low = (np.array(x) for x in zip(*[(r.randrange(3), r.randrange(2), r.randrange(-2, 2)) for _ in range(80)], strict=True))
+    for far in (1, 1 << 40):  # within and beyond the room of one number
+        got, hits = D._counted(doc * far, seg * far, low)
+        want, n = np.unique(np.stack([doc * far, seg * far, low], 1), axis=0, return_counts=True)
+        assert (got == want).all() and (hits == n).all()
